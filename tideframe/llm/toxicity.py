@@ -7,9 +7,9 @@
 2. Words of the lexicon in toxic texts are labelled T, all others O, and a CRF
    with two states is fitted on a bounded sample of texts: its observations are
    the log-odds of a word and of its neighbours, its transitions are learned.
-3. Forward-backward gives each word's probability of T; their sum and maximum
-   make the document's features, and a logistic fit on the same sample turns
-   them into the score. Words of probability one half or more form the spans.
+3. Forward-backward gives each word's probability of T; weighted by the
+   log-odds, their sum and maximum are the document's features, and a logistic
+   fit on the same sample turns these into the score. Words of probability one half or more form the spans.
 
 Between lexicon words the chain is in its steady state, so messages are only
 computed within ``REACH`` words of one; what lies further is below 1e-9.
@@ -96,7 +96,7 @@ def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> Lexicon:
     counts = labelled.mapInArrow(_count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     z = (F.col("t") - (F.col("c") + F.col("t")) * base) / F.sqrt((F.col("c") + F.col("t")) * (base * (1 - base)))
     odds = F.log((F.col("t") + 0.5) / (F.col("c") + 0.5) * (n0 / n1))
-    best = counts.filter((F.col("c") + F.col("t") >= 5) & (z >= 8) & (F.col("t") >= 2 * F.col("c"))).select("feature", odds.alias("odds"), z.alias("z"))
+    best = counts.filter((F.col("c") + F.col("t") >= 5) & (z >= 8) & (F.col("t") >= 4 * F.col("c"))).select("feature", odds.alias("odds"), z.alias("z"))
     rows = best.orderBy(F.desc("z"), "feature").limit(size).collect()
     return Lexicon(np.array([r["feature"] for r in rows], np.int64).view(np.uint64), np.array([r["odds"] for r in rows], float))
 
@@ -192,10 +192,6 @@ class Crf:
         p = p[:, :, 1] / p.sum(axis=2)
         return np.where(np.arange(p.shape[1]) < s.length[:, None], p, 0)
 
-    def calm(self) -> float:
-        f, b = self.steady()
-        return float(f[1] * b[1] / (f @ b))
-
 
 def fit_crf(s: Segments, y: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Crf:
     """Maximum likelihood by gradient steps with Adam; ``y`` marks the words labelled T."""
@@ -244,17 +240,14 @@ class Model:
         """Features of each document for the score, and the probabilities of its lexicon words."""
         s = segments(docs)
         p = self.crf.marginals(s) if len(s.doc) else np.zeros((0, 1))
-        calm = self.crf.calm()
-        words = np.array([n for n, _, _ in docs], float)
-        expected = np.bincount(s.doc, p.sum(axis=1) - calm * s.length, len(docs)) + calm * words if len(s.doc) else calm * words
-        most = np.where(words > 0, calm, 0.0)
-        np.maximum.at(most, s.doc, p.max(axis=1, initial=0))
         own: list[list[np.ndarray]] = [[] for _ in docs]
         for i, d in enumerate(s.doc):
             at = docs[d][1]
             inside = at[(at >= s.begin[i]) & (at < s.begin[i] + s.length[i])]
             own[d].append(p[i, inside - s.begin[i]])
-        return np.stack([np.ones(len(docs)), np.log1p(expected), most], axis=1), [np.concatenate(x) if x else np.zeros(0) for x in own]
+        tagged = [np.concatenate(x) if x else np.zeros(0) for x in own]
+        weight = [x * v for x, (_, _, v) in zip(tagged, docs, strict=True)]
+        return np.array([[1.0, np.log1p(x.sum()), x.max(initial=0.0)] for x in weight]).reshape(-1, 3), tagged
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.score, -40, 40)))
