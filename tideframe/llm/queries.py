@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import decontaminate, minhash, mixing, sharding, toxicity
+from tideframe.llm import decontaminate, language, licenses, minhash, mixing, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op2_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -59,18 +64,50 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN i USING (r)
 """
 
 
+def op8_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+OP8_SQL = f"""
+WITH tpl(t, pairs, is_base, label, q, a, b) AS (VALUES {_values(licenses.template_rows(licenses.BASE, licenses.TEMPLATES))}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT r, w, unnest(range(1, len(w))) AS p FROM d),
+v AS (SELECT r, t, pairs, is_base, label, p - 1 - q AS diagonal, list(DISTINCT q) AS held FROM x JOIN tpl ON w[p] = a AND w[p + 1] = b GROUP BY ALL),
+g AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER o > {licenses.DRIFT})::INT, 1) AS apart FROM v WINDOW o AS (PARTITION BY r, t ORDER BY diagonal)),
+u AS (SELECT *, sum(apart) OVER (PARTITION BY r, t ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM g),
+s AS (SELECT r, t, is_base, label, count(*) FILTER (is_base AND len(held) = pairs) AS n_base,
+        min(diagonal) FILTER (is_base AND len(held) = pairs) AS first_word, max(diagonal) FILTER (is_base AND len(held) = pairs) AS last_word,
+        CASE WHEN is_base THEN (count(*) FILTER (len(held) = pairs) > 0)::INT ELSE len(list_distinct(flatten(list(held)))) / max(pairs) END AS share
+      FROM u GROUP BY r, t, is_base, label, run),
+f AS (SELECT r, sum(n_base)::BIGINT AS n_base, min(first_word)::BIGINT AS first_word, max(last_word)::BIGINT AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= CASE WHEN is_base THEN 1.0 ELSE {licenses.SHARE} END) AS labels, max(share)::DOUBLE AS score
+      FROM s GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (r)
+"""
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=5, percent=85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_backoff": op1_backoff,
     "op2_raking": op2_raking,
     "op4_crf": op4_crf,
     "op6_hypergeometric": op6_hypergeometric,
     "op7_winnowing": op7_winnowing,
+    "op8_diagonals": op8_diagonals,
     "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {
     "op7_winnowing": OP7_SQL,
+    "op8_diagonals": OP8_SQL,
 }
