@@ -125,24 +125,38 @@ class Segments:
     closes: np.ndarray
 
 
-def segments(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Segments:
-    """Observations: 1, whether in the lexicon, log-odds, and those of both neighbours."""
+#: Words that are padded into one array at most, and segments that the CRF is fitted on with their greatest length.
+AREA, FIT_SEGMENTS, FIT_WORDS = 200_000, 2000, 200
+
+
+def neighbourhoods(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+    """(document, first word, end, words of the document, lexicon places from the first word, log-odds)."""
     found = []
     for d, (n, at, value) in enumerate(docs):
-        if not len(at):
-            continue
-        breaks = np.flatnonzero(np.diff(at) > 2 * REACH) + 1
-        for group, odds in zip(np.split(at, breaks), np.split(value, breaks), strict=True):
-            a, b = max(0, int(group[0]) - REACH), min(n, int(group[-1]) + REACH + 1)
-            found.append((d, a, b, n, group - a, odds))
-    width = max((b - a for _, a, b, _, _, _ in found), default=1)
-    v = np.zeros((len(found), width + 2))
-    for i, (_, _, _, _, at, odds) in enumerate(found):
-        v[i, at + 1] = odds
-    mid = v[:, 1:-1]
-    x = np.stack([np.ones_like(mid), mid > 0, mid, v[:, :-2], v[:, 2:]], axis=2)
-    pick = lambda f, kind: np.array([f(s) for s in found], kind)
-    return Segments(pick(lambda s: s[0], int), pick(lambda s: s[1], int), pick(lambda s: s[2] - s[1], int), x, pick(lambda s: s[1] == 0, bool), pick(lambda s: s[2] == s[3], bool))
+        if len(at):
+            breaks = np.flatnonzero(np.diff(at) > 2 * REACH) + 1
+            for group, odds in zip(np.split(at, breaks), np.split(value, breaks), strict=True):
+                a, b = max(0, int(group[0]) - REACH), min(n, int(group[-1]) + REACH + 1)
+                found.append((d, a, b, n, group - a, odds))
+    return found
+
+
+def segments(found: list[tuple[int, int, int, int, np.ndarray, np.ndarray]]) -> Iterator[Segments]:
+    """Packed by length, so that padding stays small. Observations: 1, whether in the lexicon, log-odds, and those of both neighbours."""
+    found = sorted(found, key=lambda s: s[2] - s[1])
+    lo = 0
+    while lo < len(found):
+        hi = lo + 1
+        while hi < len(found) and (hi + 1 - lo) * (found[hi][2] - found[hi][1]) <= AREA:
+            hi += 1
+        part = found[lo:hi]
+        v = np.zeros((len(part), part[-1][2] - part[-1][1] + 2))
+        for i, (_, _, _, _, at, odds) in enumerate(part):
+            v[i, at + 1] = odds
+        mid = v[:, 1:-1]
+        x = np.stack([np.ones_like(mid), mid > 0, mid, v[:, :-2], v[:, 2:]], axis=2)
+        yield Segments(np.array([s[0] for s in part]), np.array([s[1] for s in part]), np.array([s[2] - s[1] for s in part]), x, np.array([s[1] == 0 for s in part]), np.array([s[2] == s[3] for s in part]))
+        lo = hi
 
 
 @dataclass
@@ -193,23 +207,27 @@ class Crf:
         return np.where(np.arange(p.shape[1]) < s.length[:, None], p, 0)
 
 
-def fit_crf(s: Segments, y: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Crf:
-    """Maximum likelihood by gradient steps with Adam; ``y`` marks the words labelled T."""
-    crf = Crf(np.zeros(5), np.zeros((2, 2)), 0.0)
+def _gradient(crf: Crf, s: Segments, y: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood: observed less expected counts of emissions, transitions and starts."""
     real = np.arange(s.x.shape[1]) < s.length[:, None]
-    total = max(1, len(s.length))
     both = real[:, 1:] & real[:, :-1]
     seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)], float)
+    f, b, e = crf.messages(s)
+    p = f * b
+    p = np.where(real, p[:, :, 1] / p.sum(axis=2), 0)
+    pair = f[:, :-1, :, None] * np.exp(crf.move) * (e[:, 1:] * b[:, 1:])[:, :, None, :]
+    pair = pair / pair.sum(axis=(2, 3), keepdims=True)
+    gap = np.where(real, y - p, 0)
+    return np.concatenate([np.einsum("mt,mtk->k", gap, s.x), (seen - (pair * both[:, :, None, None]).sum(axis=(0, 1))).ravel(), [(gap[:, 0] * s.opens).sum()]])
+
+
+def fit_crf(parts: list[Segments], tags: list[np.ndarray], rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> Crf:
+    """Maximum likelihood by gradient steps with Adam; ``tags`` marks the words labelled T."""
+    total = sum(len(s.length) for s in parts)
     theta, first, second = np.zeros(10), np.zeros(10), np.zeros(10)
+    crf = Crf(theta[:5], theta[5:9].reshape(2, 2), 0.0)
     for step in range(1, rounds + 1):
-        f, b, e = crf.messages(s)
-        p = f * b
-        p = np.where(real, p[:, :, 1] / p.sum(axis=2), 0)
-        pair = f[:, :-1, :, None] * np.exp(crf.move) * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-        pair = pair / pair.sum(axis=(2, 3), keepdims=True)
-        gap = np.where(real, y - p, 0)
-        grad = np.concatenate([np.einsum("mt,mtk->k", gap, s.x), (seen - (pair * both[:, :, None, None]).sum(axis=(0, 1))).ravel(), [(gap[:, 0] * s.opens).sum()]]) / total
-        grad -= decay * theta
+        grad = sum(_gradient(crf, s, y) for s, y in zip(parts, tags, strict=True)) / total - decay * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta = theta + rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         crf = Crf(theta[:5], theta[5:9].reshape(2, 2), float(theta[9]))
@@ -238,14 +256,14 @@ class Model:
 
     def documents(self, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Features of each document for the score, and the probabilities of its lexicon words."""
-        s = segments(docs)
-        p = self.crf.marginals(s) if len(s.doc) else np.zeros((0, 1))
-        own: list[list[np.ndarray]] = [[] for _ in docs]
-        for i, d in enumerate(s.doc):
-            at = docs[d][1]
-            inside = at[(at >= s.begin[i]) & (at < s.begin[i] + s.length[i])]
-            own[d].append(p[i, inside - s.begin[i]])
-        tagged = [np.concatenate(x) if x else np.zeros(0) for x in own]
+        own: list[list[tuple[int, np.ndarray]]] = [[] for _ in docs]
+        for s in segments(neighbourhoods(docs)):
+            p = self.crf.marginals(s)
+            for i, d in enumerate(s.doc):
+                at = docs[d][1]
+                inside = at[(at >= s.begin[i]) & (at < s.begin[i] + s.length[i])]
+                own[d].append((s.begin[i], p[i, inside - s.begin[i]]))
+        tagged = [np.concatenate([p for _, p in sorted(x, key=lambda y: y[0])]) if x else np.zeros(0) for x in own]
         weight = [x * v for x, (_, _, v) in zip(tagged, docs, strict=True)]
         return np.array([[1.0, np.log1p(x.sum()), x.max(initial=0.0)] for x in weight]).reshape(-1, 3), tagged
 
@@ -280,11 +298,13 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON, sample:
     rows = parts[0].union(parts[1]).mapInArrow(reduce, "toxic boolean, n long, at array<long>, value array<double>").collect()
     y = np.array([r["toxic"] for r in rows], float)
     held = [(r["n"], np.array(r["at"], np.int64), np.array(r["value"], float)) for r in rows]
-    s = segments(held)
     model = Model(lexicon, Crf(np.array([-6.0, 0, 0, 0, 0]), np.zeros((2, 2)), 0.0), np.zeros(3))
-    if len(s.doc):
-        tags = (s.x[:, :, 1] > 0) * y[s.doc][:, None]
-        model.crf = fit_crf(s, tags)
+    found = [x for x in neighbourhoods(held) if x[2] - x[1] <= FIT_WORDS]
+    # evenly over the sample, which is in the order of a hash within either label
+    found = [found[i * len(found) // FIT_SEGMENTS] for i in range(FIT_SEGMENTS)] if len(found) > FIT_SEGMENTS else found
+    if found:
+        parts = list(segments(found))
+        model.crf = fit_crf(parts, [(s.x[:, :, 1] > 0) * y[s.doc][:, None] for s in parts])
     if len(y):
         features, _ = model.documents(held)
         drawn = [max(1, int((y == k).sum())) for k in (0, 1)]
