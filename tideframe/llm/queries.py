@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import decontaminate, language, licenses, minhash, mixing, sharding, toxicity
+from tideframe.llm import decontaminate, language, licenses, minhash, mixing, sharding, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,10 @@ FROM d LEFT JOIN f USING (r)
 """
 
 
+def op9_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=5, percent=85)
 
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hypergeometric": op6_hypergeometric,
     "op7_winnowing": op7_winnowing,
     "op8_diagonals": op8_diagonals,
+    "op9_flat_graph": op9_flat_graph,
     "op10_minhash": op10_minhash,
 }
 
