@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import decontaminate, language, licenses, minhash, mixing, sharding, toxicity, vectors
+from tideframe.llm import decontaminate, language, licenses, lm, minhash, mixing, sharding, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op6_hypergeometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), shards=40).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": op1_backoff,
     "op2_raking": op2_raking,
     "op4_crf": op4_crf,
+    "op5_pseudo_likelihood": op5_pseudo_likelihood,
     "op6_hypergeometric": op6_hypergeometric,
     "op7_winnowing": op7_winnowing,
     "op8_diagonals": op8_diagonals,
