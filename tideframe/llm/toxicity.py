@@ -86,9 +86,8 @@ class Lexicon:
         return out
 
 
-def learn_lexicon(labelled: DataFrame, size: int = LEXICON) -> Lexicon:
-    """From (text, toxic): features with at least 5 texts whose share of toxic ones is far above the base rate."""
-    n = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+def learn_lexicon(labelled: DataFrame, n: dict[bool, int], size: int = LEXICON) -> Lexicon:
+    """From (text, toxic), ``n`` texts of either label: features of at least 5 texts whose share of toxic ones is far above the base rate."""
     n1, n0 = n.get(True, 0), n.get(False, 0)
     if not n1 or not n0:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
@@ -272,18 +271,23 @@ class Model:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the training rows; equal texts once, toxic if any of them is."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).filter("doc_id is not null and toxic is not null and not " + "(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1)")
+    """(doc_id, key, toxic) of the training texts; equal texts once, toxic if any of them is."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out() & F.col("text").isNotNull())
-    return own.join(known, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key")).filter(F.col("text").isNotNull() & ~held_out())
+    return own.join(known.hint("merge"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows that are not held out; without both labels every score is the base rate."""
+    """Learn from labelled rows that are not held out; without any every score is one half.
+
+    Whole texts are shuffled once, to meet their labels for the counts; the
+    sample is named first and found by a broadcast of its at most ``2 * sample`` ids.
+    """
     labelled = checkpoint(labelled_texts(docs, labels))
-    lexicon = learn_lexicon(labelled, lexicon_size)
     n = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & ~held_out())
+    lexicon = learn_lexicon(whole.join(labelled.select("doc_id", "toxic").hint("merge"), "doc_id").select("text", "toxic"), n, lexicon_size)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(lexicon)
 
@@ -294,8 +298,9 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON, sample:
                 [batch.column("toxic"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["toxic", "n", "at", "value"]
             )
 
-    parts = [labelled.filter(F.col("toxic") == F.lit(k)).orderBy(F.xxhash64("text")).limit(sample) for k in (True, False)]
-    rows = parts[0].union(parts[1]).mapInArrow(reduce, "toxic boolean, n long, at array<long>, value array<double>").collect()
+    chosen = [r for k in (True, False) for r in labelled.filter(F.col("toxic") == F.lit(k)).orderBy("key", "doc_id").limit(sample).select("doc_id", "toxic").collect()]
+    named = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "doc_id long, toxic boolean")
+    rows = whole.join(F.broadcast(named), "doc_id").select("text", "toxic").mapInArrow(reduce, "toxic boolean, n long, at array<long>, value array<double>").collect()
     y = np.array([r["toxic"] for r in rows], float)
     held = [(r["n"], np.array(r["at"], np.int64), np.array(r["value"], float)) for r in rows]
     model = Model(lexicon, Crf(np.array([-6.0, 0, 0, 0, 0]), np.zeros((2, 2)), 0.0), np.zeros(3))
