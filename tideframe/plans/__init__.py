@@ -1,6 +1,6 @@
 """The registered queries of the library, by subject."""
 
-from tideframe.plans import constructs
+from tideframe.plans import constructs, loads
 from tideframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "constructs"]
+__all__ = ["ORACLES", "QUERIES", "constructs", "loads"]
