@@ -10,9 +10,11 @@ smallest that makes this 0.9995 at the threshold.
 Equal shingle sets are one class with one representative, however many copies
 there are. Candidates of a table: all pairs of buckets of at most ``small``
 classes; in larger ones every class meets the leader of its bucket and the
-leaders of the two finer buckets made by adding further groups to the key, so
-the number of candidates stays in proportion to the classes. Every candidate is
-confirmed on the full shingle sets.
+leaders of the two finer buckets made by adding further groups to the key. What
+these links leave outside a large bucket's main component is then compared with
+all of the bucket that it is not yet joined to, where sizes and the minhashes
+allow the similarity; a pair is looked at in the first table it shares only.
+Every candidate is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tideframe.llm.wordhash import NOT_SPACE, grams, mix, texts, word_hashes
 
 RECALL = 0.9995
 ROWS = 3
+#: Classes of a bucket whose pairs are all candidates at once.
+SMALL = 32
 
 
 def collections(threshold: float, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -65,12 +69,13 @@ def _sketcher(k: int, m: int, rows: int, seed: int):
         shift = rng.integers(0, 1 << 63, 2 * m * rows, dtype=np.uint64)
         fold = rng.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            sizes, keys, groups = [], [], []
+            sizes, keys, groups, signs = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 if not len(s):
                     keys.append(None)
                     groups.append(None)
+                    signs.append(None)
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 least = np.empty(2 * m * rows, np.uint64)
@@ -79,24 +84,25 @@ def _sketcher(k: int, m: int, rows: int, seed: int):
                     least = low if part == 0 else np.minimum(least, low)
                 group = mix((least.reshape(2 * m, rows) * fold).sum(axis=1, dtype=np.uint64) + np.arange(2 * m, dtype=np.uint64))
                 groups.append(group.view(np.int64))
+                signs.append((mix(least) >> np.uint64(56)).astype(np.uint8).view(np.int8))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "groups"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int8()))],
+                ["doc_id", "n_shingles", "set_key", "groups", "sign"],
             )
 
     return sketch
 
 
 def sketches(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set) and the 2 m group values of each document."""
+    """doc_id, n_shingles, set_key (128 bits of the set), the 2 m group values and a byte of each minhash."""
     m = collections(threshold, rows)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketcher(k, m, rows, seed), "doc_id long, n_shingles long, set_key binary, groups array<long>"
+        _sketcher(k, m, rows, seed), "doc_id long, n_shingles long, set_key binary, groups array<long>, sign array<tinyint>"
     )
 
 
-def candidates(classes: DataFrame, m: int, threshold: float, small: int = 32) -> DataFrame:
-    """(a, b), a < b: pairs of classes (rep, n_shingles, groups) that a table proposes."""
+def candidates(classes: DataFrame, m: int, threshold: float, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large): pairs (a, b), a < b, of classes (rep, n_shingles, groups) that a table proposes, and the rows of its large buckets."""
     values = classes.select("rep", "n_shingles", F.posexplode("groups").alias("at", "value"))
     shared = values.groupBy("at", "value").count().filter("count > 1").select("at", "value")
     held = (
@@ -118,6 +124,8 @@ def candidates(classes: DataFrame, m: int, threshold: float, small: int = 32) ->
         .select(
             "rep",
             "n_shingles",
+            F.col("l.at").alias("i"),
+            (F.col("r.at") - m).alias("j"),
             F.xxhash64("l", "r").alias("key"),
             F.xxhash64(nth(F.col("left"), F.col("i") + 1)).alias("finer"),
             F.xxhash64(nth(F.col("left"), F.col("i") + 1), nth(F.col("right"), F.col("j") + 1)).alias("finest"),
@@ -142,12 +150,41 @@ def candidates(classes: DataFrame, m: int, threshold: float, small: int = 32) ->
     pairs = inner
     for star in stars:
         pairs = pairs.union(star)
-    return (
+    found = (
         pairs.filter(fits(F.col("x.n_shingles"), F.col("y.n_shingles")))
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .filter("a <> b")
         .distinct()
     )
+    return found, large.select("rep", "n_shingles", "key", "i", "j")
+
+
+def stragglers(large: DataFrame, classes: DataFrame, found: DataFrame, m: int, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs of large buckets that no link has joined yet (``found``: node, component).
+
+    In each bucket the largest component is left in peace with itself; every
+    other class meets all classes of other components. Similar pairs fail the
+    test on the minhashes with a probability below 1e-4.
+    """
+    named = large.join(found, large["rep"] == found["node"], "left").select("rep", "n_shingles", "key", "i", "j", F.coalesce("component", "rep").alias("c"))
+    named = checkpoint(named.join(classes.select("rep", "groups", "sign"), "rep"))
+    main = named.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("main"))
+    held = named.join(main, "key")
+    hashes = 2 * m * ROWS
+    least = int(hashes * threshold - 3.9 * (hashes * threshold * (1 - threshold)) ** 0.5)
+    equal = F.zip_with("x.sign", "y.sign", lambda p, q: p == q)
+    same = F.zip_with("x.groups", "y.groups", lambda p, q: p == q)
+    none = lambda part: ~F.exists(part, lambda e: e)
+    condition = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.c") != F.col("y.c"))
+        & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+        & (F.least("x.n_shingles", "y.n_shingles") >= F.lit(threshold) * F.greatest("x.n_shingles", "y.n_shingles"))
+        & (F.size(F.filter(equal, lambda e: e)) >= least)
+        & none(F.slice(same, F.lit(1), F.col("x.i")))
+        & none(F.slice(same, F.lit(m + 1), F.col("x.j")))
+    )
+    return held.filter("c <> main").alias("x").join(held.alias("y"), condition).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def _packer(k: int):
@@ -175,8 +212,8 @@ def _confirmer(percent: int):
     return confirm
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links for every row of ``docs`` (doc_id, text, ...).
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int = 1, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
 
     Two documents are linked when ``100 * |A and B| >= percent * |A or B|`` over
     their sets of distinct ``k``-word shingles; component_id is the smallest
@@ -190,23 +227,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
     m = collections(threshold)
     sketch = checkpoint(sketches(docs, k, threshold, seed=seed))
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    classes = checkpoint(
-        known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "groups")).alias("c")).select(
-            "set_key", F.col("c.doc_id").alias("rep"), F.col("c.n_shingles").alias("n_shingles"), F.col("c.groups").alias("groups")
-        )
-    )
-    pairs = checkpoint(candidates(classes.drop("set_key"), m, threshold))
-    used = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    classes = checkpoint(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "groups", "sign")).alias("c")).select("set_key", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.groups", "c.sign"))
+    pairs, large = candidates(classes.drop("set_key", "sign"), m, threshold, small)
+    pairs, large = checkpoint(pairs), checkpoint(large)
+    used = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(large.select("rep")).distinct()
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep is not null")
     packed = checkpoint(whole.join(used, "rep", "left_semi").mapInArrow(_packer(k), "rep long, shingles binary"))
-    sure = (
-        pairs.join(packed.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(packed.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_confirmer(percent), "a long, b long")
-    )
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(packed.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(packed.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+            .select("a", "b", "x", "y")
+            .mapInArrow(_confirmer(percent), "a long, b long")
+            .select(F.col("a").alias("u"), F.col("b").alias("v"))
+        )
+
+    links = confirmed(pairs)
+    if not large.isEmpty():
+        links = checkpoint(links)
+        links = links.union(confirmed(stragglers(large, classes, components(spark, links), m, threshold)))
     members = known.join(classes.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = components(spark, sure.select(F.col("a").alias("u"), F.col("b").alias("v")).union(members))
+    found = components(spark, links.union(members))
     out = sketch.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
