@@ -109,6 +109,47 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=5, percent=85)
 
 
+# Slices of blobs are bytes; the bytes kept are put together as hexadecimal text, two characters a byte.
+OP3_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, encode(coalesce(text, '')) AS bytes FROM documents),
+w AS (SELECT r, p, hash(array_slice(bytes, p + 1, p + 200)) AS h FROM (SELECT r, x, bytes, unnest(range(0, (length(x) // 2 - 199)::BIGINT)) AS p FROM d)),
+dup AS (SELECT r, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT r, p, sum(far) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS span FROM
+      (SELECT r, p, coalesce((p - lag(p) OVER (PARTITION BY r ORDER BY p) > 200)::INT, 1) AS far FROM dup)),
+s AS (SELECT r, span, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, span),
+e AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS before FROM s),
+k AS (SELECT e.r, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS last, count(*) AS n, sum(b - a)::BIGINT AS gone FROM e JOIN d USING (r) GROUP BY e.r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+_REACH = """
+r(id, c) AS (SELECT id, id FROM nodes UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+{_REACH}
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN m ON m.id = vec_id
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5
+      UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
+{_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": op1_backoff,
     "op2_raking": op2_raking,
@@ -123,6 +164,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_suffix_array": OP3_SQL,
+    "op9_flat_graph": OP9_SQL,
+    "op10_minhash": OP10_SQL,
     "op7_winnowing": OP7_SQL,
     "op8_diagonals": OP8_SQL,
 }
