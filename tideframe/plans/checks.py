@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideframe.operators import diff, history, keys, quality, schema
@@ -53,8 +53,7 @@ def _(spark, d):
 @query("freshness_sources", f"SELECT count(*) AS rows, max(ts) AS newest, date_diff('second', max(ts), TIMESTAMP '{NOW}') AS age_seconds, date_diff('second', max(ts), TIMESTAMP '{NOW}') > 3600 AS stale FROM events")
 def _(spark, d):
     # whole seconds on both sides
-    e = table(spark, d, "events").withColumn("ts", F.col("ts"))
-    return quality.freshness(e, "ts", 3600, NOW).withColumn("age_seconds", F.timestamp_diff("SECOND", F.date_trunc("second", "newest").cast("timestamp_ntz"), F.lit(NOW).cast("timestamp_ntz")))
+    return quality.freshness(table(spark, d, "events"), "ts", 3600, NOW).withColumn("age_seconds", F.timestamp_diff("SECOND", F.date_trunc("second", "newest").cast("timestamp_ntz"), F.lit(NOW).cast("timestamp_ntz")))
 
 
 _RUNS = "(SELECT event_type AS model, max(ts) AS last_run, count(*) AS rows, 1000 + length(event_type) * 300 AS min_rows FROM events GROUP BY 1)"
@@ -290,8 +289,6 @@ def _(spark, d):
         SELECT model, count(*) AS builds, arg_max(rows_out, built_at) AS rows, round(avg((rows_out - b) / b), 6) AS mean_growth FROM s GROUP BY model HAVING count(*) >= 3 AND avg((rows_out - b) / b) BETWEEN 0 AND 0.2""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("model").orderBy("built_at").rowsBetween(Window.unboundedPreceding, 0)
     builds = _builds(spark, d).select("model", "built_at", F.sum("rows_in").over(w).alias("rows_out"))
     return history.incremental_candidates(builds).withColumn("mean_growth", F.round("mean_growth", 6))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,8 +66,6 @@ def _(spark, d):
     path, o = work_folder(spark, "changed"), _orders(spark, d)
     o.filter("o_orderstatus = 'F'").write.parquet(path)
     _, mark = readers.changed_files(spark, path)
-    import time
-
     time.sleep(1.1)  # modification times of some stores are whole seconds
     o.filter("o_orderstatus <> 'F'").write.mode("append").parquet(path)
     fresh, _ = readers.changed_files(spark, path, since=mark)
