@@ -11,9 +11,11 @@ Neighbouring windows with one anchor form a run, and the run's bytes its context
   suffixes are sorted, the stack scan of the common-prefix lengths gives the tree
   of prefix intervals, and intervals of at least ``length`` bytes whose left
   neighbours differ are maximal repeats, reported with all their occurrences.
-* Parts of more than ``PART`` contexts are cut finer by the hash of each suffix's
-  first ``length`` bytes; what is left in a part then shares them all, and a count
-  with map-side combine takes the place of the scan.
+* Parts of more than ``PART`` contexts are cut finer: windows whose starts lie in
+  the same ``STEP`` places before the anchor form a class, keyed by the bytes that
+  all of them share. Classes alone with their key have no repeats, equal classes
+  are repeated as a whole, and the windows of the others meet by their own hash,
+  all by counts with map-side combine.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tideframe.llm.decontaminate import merge_runs
 from tideframe.llm.graph import checkpoint
 from tideframe.llm.wordhash import mix, prefix_sums, span_hashes, texts
 
-LENGTH, GRAM, PART = 200, 32, 256
+LENGTH, GRAM, PART, STEP = 200, 32, 256, 8
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -45,9 +47,9 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window start, last window start, anchor hash, context hash) of every run."""
+    """(document, first window start, last window start, anchor, anchor hash, context hash) of every run."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (int, int, int, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (int, int, int, int, np.uint64, np.uint64))
     sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
     grams = span_hashes(sums, at, at + gram)
@@ -56,14 +58,14 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np
     ok = np.arange(len(anchor)) + length <= offs[1:][doc]
     start = np.flatnonzero(ok)
     if not len(start):
-        return tuple(np.zeros(0, t) for t in (int, int, int, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (int, int, int, int, np.uint64, np.uint64))
     anchor, doc = anchor[start], doc[start]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
     last = np.concatenate((first[1:], [len(start)])) - 1
     lo, hi, a = start[first], start[last], anchor[first]
     context = span_hashes(sums, lo, hi + length)
     context = mix(context * np.uint64(0x9E3779B97F4A7C15) + ((a - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64))
-    return doc[first], lo, hi, grams[a], context
+    return doc[first], lo, hi, a, grams[a], context
 
 
 def maximal_repeats(contexts: list[bytes], starts: list[int], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -101,11 +103,11 @@ def _anchors(length: int, gram: int):
         for batch in batches:
             keys, sizes = batch.column("tid").to_numpy(), batch.column("bytes").to_numpy()
             for first, _, data, offs in texts(batch.column("text")):
-                doc, lo, hi, h, c = runs(data, offs, length, gram)
+                doc, lo, hi, a, h, c = runs(data, offs, length, gram)
                 own = first + doc
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[own]), pa.array(sizes[own]), pa.array((lo - offs[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int32))],
-                    ["h", "c", "tid", "bytes", "lo", "more"],
+                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[own]), pa.array(sizes[own]), pa.array((lo - offs[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array((a - lo).astype(np.int32))],
+                    ["h", "c", "tid", "bytes", "lo", "more", "ahead"],
                 )
 
     return find
@@ -124,9 +126,10 @@ def _contexts(length: int):
                         pa.array([size] * len(wanted), pa.int32()),
                         pa.array([w["lo"] for w in wanted], pa.int32()),
                         pa.array([w["more"] for w in wanted], pa.int32()),
+                        pa.array([w["ahead"] for w in wanted], pa.int32()),
                         pa.array([raw[w["lo"] : w["lo"] + w["more"] + length] for w in wanted], pa.binary()),
                     ],
-                    ["h", "n", "tid", "bytes", "lo", "more", "context"],
+                    ["h", "n", "tid", "bytes", "lo", "more", "ahead", "context"],
                 )
 
     return cut
@@ -135,13 +138,20 @@ def _contexts(length: int):
 _SPAN = "h long, repeat int, tid long, bytes int, start int, end int"
 
 
-def _scan(length: int):
+def _scan(length: int, merged: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for h, part in zip(batch.column("h").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                covered: list[list[tuple[int, int]]] = [[] for _ in part]
                 for k, (shared, found) in enumerate(maximal_repeats([x["context"] for x in part], [x["more"] + 1 for x in part], length)):
-                    out += [(h, k, part[i]["tid"], part[i]["bytes"], part[i]["lo"] + p, part[i]["lo"] + p + shared) for i, p in found]
+                    for i, p in found:
+                        if merged:
+                            covered[i].append((p, p + shared))
+                        else:
+                            out.append((h, k, part[i]["tid"], part[i]["bytes"], part[i]["lo"] + p, part[i]["lo"] + p + shared))
+                for x, spans in zip(part, covered, strict=True):
+                    out += [(h, -3, x["tid"], x["bytes"], x["lo"] + a, x["lo"] + b) for a, b in merge_runs(spans)]
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "repeat", "tid", "bytes", "start", "end"])
@@ -149,51 +159,80 @@ def _scan(length: int):
     return scan
 
 
-def _suffix_keys(length: int):
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digest(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _classes(length: int, step: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, tid, size, lo, more, context in zip(*(batch.column(c).to_pylist() for c in ("h", "tid", "bytes", "lo", "more", "context")), strict=True):
-                whole = [hashlib.blake2b(context[p : p + length], digest_size=16).digest() for p in range(more + 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * len(whole), pa.int64()), pa.array(whole, pa.binary()), pa.array([tid] * len(whole), pa.int64()), pa.array([size] * len(whole), pa.int32()), pa.array([lo + p for p in range(more + 1)], pa.int32())],
-                    ["h", "window", "tid", "bytes", "start"],
-                )
+            rows = []
+            for h, tid, size, lo, more, ahead, context in zip(*(batch.column(c).to_pylist() for c in ("h", "tid", "bytes", "lo", "more", "ahead", "context")), strict=True):
+                p = 0
+                while p <= more:
+                    # places before the anchor fall by one with each start; a class ends where they leave its range
+                    q = (ahead - p) // step
+                    last = min(more, ahead - q * step)
+                    # the bytes of every window of the full class, whatever part of it this run has
+                    core = context[max(0, ahead - q * step) : ahead - q * step - step + 1 + length]
+                    rows.append((_digest(b"%d/%d/" % (h, q) + core[: length - step + 1]), _digest(b"%d/%d/" % (ahead - p, last - p) + context[p : last + length]), tid, size, lo + p, [_digest(context[i : i + length]) for i in range(p, last + 1)]))
+                    p = last + 1
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["core", "whole", "tid", "bytes", "start", "windows"])
+
+    return cut
+
 
-    return keys
+def _large_parts(parts: DataFrame, length: int, step: int) -> DataFrame:
+    """Spans of parts of very many contexts, by counts."""
+    classes = checkpoint(parts.mapInArrow(_classes(length, step), "core long, whole long, tid long, bytes int, start int, windows array<long>"))
+    shared = classes.groupBy("core").count().filter("count > 1").select("core")
+    live = checkpoint(classes.join(shared, "core", "left_semi"))
+    kinds = live.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("tid", "bytes", "start", "windows")).alias("x"))
+    kinds = checkpoint(kinds)
+    equal = live.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("tid", "bytes", "start", (F.col("start") + F.size("windows") - 1 + length).alias("end"))
+    single = kinds.select("n", "x.tid", "x.bytes", "x.start", F.posexplode("x.windows").alias("p", "window"))
+    often = single.groupBy("window").count().filter("count > 1").select("window")
+    some = single.filter("n = 1").join(often, "window", "left_semi").select("tid", "bytes", (F.col("start") + F.col("p")).alias("start"), (F.col("start") + F.col("p") + length).alias("end"))
+    return equal.union(some)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART, merged: bool = False) -> DataFrame:
     """(h, repeat, tid, bytes, start, end): every occurrence of every maximal repeat, by text.
 
     Texts are named by ``tid`` (xxhash64) and ``bytes`` (length); equal texts are one.
-    Repeats longer than an anchor's context come as overlapping pieces.
+    Repeats longer than an anchor's context come as overlapping pieces. With
+    ``merged`` the occurrences in one context come as the spans they cover.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.select(F.xxhash64(text).alias("tid"), F.octet_length(text).alias("bytes"), text.alias("text")).filter(F.col("bytes") >= length)
-    found = checkpoint(named.mapInArrow(_anchors(length, gram), "h long, c long, tid long, bytes int, lo int, more int"))
+    # read twice rather than kept: the anchors of all texts are larger than the texts are on disk
+    found = named.mapInArrow(_anchors(length, gram), "h long, c long, tid long, bytes int, lo int, more int, ahead int")
     shared = found.select("h").groupBy("h").count().filter("count > 1").select("h")
-    runs_ = checkpoint(found.join(shared, "h", "left_semi").groupBy("h", "c", "tid", "bytes", "lo", "more").agg(F.count("*").alias("n")))
-    context = runs_.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "bytes", "lo", "more")).alias("at"))
+    runs_ = checkpoint(found.join(shared, "h", "left_semi").groupBy("h", "c", "tid", "bytes", "lo", "more", "ahead").agg(F.count("*").alias("n")))
+    context = runs_.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "bytes", "lo", "more", "ahead")).alias("at"))
     context = checkpoint(context)
     whole = runs_.join(context.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(
         "h", F.lit(-1).alias("repeat"), "tid", "bytes", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + length).alias("end")
     )
     several = context.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    wanted = context.join(several, "h").select("h", "contexts", "n", "at.*").groupBy("tid", "bytes").agg(F.collect_list(F.struct("h", "n", "lo", "more")).alias("wanted"))
+    wanted = context.join(several, "h").select("h", "contexts", "n", "at.*").groupBy("tid", "bytes").agg(F.collect_list(F.struct("h", "n", "lo", "more", "ahead")).alias("wanted"))
     once = named.groupBy("tid", "bytes").agg(F.first("text").alias("text"))
-    cut = checkpoint(once.join(wanted, ["tid", "bytes"]).mapInArrow(_contexts(length), "h long, n long, tid long, bytes int, lo int, more int, context binary"))
+    cut = checkpoint(once.join(wanted, ["tid", "bytes"]).mapInArrow(_contexts(length), "h long, n long, tid long, bytes int, lo int, more int, ahead int, context binary"))
     parts = cut.join(several, "h")
     scanned = (
         parts.filter(F.col("contexts") <= part)
         .groupBy("h")
         .agg(F.collect_list(F.struct("tid", "bytes", "lo", "more", "context")).alias("part"))
-        .mapInArrow(_scan(length), _SPAN)
+        .mapInArrow(_scan(length, merged), _SPAN)
     )
-    keyed = parts.filter(F.col("contexts") > part).mapInArrow(_suffix_keys(length), "h long, window binary, tid long, bytes int, start int")
-    keyed = checkpoint(keyed)
-    often = keyed.groupBy("window").count().filter("count > 1").select("window")
-    counted = keyed.join(often, "window", "left_semi").select("h", F.lit(-2).alias("repeat"), "tid", "bytes", "start", (F.col("start") + length).alias("end"))
-    return whole.union(scanned).union(counted)
+    spans = whole.union(scanned)
+    # few corpora have a part so large; the counts are only planned where one is
+    if several.filter(F.col("contexts") > part).isEmpty():
+        return spans
+    large = _large_parts(parts.filter(F.col("contexts") > part), length, STEP)
+    return spans.union(large.select(F.lit(None).cast("long"), F.lit(-2), "tid", "bytes", "start", "end"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     and empty texts have no bytes. Repeated rows count as further documents; other
     columns are ignored; an empty table gives an empty result.
     """
-    found = repeats(docs, length, gram, part).select("tid", "bytes", "start", "end").distinct()
+    found = repeats(docs, length, gram, part, merged=True).select("tid", "bytes", "start", "end").distinct()
     spans = found.groupBy("tid", "bytes").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.octet_length(text).alias("bytes"), text.alias("text"))
