@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideframe.operators import cdc, incremental, keys, microbatch, schema, scd2
 from tideframe.plans.registry import query, table
+from tideframe.sources.files import work_folder
 
 CUT = datetime(1995, 6, 1)
 
@@ -254,6 +255,13 @@ def _empty(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return df.select(*columns, F.col("lsn").alias(name)).limit(0)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Written and read again, as a target is between two batches; lazily nested, each batch would redo all before it."""
+    path = work_folder(df.sparkSession, "batch")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _FINAL = f"(SELECT * FROM {_C} WHERE lsn IS NOT NULL {_LAST})"
 
 
@@ -263,7 +271,7 @@ def _(spark, d):
     one, two = _halves(spark, d)
     target, tombs = _empty(one, ["user_id", "value"], cdc.SEQ), _empty(one, ["user_id"], cdc.SEQ)
     for batch in (two, one, two):
-        target, tombs = cdc.apply_hard(target, tombs, batch, ["user_id"], "lsn", "op")
+        target, tombs = map(_settled, cdc.apply_hard(target, tombs, batch, ["user_id"], "lsn", "op"))
     return target
 
 
@@ -272,7 +280,7 @@ def _(spark, d):
     one, two = _halves(spark, d)
     target, tombs = _empty(one, ["user_id", "value"], cdc.SEQ), _empty(one, ["user_id"], cdc.SEQ)
     for batch in (two, one):
-        target, tombs = cdc.apply_hard(target, tombs, batch, ["user_id"], "lsn", "op")
+        target, tombs = map(_settled, cdc.apply_hard(target, tombs, batch, ["user_id"], "lsn", "op"))
     return tombs
 
 
@@ -281,7 +289,7 @@ def _(spark, d):
     one, two = _halves(spark, d)
     target = _empty(one, ["user_id", "value"], cdc.SEQ).withColumn(cdc.DELETED, F.lit(False))
     for batch in (two, one, two):
-        target = cdc.apply_soft(target, batch, ["user_id"], "lsn", "op")
+        target = _settled(cdc.apply_soft(target, batch, ["user_id"], "lsn", "op"))
     return target
 
 
