@@ -125,6 +125,17 @@ class TestMinhash:
         found = minhash.near_duplicates(spark.createDataFrame(held, "doc_id long, text string"), percent=85)
         assert sorted(map(tuple, found.collect())) == self.brute(held, 85)
 
+    def test_chain_in_large_buckets(self, spark):
+        """Each text differs from the one before by a word, so no leader is near them all."""
+        rng = random.Random(5)
+        now, held = [f"t{i}" for i in range(150)], []
+        for i in range(90):
+            now = list(now)
+            now[rng.randrange(150)] = f"y{rng.randrange(10**6)}"
+            held.append((i * 37 % 90, " ".join(now)))
+        found = minhash.near_duplicates(spark.createDataFrame(held, "doc_id long, text string"), percent=85, small=3)
+        assert sorted(map(tuple, found.collect())) == self.brute(sorted(held), 85)
+
     def test_awkward(self, awkward):
         r = {(x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(awkward, percent=85).collect()}
         assert {(1, 8, 1, True), (2, 8, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (9, 1, 9, True), (None, 8, None, True), (None, 0, None, True)} <= r

@@ -11,9 +11,9 @@ Equal shingle sets are one class with one representative, however many copies
 there are. Candidates of a table: all pairs of buckets of at most ``small``
 classes; in larger ones every class meets the leader of its bucket and the
 leaders of the two finer buckets made by adding further groups to the key. What
-these links leave outside a large bucket's main component is then compared with
-all of the bucket that it is not yet joined to, where sizes and the minhashes
-allow the similarity; a pair is looked at in the first table it shares only.
+these links leave apart in large buckets is then joined by its rarest shingles:
+two sets of the similarity asked for must share one of them, so no link is lost,
+while members of a family that each have shingles of their own do not meet.
 Every candidate is confirmed on the full shingle sets.
 """
 
@@ -69,13 +69,12 @@ def _sketcher(k: int, m: int, rows: int, seed: int):
         shift = rng.integers(0, 1 << 63, 2 * m * rows, dtype=np.uint64)
         fold = rng.integers(1, 1 << 62, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            sizes, keys, groups, signs = [], [], [], []
+            sizes, keys, groups = [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 sizes.append(len(s))
                 if not len(s):
                     keys.append(None)
                     groups.append(None)
-                    signs.append(None)
                     continue
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 least = np.empty(2 * m * rows, np.uint64)
@@ -84,25 +83,24 @@ def _sketcher(k: int, m: int, rows: int, seed: int):
                     least = low if part == 0 else np.minimum(least, low)
                 group = mix((least.reshape(2 * m, rows) * fold).sum(axis=1, dtype=np.uint64) + np.arange(2 * m, dtype=np.uint64))
                 groups.append(group.view(np.int64))
-                signs.append((mix(least) >> np.uint64(56)).astype(np.uint8).view(np.int8))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int8()))],
-                ["doc_id", "n_shingles", "set_key", "groups", "sign"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(groups, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_key", "groups"],
             )
 
     return sketch
 
 
 def sketches(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = ROWS, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set), the 2 m group values and a byte of each minhash."""
+    """doc_id, n_shingles, set_key (128 bits of the set) and the 2 m group values."""
     m = collections(threshold, rows)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketcher(k, m, rows, seed), "doc_id long, n_shingles long, set_key binary, groups array<long>, sign array<tinyint>"
+        _sketcher(k, m, rows, seed), "doc_id long, n_shingles long, set_key binary, groups array<long>"
     )
 
 
 def candidates(classes: DataFrame, m: int, threshold: float, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large): pairs (a, b), a < b, of classes (rep, n_shingles, groups) that a table proposes, and the rows of its large buckets."""
+    """(pairs, large): pairs (a, b), a < b, of classes (rep, n_shingles, groups) that a table proposes, and the classes of its large buckets."""
     values = classes.select("rep", "n_shingles", F.posexplode("groups").alias("at", "value"))
     shared = values.groupBy("at", "value").count().filter("count > 1").select("at", "value")
     held = (
@@ -156,33 +154,45 @@ def candidates(classes: DataFrame, m: int, threshold: float, small: int = SMALL)
         .filter("a <> b")
         .distinct()
     )
-    return found, large.select("rep", "n_shingles", "key", "i", "j")
+    return found, large.select("rep").distinct()
 
 
-def stragglers(large: DataFrame, classes: DataFrame, found: DataFrame, m: int, threshold: float) -> DataFrame:
-    """(a, b), a < b: pairs of large buckets that no link has joined yet (``found``: node, component).
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "row", "shingles"])
 
-    In each bucket the largest component is left in peace with itself; every
-    other class meets all classes of other components. Similar pairs fail the
-    test on the minhashes with a probability below 1e-4.
+
+def stragglers(large: DataFrame, packed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of classes in ``large`` that no link has joined yet (``found``: node, component).
+
+    Shingles are ordered from the rarest on. Sets with ``n`` in common share one
+    of their first ``size - n + 1``, so only these meet, and only where both
+    places leave enough shingles for the similarity. The largest component at a
+    shingle is left in peace with itself.
     """
-    named = large.join(found, large["rep"] == found["node"], "left").select("rep", "n_shingles", "key", "i", "j", F.coalesce("component", "rep").alias("c"))
-    named = checkpoint(named.join(classes.select("rep", "groups", "sign"), "rep"))
-    main = named.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("main"))
-    held = named.join(main, "key")
-    hashes = 2 * m * ROWS
-    least = int(hashes * threshold - 3.9 * (hashes * threshold * (1 - threshold)) ** 0.5)
-    equal = F.zip_with("x.sign", "y.sign", lambda p, q: p == q)
-    same = F.zip_with("x.groups", "y.groups", lambda p, q: p == q)
-    none = lambda part: ~F.exists(part, lambda e: e)
+    sets = packed.join(large, "rep", "left_semi").select("rep", F.xxhash64("shingles").alias("row"), "shingles").mapInArrow(_unpack, "rep long, row long, shingles array<long>")
+    each = checkpoint(sets.select("rep", "row", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s")))
+    spare = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
+    first = (
+        each.join(each.groupBy("s").count(), "s")
+        .groupBy("rep", "row", "n")
+        .agg(F.sort_array(F.collect_set(F.struct("count", "s"))).alias("all"))
+        .select("rep", "n", F.posexplode(F.slice("all", F.lit(1), spare)).alias("at", "e"))
+        .select("rep", "n", "at", "e.s", "e.count")
+        .filter("count > 1")
+    )
+    named = first.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", "at", "s", F.coalesce("component", "rep").alias("c"))
+    named = checkpoint(named)
+    main = named.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("main"))
+    held = named.join(main, "s")
+    common = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     condition = (
-        (F.col("x.key") == F.col("y.key"))
+        (F.col("x.s") == F.col("y.s"))
         & (F.col("x.c") != F.col("y.c"))
         & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-        & (F.least("x.n_shingles", "y.n_shingles") >= F.lit(threshold) * F.greatest("x.n_shingles", "y.n_shingles"))
-        & (F.size(F.filter(equal, lambda e: e)) >= least)
-        & none(F.slice(same, F.lit(1), F.col("x.i")))
-        & none(F.slice(same, F.lit(m + 1), F.col("x.j")))
+        & (F.col("x.at") <= F.col("x.n") - common)
+        & (F.col("y.at") <= F.col("y.n") - common)
     )
     return held.filter("c <> main").alias("x").join(held.alias("y"), condition).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
@@ -227,10 +237,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
     m = collections(threshold)
     sketch = checkpoint(sketches(docs, k, threshold, seed=seed))
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    classes = checkpoint(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "groups", "sign")).alias("c")).select("set_key", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.groups", "c.sign"))
-    pairs, large = candidates(classes.drop("set_key", "sign"), m, threshold, small)
+    classes = checkpoint(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "groups")).alias("c")).select("set_key", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.groups"))
+    pairs, large = candidates(classes.drop("set_key"), m, threshold, small)
     pairs, large = checkpoint(pairs), checkpoint(large)
-    used = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(large.select("rep")).distinct()
+    used = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(large).distinct()
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep is not null")
     packed = checkpoint(whole.join(used, "rep", "left_semi").mapInArrow(_packer(k), "rep long, shingles binary"))
 
@@ -246,7 +256,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
     links = confirmed(pairs)
     if not large.isEmpty():
         links = checkpoint(links)
-        links = links.union(confirmed(stragglers(large, classes, components(spark, links), m, threshold)))
+        links = links.union(confirmed(stragglers(large, packed, components(spark, links), percent)))
     members = known.join(classes.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(spark, links.union(members))
     out = sketch.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
