@@ -323,6 +323,14 @@ class TestVectors:
         found, true = vectors.audit_recall(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), block=3)
         assert found >= 0.9 * true
 
+    def test_dense_family_loses_no_link(self, spark):
+        rng = np.random.default_rng(3)
+        x = rng.normal(size=16) + rng.normal(0, 0.3, (5500, 16))
+        df = spark.createDataFrame([(i, [float(z) for z in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+        for options in ({}, {"shard_rows": 10_000}):
+            found, true = vectors.audit_recall(df, **options)
+            assert found == true > 1000
+
     def test_prune_keeps_the_nearest(self):
         x = vectors._unit(np.random.default_rng(4).normal(size=(50, 8)))
         kept = vectors.robust_prune(x, 0, np.arange(50), 6, 1.2)

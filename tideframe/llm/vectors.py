@@ -1,15 +1,18 @@
-"""Embedding near-duplicates over a robust-pruned flat graph.
+"""Embedding near-duplicates over overlapping shards, compared exactly.
 
 Vectors are compared within a label only. Each label is cut into clusters fitted
-on a bounded sample; every vector goes to the shards of its ``OVERLAP`` nearest
-clusters. A shard builds a graph on its members: candidates are the nearest and
-some random ones, thinned by robust pruning, with links back. The adjacency
-lists of a vector from all its shards are united, and each vector then searches
-its own cluster's shard: greedily from the shard's medoid and from itself, then
-on through every node in range. Hits are verified by their cosine in doubles.
+on a bounded sample; every vector has its home in the nearest and is a member of
+each cluster where a vector that it links with may live. Of two linked vectors
+the one nearer to its own centre finds the other there: by the triangle
+inequality that centre is within the other's home angle plus acos(threshold),
+and as the first lies on the centre's side of the plane halfway to the other's
+centre, the other is beyond that plane by sin(acos(threshold)) at most. Vectors
+are placed wherever both hold, so no pair is missed. The rows at home in a shard
+are multiplied with its members in blocks of bounded size, a task for each pair
+of blocks, and hits are verified by their cosine in doubles.
 
 Equal vectors of a label are one class, found by aggregation, so thousands of
-copies are one node of the graph and one row of the search.
+copies are one row of the search.
 """
 
 from __future__ import annotations
@@ -26,10 +29,8 @@ from tideframe.llm.graph import checkpoint, components
 
 #: Rows that the clusters are fitted on at most, and members of a cluster aimed at.
 SAMPLE, SHARD_ROWS = 40_000, 500
-OVERLAP = 3
-NEAREST, RANDOM, DEGREE, ALPHA = 40, 24, 24, 1.2
-#: Below the threshold by which nodes are still walked through, and steps without a better node before a search ends.
-SLACK, PATIENCE = 0.05, 10
+#: Rows of a shard that a task compares with as many of its members, about.
+BLOCK_ROWS = 2048
 
 
 def _usable(spark_rows: DataFrame) -> DataFrame:
@@ -72,18 +73,39 @@ def fit_clusters(classes: DataFrame, sample: int = SAMPLE, shard_rows: int = SHA
     return out
 
 
-def _shards(classes: DataFrame, centres: dict[tuple[str, int], np.ndarray], overlap: int) -> DataFrame:
-    """(shard, home, rep, vector): each class in the shards of its nearest clusters."""
+def _places(x: np.ndarray, centre: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(home of each unit vector, whether each cluster may be home to one that it links with)."""
+    sims = x @ centre.T
+    home = sims.argmax(axis=1)
+    own = sims[np.arange(len(x)), home][:, None]
+    angle = np.arccos(np.clip(threshold, -1, 1))
+    reach = sims >= np.cos(np.minimum(np.pi, np.arccos(np.clip(own, -1, 1)) + angle)) - 1e-6
+    if angle < np.pi / 2:
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (centre[home] @ centre.T)))
+        reach &= own - sims <= np.sin(angle) * apart + 1e-6
+    reach[np.arange(len(x)), home] = True
+    return home, reach
+
+
+def _shards(classes: DataFrame, centres: dict[tuple[str, int], np.ndarray], threshold: float) -> DataFrame:
+    """(shard, home, rep, vector): each class in its home shard and in those where it may have links."""
     shared = classes.sparkSession.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for (label, dim), part in frame.groupby(["label", "dim"], sort=False):
+            for (label, dim), whole in frame.groupby(["label", "dim"], sort=False):
                 centre = shared.value.get((label, dim))
-                x = np.stack(part["vector"].to_numpy()).astype(float)
-                near = np.zeros((len(x), 1), int) if centre is None else np.argsort(-(_unit(x) @ centre.T), axis=1, kind="stable")[:, :overlap]
-                for j in range(near.shape[1]):
-                    yield pd.DataFrame({"shard": [f"{label}/{dim}/{c}" for c in near[:, j]], "home": j == 0, "rep": part["rep"].to_numpy(), "vector": part["vector"].to_numpy()})
+                for lo in range(0, len(whole), 512):
+                    part = whole.iloc[lo : lo + 512]
+                    if centre is None:
+                        home, reach = np.zeros(len(part), int), np.ones((len(part), 1), bool)
+                    else:
+                        home, reach = _places(_unit(np.stack(part["vector"].to_numpy()).astype(float)), centre, threshold)
+                    at, to = np.nonzero(reach)
+                    rep, vector = part["rep"].to_numpy(), part["vector"].to_numpy()
+                    for i in range(0, len(at), 10_000):
+                        r, c = at[i : i + 10_000], to[i : i + 10_000]
+                        yield pd.DataFrame({"shard": [f"{label}/{dim}/{k}" for k in c], "home": home[r] == c, "rep": rep[r], "vector": vector[r]})
 
     return classes.select("label", "dim", "rep", "vector").mapInPandas(place, "shard string, home boolean, rep long, vector array<float>")
 
@@ -104,87 +126,43 @@ def robust_prune(x: np.ndarray, node: int, pool: np.ndarray, degree: int, alpha:
     return chosen
 
 
-def _build(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("rep")
-    ids, x = frame["rep"].to_numpy(), _unit(np.stack(frame["vector"].to_numpy()).astype(float))
-    n = len(x)
-    rng = np.random.Generator(np.random.PCG64(n))
-    near: list[np.ndarray] = []
-    for lo in range(0, n, 512):
-        sims = x[lo : lo + 512] @ x.T
-        near += list(np.argpartition(-sims, min(NEAREST, n - 1), axis=1)[:, : NEAREST + 1])
-    lists = [robust_prune(x, i, np.unique(np.concatenate([near[i], rng.integers(0, n, RANDOM)])), DEGREE, ALPHA) for i in range(n)]
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, own in enumerate(lists):
-        for j in own:
-            back[j].append(i)
-    for i in range(n):
-        both = np.unique(np.array(lists[i] + back[i], int))
-        lists[i] = list(both) if len(both) <= 2 * DEGREE else robust_prune(x, i, both, 2 * DEGREE, ALPHA)
-    return pd.DataFrame({"rep": ids, "near": [[int(ids[j]) for j in own] for own in lists]})
-
-
-def _search(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    frame = frame.sort_values("rep")
-    ids, x = frame["rep"].to_numpy(), _unit(np.stack(frame["vector"].to_numpy()).astype(float))
-    n = len(x)
-    at = {v: i for i, v in enumerate(ids)}
-    near = [[at[v] for v in own if v in at] for own in frame["near"]]
-    width = max(1, max(map(len, near)))
-    table = np.full((n, width), -1)
-    for i, own in enumerate(near):
-        table[i, : len(own)] = own
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
-    out_a, out_b = [], []
-    queries = np.flatnonzero(frame["home"].to_numpy())
+def _tasks(sharded: DataFrame, block: int) -> DataFrame:
+    """(shard, q, m, asks, home, rep, vector): every block of rows at home in a shard beside every block of its members."""
+    parts = sharded.groupBy("shard").agg(F.ceil(F.sum(F.col("home").cast("int")) / block).alias("nq"), F.ceil(F.count("*") / block).alias("nm")).filter("nq > 0")
+    both = sharded.join(parts, "shard")
+    q, m = F.pmod(F.xxhash64(F.lit("q"), "rep"), "nq"), F.pmod(F.xxhash64(F.lit("m"), "rep"), "nm")
+    every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("nq", "nm")}
+    asking = both.filter("home").select("shard", q.alias("q"), every["nm"].alias("m"), F.lit(True).alias("asks"), "home", "rep", "vector")
+    return asking.union(both.select("shard", every["nq"].alias("q"), m.alias("m"), F.lit(False).alias("asks"), "home", "rep", "vector"))
+
+
+def _compare(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    ids, home, asks = frame["rep"].to_numpy(), frame["home"].to_numpy(), frame["asks"].to_numpy()
+    x = _unit(np.stack(frame["vector"].to_numpy()).astype(float))
+    members, out = np.flatnonzero(~asks), [np.zeros((0, 2), np.int64)]
+    queries, y = np.flatnonzero(asks), x[members]
     for lo in range(0, len(queries), 256):
         q = queries[lo : lo + 256]
-        sims = np.full((len(q), n), -2.0, np.float32)
-        done = np.zeros((len(q), n), bool)
-        row = np.arange(len(q))
-        sims[row, medoid] = x[q] @ x[medoid]
-        sims[row, q] = 1
-        best, idle = np.full(len(q), -2.0), np.zeros(len(q), int)
-        while len(row):
-            score = np.where(done[row], -3, sims[row])
-            pick = score.argmax(axis=1)
-            value = score[np.arange(len(row)), pick]
-            better = value > best[row]
-            best[row] = np.maximum(best[row], value)
-            idle[row] = np.where(better, 0, idle[row] + 1)
-            go = (value > -2) & ((value >= threshold - SLACK) | (idle[row] < PATIENCE))
-            row, pick = row[go], pick[go]
-            if not len(row):
-                break
-            done[row, pick] = True
-            nodes = table[pick]
-            r, c = np.nonzero(nodes >= 0)
-            r, v = row[r], nodes[r, c]
-            new = sims[r, v] == -2
-            r, v = r[new], v[new]
-            sims[r, v] = np.einsum("ij,ij->i", x[q[r]], x[v])
-        r, v = np.nonzero(sims >= threshold - 1e-4)
-        exact = np.einsum("ij,ij->i", x[q[r]], x[v]) >= threshold
-        r, v = q[r[exact]], v[exact]
-        out_a.append(ids[np.minimum(r, v)])
-        out_b.append(ids[np.maximum(r, v)])
-    a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
-    return pd.DataFrame({"a": a[a != b], "b": b[a != b]})
-
-
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, overlap: int = OVERLAP, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+        sims = x[q] @ y.T
+        r, v = np.nonzero(sims >= threshold - 1e-9)
+        edge = np.flatnonzero(sims[r, v] < threshold + 1e-9)
+        r, v, hit = q[r], members[v], np.ones(len(r), bool)
+        hit[edge] = np.einsum("ij,ij->i", x[r[edge]], x[v[edge]]) >= threshold
+        # two rows at home meet twice in a shard
+        hit &= np.where(home[v], ids[r] < ids[v], ids[r] != ids[v])
+        out.append(np.stack([np.minimum(ids[r[hit]], ids[v[hit]]), np.maximum(ids[r[hit]], ids[v[hit]])], axis=1))
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, pairs): rows keyed to their class, classes with size and vector, and linked classes (a, b), a < b."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
     rows = rows.withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.xxhash64(F.lit(7), "embedding", "label"))
     usable = _usable(rows).filter("vec_id is not null")
     classes = usable.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("vector"))
-    # one vec_id may stand for several classes; a node of the graph needs one vector
     classes = checkpoint(classes.withColumn("dim", F.size("vector")))
-    sharded = checkpoint(_shards(classes, fit_clusters(classes, sample, shard_rows), overlap))
-    lists = sharded.groupBy("shard").applyInPandas(_build, "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    pairs = sharded.join(united, "rep").groupBy("shard").applyInPandas(lambda frame: _search(frame, threshold), "a long, b long").distinct()
+    sharded = checkpoint(_shards(classes, fit_clusters(classes, sample, shard_rows), threshold))
+    pairs = _tasks(sharded, block_rows).groupBy("shard", "q", "m").applyInPandas(lambda frame: _compare(frame, threshold), "a long, b long").distinct()
     return rows, classes, checkpoint(pairs)
 
 
