@@ -383,6 +383,16 @@ class TestLm:
         context, target = lm.Encoder(found).contexts(hashes, first)
         assert abs(net.log_probs(context, target).sum() - r[1]["log_prob"]) < 1e-2
 
+    @pytest.mark.parametrize("options", [{}, {"rounds": 2, "stride": 4}, {"rounds": 1}])
+    def test_every_place_is_trained_on(self, spark, options):
+        df = spark.createDataFrame([(i, " ".join("abcd" * 250)) for i in range(80)], "doc_id long, text string").repartition(2)
+        found = lm.vocabulary(df)
+        net = lm.train(df, found, **options)
+        _, _, data, offs = next(texts(pa.array([" ".join("abcd" * 250)])))
+        hashes, first, _, _ = word_hashes(data, offs, ALNUM)
+        logs = net.log_probs(*lm.Encoder(found).contexts(hashes, first)).reshape(-1, 4).mean(axis=0)
+        assert logs.min() > -4
+
     def test_awkward(self, awkward):
         r = {x["doc_id"]: x for x in lm.pseudo_likelihood(awkward, rounds=1).collect()}
         assert r[4]["n_tokens"] == 0 and r[4]["log_prob"] == 0 and r[4]["perplexity"] is None and r[6]["n_tokens"] == 60_000

@@ -24,8 +24,8 @@ from tideframe.llm.wordhash import ALNUM, texts, word_hashes
 CLASSES, IN_CLASS, BUCKETS = 32, 32, 64
 VOCABULARY = CLASSES * IN_CLASS
 SIDE, WIDTH, BATCH = 2, 16, 1024
-#: Rounds of averaging; in round r the places r, r + STRIDE, ... of every text are predicted.
-ROUNDS, STRIDE, RATE = 2, 4, 0.15
+#: Rounds of averaging; in round r the places r, r + STRIDE, ... of every text are predicted. A stride of more than the rounds is cut to them, so that every place is.
+ROUNDS, STRIDE, RATE = 2, 2, 0.15
 BLOCK = 1024
 
 
@@ -146,6 +146,7 @@ def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS, stride: int
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     encoder, network = sc.broadcast(Encoder(words)), Network()
+    stride = max(1, min(stride, rounds))
     for r in range(rounds):
         start = sc.broadcast(network.flat)
 
