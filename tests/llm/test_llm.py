@@ -393,6 +393,19 @@ class TestLm:
         logs = net.log_probs(*lm.Encoder(found).contexts(hashes, first)).reshape(-1, 4).mean(axis=0)
         assert logs.min() > -4
 
+    @pytest.mark.parametrize("shared", [65_536, 1, 0])
+    def test_words_of_a_bucket_are_told_apart(self, spark, monkeypatch, shared):
+        monkeypatch.setattr(lm, "SHARED", shared, raising=False)
+        names = [f"z{i}" for i in range(400)]
+        _, _, data, offs = next(texts(pa.array([" ".join(names)])))
+        kind = word_hashes(data, offs, ALNUM)[0] % np.uint64(lm.BUCKETS)
+        common, rare = [x for x, k in zip(names, kind, strict=True) if k == kind[0]][:2]
+        rows = [" ".join(f"w{i}" for i in range(lm.VOCABULARY - lm.BUCKETS))] * 20 + [f"w1 w2 {x} w3 w4" for x in [common] * 15 + [rare]]
+        r = lm.pseudo_likelihood(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+        found = {x["doc_id"]: x["log_prob"] for x in r}
+        assert len(r) == len(rows) and len({found[i] for i in range(20, 35)}) == 1
+        assert abs(found[20] - found[35] - np.log(15)) < 1e-3
+
     def test_awkward(self, awkward):
         r = {x["doc_id"]: x for x in lm.pseudo_likelihood(awkward, rounds=1).collect()}
         assert r[4]["n_tokens"] == 0 and r[4]["log_prob"] == 0 and r[4]["perplexity"] is None and r[6]["n_tokens"] == 60_000

@@ -7,7 +7,9 @@ table for each offset) are added, squashed, and give a softmax over word classes
 times one over the words of a class. It is trained data-parallel: every
 partition takes gradient steps over its own texts from common weights, the
 weights are averaged by Spark, and the next round goes on from there. A text's
-score is the sum over all its words of the log-probability given both sides.
+score is the sum over all its words of the log-probability given both sides; a
+word that shares an id has the probability of the id times its own share of the
+id's count, so every word of the corpus is told apart.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideframe.llm.graph import checkpoint
 from tideframe.llm.wordhash import ALNUM, texts, word_hashes
 
 CLASSES, IN_CLASS, BUCKETS = 32, 32, 64
@@ -27,6 +30,8 @@ SIDE, WIDTH, BATCH = 2, 16, 1024
 #: Rounds of averaging; in round r the places r, r + STRIDE, ... of every text are predicted. A stride of more than the rounds is cut to them, so that every place is.
 ROUNDS, STRIDE, RATE = 2, 2, 0.15
 BLOCK = 1024
+#: Words with a shared id whose counts every task has; the counts of rarer ones are joined. Parts of a logarithm that are summed as whole numbers, so that equal rows get equal sums.
+SHARED, UNIT = 65_536, 1 << 24
 
 
 class Network:
@@ -107,13 +112,60 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): hash and count of every word over all texts."""
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(docs: DataFrame) -> np.ndarray:
     """Hashes of the commonest words over all texts, commonest first; at most VOCABULARY - BUCKETS."""
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return _commonest(word_counts(docs))
+
+
+def _commonest(counts: DataFrame) -> np.ndarray:
     rows = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - BUCKETS).collect()
     return np.array([r[0] for r in rows], np.int64).view(np.uint64)
 
 
+class Shares:
+    """Log shares of words in the count of their bucket, as far as the words are known here."""
+
+    def __init__(self, buckets: np.ndarray, words: np.ndarray, counts: np.ndarray):
+        order = np.argsort(words)
+        self.buckets, self.keys, self.logs = np.log(np.maximum(buckets, 1)), words[order], np.log(counts[order])
+
+    def __call__(self, words: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what to add to the log-probability of each word, places whose log count is still missing in it)."""
+        out = np.zeros(len(words))
+        at = np.flatnonzero(ids >= VOCABULARY - BUCKETS)
+        out[at] = -self.buckets[ids[at] - (VOCABULARY - BUCKETS)]
+        if not len(self.keys):
+            return out, at
+        to = np.minimum(np.searchsorted(self.keys, words[at]), len(self.keys) - 1)
+        same = self.keys[to] == words[at]
+        out[at[same]] += self.logs[to[same]]
+        return out, at[~same]
+
+
+def _shares(counts: DataFrame, words: np.ndarray, most: int) -> tuple[Shares, DataFrame]:
+    """Shares with the ``most`` commonest words outside ``words`` at most, and (word, n) of all others."""
+    own = [int(w) for w in words.view(np.int64)]
+    rest = counts.filter(~F.col("word").isin(own)) if own else counts
+    buckets = np.zeros(BUCKETS)
+    for b, n in rest.groupBy(F.col("word").bitwiseAND(F.lit(BUCKETS - 1).cast("long"))).agg(F.sum("n")).collect():
+        buckets[b] = n
+    held, least = 0, None
+    for r in rest.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+        least = r["n"] + 1 if least is None else least
+        held += r["words"]
+        if held > most:
+            break
+        least = r["n"]
+    known = rest.filter(F.col("n") >= (least or 1)).toArrow()
+    keys = known.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    return Shares(buckets, keys, known.column("n").to_numpy()), rest.filter(F.col("n") < (least or 1))
+
+
 class Encoder:
     """Ids of words: ranks of the vocabulary, then buckets by hash."""
 
@@ -180,40 +232,56 @@ def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS, stride: int
     return network
 
 
-def score(docs: DataFrame, words: np.ndarray, network: Network) -> DataFrame:
+def score(docs: DataFrame, words: np.ndarray, network: Network, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob, perplexity for every row of ``docs`` (doc_id, text, ...).
 
     log_prob is the sum over all words of the natural log-probability given both
-    sides. Null and empty texts have no words, log_prob 0, and null means.
-    Repeated rows get equal results; other columns are ignored; an empty table
-    gives an empty result.
+    sides. With ``counts`` (word, n) each word outside ``words`` has its share of
+    its bucket's probability, one that ``counts`` lacks that of a single
+    occurrence; without, it has the whole bucket's. Null and empty texts have no
+    words, log_prob 0, and null means. Repeated rows get equal results; other
+    columns are ignored; an empty table gives an empty result.
     """
     sc = docs.sparkSession.sparkContext
-    encoder, shared = sc.broadcast(Encoder(words)), sc.broadcast(network.flat)
+    known, rare = (None, None) if counts is None else _shares(counts, words, SHARED)
+    encoder, shared, shares = sc.broadcast(Encoder(words)), sc.broadcast(network.flat), sc.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(shared.value)
         for batch in batches:
-            counts, sums = [], []
+            counts, sums, missing, lengths = [], [], [], []
             for _, _, data, offs in texts(batch.column("text")):
                 hashes, first, _, _ = word_hashes(data, offs, ALNUM)
                 context, target = encoder.value.contexts(hashes, first)
                 logs = np.zeros(len(target) + 1)
                 for lo in range(0, len(target), 8192):
                     logs[lo + 1 : lo + 8193] = net.log_probs(context[lo : lo + 8192], target[lo : lo + 8192])[: len(target) - lo]
-                # in doubles; logs[0] is the empty sum
-                total = np.cumsum(logs)
+                at = np.zeros(0, int)
+                if shares.value is not None:
+                    more, at = shares.value(hashes, target)
+                    logs[1:] += more
+                # in whole units, which doubles add up exactly; logs[0] is the empty sum
+                total = np.cumsum(np.round(logs * UNIT)) / UNIT
                 counts.append(np.diff(first))
                 sums.append(total[first[1:]] - total[first[:-1]])
+                missing.append(hashes[at])
+                lengths.append(np.diff(np.searchsorted(at, first)))
             n, log = (np.concatenate(x) if x else np.zeros(0) for x in (counts, sums))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(log, pa.float64())], ["doc_id", "n_tokens", "log_prob"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], *lengths])), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *missing]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(log, pa.float64()), lists], ["doc_id", "n_tokens", "log_prob", "missing"])
+
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, missing array<long>")
+    if rare is not None:
+        out = checkpoint(out.withColumn("row", F.monotonically_increasing_id()))
+        units = F.round(F.log(F.coalesce("n", F.lit(1)).cast("double")) * UNIT).cast("long")
+        more = out.select("row", F.explode("missing").alias("word")).join(rare, "word", "left").groupBy("row").agg((F.sum(units) / UNIT).alias("more"))
+        out = out.drop("missing").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return out.select("doc_id", "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.exp(-mean).alias("perplexity"))
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
     """Count, train and score; see ``score`` for the result."""
-    words = vocabulary(docs)
-    return score(docs, words, train(docs, words, rounds, stride))
+    counts = checkpoint(word_counts(docs))
+    words = _commonest(counts)
+    return score(docs, words, train(docs, words, rounds, stride), counts)
