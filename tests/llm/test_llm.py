@@ -208,6 +208,20 @@ class TestMixing:
         assert mixing.mix(awkward.limit(0)).count() == 0
         assert mixing.mix(awkward, max_levels=1).count() == 12
 
+    def test_every_source_is_a_level(self, spark):
+        df = spark.createDataFrame([(i, f"s{i % 260}", "en", "word " * (1 + i % 260)) for i in range(520)], "doc_id long, source string, lang string, text string")
+        weighted = Counter()
+        for x in mixing.mix(df, mixing.Targets(source=0.5)).collect():
+            weighted[x["source"]] += x["tokens"] * x["weight"]
+        aim = {f"s{k}": (2 * (k + 1)) ** 0.5 for k in range(260)}
+        assert all(abs(weighted[k] / sum(weighted.values()) - a / sum(aim.values())) < 1e-6 for k, a in aim.items())
+        named = mixing.mix(df, mixing.Targets(source={"s0": 0.5, "s259": 0.5}), max_levels=2).filter("source = 's0'").collect()
+        assert named and all(x["probability"] > 0 for x in named)
+        weighted = Counter()
+        for x in mixing.mix(df, mixing.Targets(source=0.5), max_levels=200).collect():
+            weighted[int(x["source"][1:]) >= 60] += x["tokens"] * x["weight"]
+        assert abs(weighted[False] / sum(weighted.values()) - sum(aim[f"s{k}"] for k in range(60)) / sum(aim.values())) < 1e-6
+
     def test_rare_levels_share_one(self, docs):
         assert mixing.mix(docs, max_levels=2).select("weight").distinct().count() <= 3 * 3 * 8
 

@@ -4,8 +4,9 @@ Tokens are summed by cell (source, language, topic) on Spark; the cell weights
 are raked until the weighted tokens match the target shares of every source,
 language and topic; documents are then drawn independently, each with its cell's
 weight times a constant that makes the expected tokens meet the budget, one at
-most. The cell table is bounded by parameters, not by the data: a dimension has
-at most ``max_levels`` levels of its own, and rarer ones share one more.
+most. Every source and language is a level of its own. Only where ``max_levels``
+is given do the rarer ones that no target names share one more, which aims at the
+sum of what they would have had.
 """
 
 from __future__ import annotations
@@ -102,19 +103,29 @@ def calibrate(cells: np.ndarray, weight: np.ndarray, budget: float) -> np.ndarra
     return np.minimum(1, high * weight)
 
 
-def _level(column: str, named: list[str]) -> Column:
+def _level(column: str, named: list[str] | None) -> Column:
     name = F.coalesce(F.col(column).cast("string"), F.lit(MISSING))
+    if named is None:
+        return name
     return F.when(name.isin(named), name).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
 
 
-def _plan(rows: DataFrame, targets: Targets, rate: float, max_levels: int) -> tuple[list[Column], DataFrame]:
+def _plan(rows: DataFrame, targets: Targets, rate: float, max_levels: int | None) -> tuple[list[Column], DataFrame]:
     """The level columns and the cell table with weight and probability."""
     spark = rows.sparkSession
-    columns = []
-    for c in ("source", "lang"):
-        name = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-        top = rows.groupBy(name.alias("level")).agg(F.sum("__tokens").alias("n")).orderBy(F.desc("n"), "level").limit(max_levels)
-        columns.append(_level(c, [r[0] for r in top.collect()]).alias(f"__{c}"))
+    columns, merged = [], {}
+    for c, target in (("source", targets.source), ("lang", targets.lang)):
+        kept = None
+        if max_levels is not None:
+            name = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+            sums = rows.groupBy(name.alias("level")).agg(F.sum("__tokens").alias("n"))
+            kept = [r[0] for r in sums.orderBy(F.desc("n"), "level").limit(max_levels).collect()]
+            if isinstance(target, Mapping):
+                kept = sorted({*kept, *target})
+            else:
+                rest = sums.filter("n > 0").filter(~F.col("level").isin(kept)) if kept else sums.filter("n > 0")
+                merged[f"__{c}"] = rest.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(float(target))))).first()[0] or 0.0
+        columns.append(_level(c, kept).alias(f"__{c}"))
     columns.append(F.col("__topic").cast("string").alias("__topic_level"))
     names = ["__source", "__lang", "__topic_level"]
     found = rows.groupBy(*columns).agg(F.sum("__tokens").cast("double").alias("n")).orderBy(*names).collect()
@@ -129,6 +140,8 @@ def _plan(rows: DataFrame, targets: Targets, rate: float, max_levels: int) -> tu
         else:
             mass = np.bincount(code, cells, len(levels)) if len(code) else np.zeros(0)
             aim = np.where(mass > 0, mass, 0) ** target * (mass > 0)
+            if name in merged and OTHER in at:
+                aim[at[OTHER]] = merged[name]
         codes.append(code)
         aims.append(aim)
     weight = rake(cells, codes, aims)
@@ -152,10 +165,10 @@ def _crc() -> Column:
 
 def _sampled(rows: DataFrame, columns: list[Column], table: DataFrame, seed: int) -> DataFrame:
     named = rows.select("*", *columns)
-    return named.join(F.broadcast(table), ["__source", "__lang", "__topic_level"], "left").withColumn("__sampled", _draw(seed) < F.col("__probability"))
+    return named.join(table, ["__source", "__lang", "__topic_level"], "left").withColumn("__sampled", _draw(seed) < F.col("__probability"))
 
 
-def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics: int = 8, max_levels: int = 200, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics: int = 8, max_levels: int | None = None, seed: int = 1) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled for every row of ``docs``.
 
     ``weight`` is the raked weight of a token of the document, ``probability``
@@ -178,7 +191,7 @@ def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics
     )
 
 
-def draw(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics: int = 8, max_levels: int = 200, seed: int = 1) -> DataFrame:
+def draw(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics: int = 8, max_levels: int | None = None, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, that ``mix`` samples."""
     light = checkpoint(profile(docs.select("doc_id", "source", "lang", "text", _crc()), ["doc_id", "source", "lang", "__crc"], topics))
     columns, table = _plan(light, targets, rate, max_levels)
