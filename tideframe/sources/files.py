@@ -9,9 +9,13 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset a temporary one, which only a local master can share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root}/{name}-{uuid.uuid4().hex}" if root else f"{tempfile.mkdtemp(prefix='tideframe-')}/{name}"
+    if root:
+        return f"{root}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{tempfile.mkdtemp(prefix='tideframe-')}/{name}"
 
 
 def _file_system(spark: SparkSession, path: str):
