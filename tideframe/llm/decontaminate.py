@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.graph import checkpoint
+from tideframe.llm.graph import keep
 from tideframe.llm.wordhash import ALNUM, grams, texts, word_hashes
 
 BLOCK_WORDS = 2_000_000
@@ -176,7 +176,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = 10, k: int =
                 )
 
         if n:
-            out = checkpoint(out)
+            out = keep(out)
         out = out.mapInArrow(scan, f"doc_id long, text string, {_HITS}")
     return out.select("doc_id", "n_words", "runs", "items", (F.size("runs") > 0).alias("contaminated"))
 

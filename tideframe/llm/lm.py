@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.graph import checkpoint
+from tideframe.llm.graph import keep
 from tideframe.llm.wordhash import ALNUM, texts, word_hashes
 
 CLASSES, IN_CLASS, BUCKETS = 32, 32, 64
@@ -272,7 +272,7 @@ def score(docs: DataFrame, words: np.ndarray, network: Network, counts: DataFram
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double, missing array<long>")
     if rare is not None:
-        out = checkpoint(out.withColumn("row", F.monotonically_increasing_id()))
+        out = keep(out.withColumn("row", F.monotonically_increasing_id()))
         units = F.round(F.log(F.coalesce("n", F.lit(1)).cast("double")) * UNIT).cast("long")
         more = out.select("row", F.explode("missing").alias("word")).join(rare, "word", "left").groupBy("row").agg((F.sum(units) / UNIT).alias("more"))
         out = out.drop("missing").join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
@@ -282,6 +282,6 @@ def score(docs: DataFrame, words: np.ndarray, network: Network, counts: DataFram
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
     """Count, train and score; see ``score`` for the result."""
-    counts = checkpoint(word_counts(docs))
+    counts = keep(word_counts(docs))
     words = _commonest(counts)
     return score(docs, words, train(docs, words, rounds, stride), counts)

@@ -9,12 +9,13 @@ smallest that makes this 0.9995 at the threshold.
 
 Equal shingle sets are one class with one representative, however many copies
 there are. Candidates of a table: all pairs of buckets of at most ``small``
-classes; in larger ones every class meets the leader of its bucket and the
-leaders of the two finer buckets made by adding further groups to the key. What
-these links leave apart in large buckets is then joined by its rarest shingles:
-two sets of the similarity asked for must share one of them, so no link is lost,
-while members of a family that each have shingles of their own do not meet.
-Every candidate is confirmed on the full shingle sets.
+classes; in larger ones every class meets the leader of its bucket, and leaders
+are chosen in several ways among the tables. Each class is confirmed with the
+candidate it shares most tables with, then with those it is still apart from. A
+large bucket that is of several components even so is compared whole, by the
+rarest shingles of its sets: two sets of the similarity asked for must share one
+of them, so no link is lost, while members of a family that each have shingles
+of their own do not meet. Every candidate is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.graph import checkpoint, components
+from tideframe.llm.graph import components, filter_slot, forget, id_filter, keep, passes
 from tideframe.llm.wordhash import NOT_SPACE, grams, mix, texts, word_hashes
 
 RECALL = 0.9995
 ROWS = 3
-#: Classes of a bucket whose pairs are all candidates at once.
-SMALL = 32
+#: Classes of a bucket whose pairs are all candidates at once, and ways to choose the leader of a larger one.
+SMALL, LEADERS = 8, 4
+#: Slots in which occurrences of shingles are counted for their order.
+SLOTS = 1 << 18
 
 
 def collections(threshold: float, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -100,91 +103,86 @@ def sketches(docs: DataFrame, k: int = 5, threshold: float = 0.8, rows: int = RO
 
 
 def candidates(classes: DataFrame, m: int, threshold: float, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(pairs, large): pairs (a, b), a < b, of classes (rep, n_shingles, groups) that a table proposes, and the classes of its large buckets."""
-    values = classes.select("rep", "n_shingles", F.posexplode("groups").alias("at", "value"))
-    shared = values.groupBy("at", "value").count().filter("count > 1").select("at", "value")
-    held = (
-        values.join(shared, ["at", "value"])
-        .groupBy("rep", "n_shingles")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("v"))
-        .select(
-            "rep",
-            "n_shingles",
-            F.filter("v", lambda x: x["at"] < m).alias("left"),
-            F.filter("v", lambda x: x["at"] >= m).alias("right"),
-        )
-        .filter("size(left) > 0 and size(right) > 0")
-    )
-    nth = lambda array, i: F.element_at(array, (i % F.size(array)) + 1)["value"]
+    """(pairs, large) of classes (rep, n_shingles, groups), both kept.
+
+    pairs: (a, b, tables), a < b, the classes that tables propose and how many do;
+    large: (key, rep), the members of buckets of more than ``small`` classes, of
+    which only those with the bucket's leader are pairs.
+    """
+    values = classes.select("rep", F.posexplode("groups").alias("at", "value"))
+    shared = values.groupBy("value").count().filter("count > 1").select("value")
+    held = values.join(shared, "value").groupBy("rep").agg(F.collect_set("at").alias("held"))
+    has = lambda v, i: F.array_contains("held", i)
     rows = (
-        held.select("rep", "n_shingles", "left", "right", F.posexplode("left").alias("i", "l"))
-        .select("rep", "n_shingles", "left", "right", "i", "l", F.posexplode("right").alias("j", "r"))
-        .select(
-            "rep",
-            "n_shingles",
-            F.col("l.at").alias("i"),
-            (F.col("r.at") - m).alias("j"),
-            F.xxhash64("l", "r").alias("key"),
-            F.xxhash64(nth(F.col("left"), F.col("i") + 1)).alias("finer"),
-            F.xxhash64(nth(F.col("left"), F.col("i") + 1), nth(F.col("right"), F.col("j") + 1)).alias("finest"),
-        )
+        classes.join(held, "rep")
+        .select("rep", "n_shingles", F.filter("groups", has).alias("v"), F.size(F.filter("held", lambda i: i < m)).alias("left"))
+        .select("rep", "n_shingles", F.slice("v", F.lit(1), F.col("left")).alias("left"), F.slice("v", F.col("left") + 1, F.lit(2 * m)).alias("right"))
+        .select("rep", "n_shingles", "right", F.explode("left").alias("l"))
+        .select("rep", "n_shingles", F.explode(F.transform("right", lambda r: F.xxhash64("l", r))).alias("key"))
     )
-    rows = checkpoint(rows)
-    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("lead")).filter("n > 1")
+    # leaders differ between tables, so that one that is no neighbour does not lead all
+    order = F.xxhash64(F.pmod("key", F.lit(LEADERS)), "rep")
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", order).alias("lead"), F.min_by("n_shingles", order).alias("lead_n")).filter("n > 1")
     rows = rows.join(size, "key")
     fits = lambda x, y: F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
     inner = (
         rows.filter(F.col("n") <= small)
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("rep", "n_shingles"))).alias("all"))
+        .groupBy(F.xxhash64(F.lit(0), "key").alias("bucket"))
+        .agg(F.sort_array(F.collect_set(F.struct("rep", "n_shingles"))).alias("all"))
         .select(F.explode("all").alias("x"), "all")
         .select("x", F.explode(F.filter("all", lambda y: y["rep"] > F.col("x.rep"))).alias("y"))
+        .filter(fits(F.col("x.n_shingles"), F.col("y.n_shingles")))
+        .select(F.lit(None).cast("long").alias("key"), F.col("x.rep").alias("x"), F.col("y.rep").alias("y"), F.lit(True).alias("fits"))
     )
-    large = checkpoint(rows.filter(F.col("n") > small))
-    stars = [large.select(F.col("lead").alias("x"), F.struct("rep", "n_shingles").alias("y"))]
-    for level in ("finer", "finest"):
-        lead = large.groupBy("key", level).agg(F.min(F.struct("rep", "n_shingles")).alias("x"))
-        stars.append(large.join(lead, ["key", level]).select("x", F.struct("rep", "n_shingles").alias("y")))
-    pairs = inner
-    for star in stars:
-        pairs = pairs.union(star)
-    found = (
-        pairs.filter(fits(F.col("x.n_shingles"), F.col("y.n_shingles")))
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .filter("a <> b")
-        .distinct()
-    )
-    return found, large.select("rep").distinct()
+    star = rows.filter(F.col("n") > small).select("key", F.col("lead").alias("x"), F.col("rep").alias("y"), fits(F.col("lead_n"), F.col("n_shingles")).alias("fits"))
+    met = keep(inner.union(star))
+    pairs = met.filter("fits and x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("tables"))
+    pairs, large = keep(pairs), keep(met.filter("key is not null").select("key", F.col("y").alias("rep")))
+    forget(met)
+    return pairs, large
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("row"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "row", "shingles"])
+        counts = np.zeros(SLOTS, np.int64)
+        for x in batch.column("shingles"):
+            counts += np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
 
-def stragglers(large: DataFrame, packed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: pairs of classes in ``large`` that no link has joined yet (``found``: node, component).
+def stragglers(packed: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of classes in ``packed`` (rep, shingles) that no link has joined yet (``found``: node, component).
 
-    Shingles are ordered from the rarest on. Sets with ``n`` in common share one
-    of their first ``size - n + 1``, so only these meet, and only where both
-    places leave enough shingles for the similarity. The largest component at a
-    shingle is left in peace with itself.
+    Shingles are ordered by how often their slot of ``SLOTS`` occurs, rarest first;
+    any order common to all sets would do. Sets with ``n`` in common share one of
+    their first ``size - n + 1``, so only these meet, and only where both places
+    leave enough shingles for the similarity. The largest component at a shingle
+    is left in peace with itself.
     """
-    sets = packed.join(large, "rep", "left_semi").select("rep", F.xxhash64("shingles").alias("row"), "shingles").mapInArrow(_unpack, "rep long, row long, shingles array<long>")
-    each = checkpoint(sets.select("rep", "row", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s")))
-    spare = F.expr(f"cast(n - (n * {percent} + 99) div 100 + 1 as int)")
-    first = (
-        each.join(each.groupBy("s").count(), "s")
-        .groupBy("rep", "row", "n")
-        .agg(F.sort_array(F.collect_set(F.struct("count", "s"))).alias("all"))
-        .select("rep", "n", F.posexplode(F.slice("all", F.lit(1), spare)).alias("at", "e"))
-        .select("rep", "n", "at", "e.s", "e.count")
-        .filter("count > 1")
-    )
-    named = first.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", "at", "s", F.coalesce("component", "rep").alias("c"))
-    named = checkpoint(named)
-    main = named.groupBy("s", "c").count().groupBy("s").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("main"))
+    counts = packed.select("shingles").mapInArrow(_counter, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    shared = packed.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, places, shingles = [], [], []
+            for x in batch.column("shingles"):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                spare = len(s) - (len(s) * percent + 99) // 100 + 1
+                own = s[np.lexsort((s, shared.value[(s % np.uint64(SLOTS)).astype(np.int64)]))[:spare]]
+                sizes.append(np.full(len(own), len(s)))
+                places.append(np.arange(len(own)))
+                shingles.append(own.view(np.int64))
+            reps = np.repeat(batch.column("rep").to_numpy(), [len(x) for x in places])
+            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, places, shingles)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (reps, *columns)], ["rep", "n", "at", "s"])
+
+    ahead = packed.mapInArrow(first, "rep long, n long, at long, s long")
+    named = keep(ahead.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", "at", "s", F.coalesce("component", "rep").alias("c")))
+    by_component = named.groupBy("s", "c").count()
+    main = by_component.groupBy("s").agg(F.max_by("c", F.struct("count", -F.col("c"))).alias("main"), F.count("*").alias("kinds")).filter("kinds > 1").select("s", "main")
     held = named.join(main, "s")
     common = F.expr(f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}")
     condition = (
@@ -194,16 +192,25 @@ def stragglers(large: DataFrame, packed: DataFrame, found: DataFrame, percent: i
         & (F.col("x.at") <= F.col("x.n") - common)
         & (F.col("y.at") <= F.col("y.n") - common)
     )
-    return held.filter("c <> main").alias("x").join(held.alias("y"), condition).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    met = held.filter("c <> main").alias("x").join(held.alias("y"), condition)
+    out = keep(met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
+    forget(named)
+    return out
+
 
+def _packed(whole: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(rep, shingles) of the rows of ``whole`` (rep, text) whose rep is in ``ids``, and of some others that a bounded filter lets through."""
+    bits = whole.sparkSession.sparkContext.broadcast(id_filter(ids, "rep"))
 
-def _packer(k: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(passes(bits.value, batch.column("slot").to_numpy())))
             sets = [s.tobytes() for s in shingle_sets(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], ["rep", "shingles"])
 
-    return pack
+    sets = whole.select("rep", "text", filter_slot("rep").alias("slot")).mapInArrow(pack, "rep long, shingles binary")
+    # rows that repeat an id and a text are one
+    return sets.groupBy("rep").agg(F.collect_set("shingles").alias("all")).select("rep", F.explode("all").alias("shingles"))
 
 
 def _confirmer(percent: int):
@@ -234,31 +241,79 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
     """
     spark = docs.sparkSession
     threshold = percent / 100
-    m = collections(threshold)
-    sketch = checkpoint(sketches(docs, k, threshold, seed=seed))
+    sketch = keep(sketches(docs, k, threshold, seed=seed))
     known = sketch.filter("doc_id is not null and n_shingles > 0")
-    classes = checkpoint(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "groups")).alias("c")).select("set_key", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.groups"))
-    pairs, large = candidates(classes.drop("set_key"), m, threshold, small)
-    pairs, large = checkpoint(pairs), checkpoint(large)
-    used = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).union(large).distinct()
+    classes = keep(known.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "groups")).alias("c")).select("set_key", F.col("c.doc_id").alias("rep"), "c.n_shingles", "c.groups"))
+    links = keep(known.join(classes.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    rows = keep(sketch.select("doc_id", "n_shingles"))
+    forget(sketch)
+    pairs, large = candidates(classes.drop("set_key"), collections(threshold), threshold, small)
+    forget(classes)
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep is not null")
-    packed = checkpoint(whole.join(used, "rep", "left_semi").mapInArrow(_packer(k), "rep long, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+        packed = _packed(whole, ends, k)
         return (
-            pairs.join(packed.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(packed.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+            pairs.join(packed.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+            .join(packed.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
             .select("a", "b", "x", "y")
             .mapInArrow(_confirmer(percent), "a long, b long")
             .select(F.col("a").alias("u"), F.col("b").alias("v"))
         )
 
-    links = confirmed(pairs)
-    if not large.isEmpty():
-        links = checkpoint(links)
-        links = links.union(confirmed(stragglers(large, packed, components(spark, links), percent)))
-    members = known.join(classes.select("set_key", "rep"), "set_key").filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = components(spark, links.union(members))
-    out = sketch.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
+    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        own = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+        both = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
+        return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def settled(links: DataFrame, asked: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The links with those of ``asked`` that hold, and their components; ``asked`` and what is replaced go."""
+        if found is not None and asked.isEmpty():
+            more = links
+        else:
+            more = keep(links.union(confirmed(asked)))
+            forget(links, *([found] if found is not None else []))
+            found = components(spark, more)
+        forget(asked)
+        return more, found
+
+    # first each class with the one it shares most tables with, then the pairs which that leaves apart
+    rank = F.col("tables") * 1_000_003 + F.pmod(F.xxhash64("a"), F.lit(1_000_003))
+    best = pairs.groupBy("b").agg(F.max_by("a", rank).alias("a")).select("a", "b")
+    links, found = settled(links, keep(best), None)
+    links, found = settled(links, keep(apart(pairs.join(best, ["a", "b"], "left_anti"), found)), found)
+    # buckets that are still of several components, whose members no leader has joined
+    mixed = large.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    several = mixed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
+    rest = keep(large.join(several, "key", "left_semi").select("rep").distinct())
+    if not rest.isEmpty():
+        packed = keep(_packed(whole, rest, k).join(rest, "rep", "left_semi"))
+        asked = stragglers(packed, found, percent)
+        forget(packed)
+        links, found = settled(links, asked, found)
+    out = rows.join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
+    out = keep(out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept")))
+    forget(pairs, large, rest, links, rows, found)
+    return out
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int = 1) -> DataFrame:
+    """One row of each group of near-duplicates in ``docs`` (doc_id, text, ...), all columns.
+
+    Rows are told apart by doc_id and text, null ids included: rows equal in both
+    are one, of which the one with the smallest hash of all columns stays. Null
+    and empty texts link with nothing. The row that stays is the one with the
+    smallest hash of id and text.
+    """
+    names = docs.columns
+    own = F.struct(*(F.col(f"`{c}`") for c in names))
+    ids = [F.xxhash64(F.lit(s), F.col("doc_id").cast("long"), F.col("text").cast("string")) for s in (1, 2)]
+    keyed = docs.select(ids[0].alias("node"), ids[1].alias("more"), own.alias("row"))
+    found = near_duplicates(docs.select(ids[0].alias("doc_id"), "text"), k, percent, seed).filter("kept").select(F.col("doc_id").alias("node")).distinct()
+    plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    single = keyed.groupBy("node", "more").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return single.join(found, "node", "left_semi").select("row.*")
+
+

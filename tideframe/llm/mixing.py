@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.graph import checkpoint
+from tideframe.llm.graph import keep
 from tideframe.llm.wordhash import NOT_SPACE, texts, word_hashes
 
 OTHER, MISSING = "\x00other", "\x00null"
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics
     are levels of their own. Other columns are ignored; an empty table gives an
     empty result.
     """
-    rows = checkpoint(profile(docs.select("doc_id", "source", "lang", "text", _crc()), ["doc_id", "source", "lang", "__crc"], topics))
+    rows = keep(profile(docs.select("doc_id", "source", "lang", "text", _crc()), ["doc_id", "source", "lang", "__crc"], topics))
     columns, table = _plan(rows, targets, rate, max_levels)
     return _sampled(rows, columns, table, seed).select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -193,7 +193,7 @@ def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics
 
 def draw(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics: int = 8, max_levels: int | None = None, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, that ``mix`` samples."""
-    light = checkpoint(profile(docs.select("doc_id", "source", "lang", "text", _crc()), ["doc_id", "source", "lang", "__crc"], topics))
+    light = keep(profile(docs.select("doc_id", "source", "lang", "text", _crc()), ["doc_id", "source", "lang", "__crc"], topics))
     columns, table = _plan(light, targets, rate, max_levels)
     whole = profile(docs.select("*", _crc()), [*docs.columns, "__crc"], topics)
     return _sampled(whole, columns, table, seed).filter("__sampled").select(*docs.columns)

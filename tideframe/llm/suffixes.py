@@ -29,13 +29,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.llm.decontaminate import merge_runs
-from tideframe.llm.graph import checkpoint
-from tideframe.llm.wordhash import mix, prefix_sums, span_hashes, texts
+from tideframe.llm.graph import keep
+from tideframe.llm.wordhash import SLICE_BYTES, mix, texts
 
 LENGTH, GRAM, PART, STEP = 200, 32, 256, 8
 _PLACE = np.uint64((1 << 28) - 1)
 
 
+_RNG = np.random.Generator(np.random.PCG64(20240229))
+_BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15 | 5
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and base^-i for i < n, modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = max(n, SLICE_BYTES + 1)
+        for k, base in enumerate((_BASE, _BASE_INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """S with S[j] - S[i] = sum of value(byte) * base^position over data[i:j]."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * powers(len(data))[0], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rolling hash of data[start:end] for each span, to choose anchors by; it says nothing of identity."""
+    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
+
+
 def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     """Smallest of key[i : i + width] for every i, by doubling."""
     span = 1
@@ -186,11 +216,11 @@ def _classes(length: int, step: int):
 
 def _large_parts(parts: DataFrame, length: int, step: int) -> DataFrame:
     """Spans of parts of very many contexts, by counts."""
-    classes = checkpoint(parts.mapInArrow(_classes(length, step), "core long, whole long, tid long, bytes int, start int, windows array<long>"))
+    classes = keep(parts.mapInArrow(_classes(length, step), "core long, whole long, tid long, bytes int, start int, windows array<long>"))
     shared = classes.groupBy("core").count().filter("count > 1").select("core")
-    live = checkpoint(classes.join(shared, "core", "left_semi"))
+    live = keep(classes.join(shared, "core", "left_semi"))
     kinds = live.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("tid", "bytes", "start", "windows")).alias("x"))
-    kinds = checkpoint(kinds)
+    kinds = keep(kinds)
     equal = live.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("tid", "bytes", "start", (F.col("start") + F.size("windows") - 1 + length).alias("end"))
     single = kinds.select("n", "x.tid", "x.bytes", "x.start", F.posexplode("x.windows").alias("p", "window"))
     often = single.groupBy("window").count().filter("count > 1").select("window")
@@ -210,16 +240,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     # read twice rather than kept: the anchors of all texts are larger than the texts are on disk
     found = named.mapInArrow(_anchors(length, gram), "h long, c long, tid long, bytes int, lo int, more int, ahead int")
     shared = found.select("h").groupBy("h").count().filter("count > 1").select("h")
-    runs_ = checkpoint(found.join(shared, "h", "left_semi").groupBy("h", "c", "tid", "bytes", "lo", "more", "ahead").agg(F.count("*").alias("n")))
+    runs_ = keep(found.join(shared, "h", "left_semi").groupBy("h", "c", "tid", "bytes", "lo", "more", "ahead").agg(F.count("*").alias("n")))
     context = runs_.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "bytes", "lo", "more", "ahead")).alias("at"))
-    context = checkpoint(context)
+    context = keep(context)
     whole = runs_.join(context.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(
         "h", F.lit(-1).alias("repeat"), "tid", "bytes", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + length).alias("end")
     )
     several = context.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     wanted = context.join(several, "h").select("h", "contexts", "n", "at.*").groupBy("tid", "bytes").agg(F.collect_list(F.struct("h", "n", "lo", "more", "ahead")).alias("wanted"))
     once = named.groupBy("tid", "bytes").agg(F.first("text").alias("text"))
-    cut = checkpoint(once.join(wanted, ["tid", "bytes"]).mapInArrow(_contexts(length), "h long, n long, tid long, bytes int, lo int, more int, ahead int, context binary"))
+    cut = keep(once.join(wanted, ["tid", "bytes"]).mapInArrow(_contexts(length), "h long, n long, tid long, bytes int, lo int, more int, ahead int, context binary"))
     parts = cut.join(several, "h")
     scanned = (
         parts.filter(F.col("contexts") <= part)

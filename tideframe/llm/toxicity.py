@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.graph import checkpoint
-from tideframe.llm.wordhash import ALNUM, LOWER, mix, prefix_sums, span_hashes, texts, word_spans
+from tideframe.llm.graph import keep
+from tideframe.llm.wordhash import ALNUM, LOWER, hash_spans, mix, texts, word_spans
 
 #: Largest lexicon, and texts of either label that the CRF and the score are fitted on.
 LEXICON, SAMPLE = 8192, 4000
@@ -43,10 +43,9 @@ def _features(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.
     """Hashes of words and of their beginnings, one array for each kind."""
     low = LOWER[data]
     starts, ends, first = word_spans(ALNUM[low], offs)
-    sums = prefix_sums(low)
-    kinds = [span_hashes(sums, starts, ends)]
+    kinds = [hash_spans(low, starts, ends)]
     for n in BEGINNINGS:
-        kinds.append(mix(span_hashes(sums, starts, np.minimum(ends, starts + n)) + np.uint64(n)))
+        kinds.append(mix(hash_spans(low, starts, np.minimum(ends, starts + n)) + np.uint64(n)))
     return kinds, first, starts, ends
 
 
@@ -284,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON, sample:
     Whole texts are shuffled once, to meet their labels for the counts; the
     sample is named first and found by a broadcast of its at most ``2 * sample`` ids.
     """
-    labelled = checkpoint(labelled_texts(docs, labels))
+    labelled = keep(labelled_texts(docs, labels))
     n = {r[0]: r[1] for r in labelled.groupBy("toxic").count().collect()}
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & ~held_out())
     lexicon = learn_lexicon(whole.join(labelled.select("doc_id", "toxic").hint("merge"), "doc_id").select("text", "toxic"), n, lexicon_size)

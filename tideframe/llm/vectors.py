@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideframe.llm.graph import checkpoint, components
+from tideframe.llm.graph import components, keep
 
 #: Rows that the clusters are fitted on at most, and members of a cluster aimed at.
 SAMPLE, SHARD_ROWS = 40_000, 500
@@ -160,10 +160,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample: int = SAMP
     rows = rows.withColumn("k1", F.xxhash64("label", "embedding")).withColumn("k2", F.xxhash64(F.lit(7), "embedding", "label"))
     usable = _usable(rows).filter("vec_id is not null")
     classes = usable.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("vector"))
-    classes = checkpoint(classes.withColumn("dim", F.size("vector")))
-    sharded = checkpoint(_shards(classes, fit_clusters(classes, sample, shard_rows), threshold))
+    classes = keep(classes.withColumn("dim", F.size("vector")))
+    sharded = keep(_shards(classes, fit_clusters(classes, sample, shard_rows), threshold))
     pairs = _tasks(sharded, block_rows).groupBy("shard", "q", "m").applyInPandas(lambda frame: _compare(frame, threshold), "a long, b long").distinct()
-    return rows, classes, checkpoint(pairs)
+    return rows, classes, keep(pairs)
 
 
 def duplicates(vectors: DataFrame, threshold: float = 0.98, **options: int) -> DataFrame:
@@ -210,5 +210,5 @@ def audit_recall(vectors: DataFrame, threshold: float = 0.98, block: int = 2048,
 
         part = classes.select("label", "dim", "rep", "vector").mapInPandas(compare, "q long, rep long").filter("q <> rep")
         truth = part if truth is None else truth.union(part)
-    truth = checkpoint(truth.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct())
+    truth = keep(truth.select(F.least("q", "rep").alias("a"), F.greatest("q", "rep").alias("b")).distinct())
     return truth.join(pairs, ["a", "b"], "left_semi").count(), truth.count()

@@ -7,6 +7,7 @@ memory does not depend on the size of its batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-
-_RNG = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 5
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 #: A-Z become a-z, every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -30,20 +27,6 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i < n, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64: a bijection that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -54,18 +37,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] = sum of value(byte) * base^position over data[i:j]."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * powers(len(data))[0], dtype=np.uint64, out=out[1:])
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Longer spans are digested one by one.
+CHUNKED_BYTES = 256
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end] for each span: eight bytes at a time through a bijection, BLAKE2 for long ones.
+
+    Spans of equal length of at most eight bytes never collide; all others do by
+    chance of 2^-64 only, whatever their structure.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    load = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _STEP + _STEP)
+    live = np.flatnonzero((size > 0) & (size <= CHUNKED_BYTES))
+    at, left, now = starts[live], size[live], out[live]
+    while len(live):
+        now = mix(now ^ (load[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        done = ~more
+        out[live[done]] = now[done]
+        live, at, left, now = live[more], at[more] + 8, left[more] - 8, now[more]
+    for i in np.flatnonzero(size > CHUNKED_BYTES):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of data[start:end] for each span, from prefix_sums."""
-    return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
-
-
 def texts(array: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, bytes, offsets) of runs of documents; nulls are empty texts."""
     if isinstance(array, pa.ChunkedArray):
@@ -103,10 +102,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[n
     """(hash of each lower-cased word, first word of each document and the end, starts, ends)."""
     low = LOWER[data]
     starts, ends, first = word_spans(kind[low], offs)
-    return span_hashes(prefix_sums(low), starts, ends), first, starts, ends
-
-
-_STEP = np.uint64(0xD6E8FEB86659FD93)
+    return hash_spans(low, starts, ends), first, starts, ends
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
