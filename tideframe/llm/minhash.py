@@ -267,22 +267,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
         both = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
         return both.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def settled(links: DataFrame, asked: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """The links with those of ``asked`` that hold, and their components; ``asked`` and what is replaced go."""
-        if found is not None and asked.isEmpty():
-            more = links
+    def settled(asked: DataFrame, found: DataFrame | None) -> DataFrame:
+        """Components with those of ``asked`` that hold; ``asked`` and the old ones go."""
+        if found is None:
+            more = components(spark, links.union(confirmed(asked)))
+        elif asked.isEmpty():
+            more = found
         else:
-            more = keep(links.union(confirmed(asked)))
-            forget(links, *([found] if found is not None else []))
-            found = components(spark, more)
+            # a component counts as a star from here on
+            more = components(spark, found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(confirmed(asked)))
+            forget(found)
         forget(asked)
-        return more, found
+        return more
 
     # first each class with the one it shares most tables with, then the pairs which that leaves apart
     rank = F.col("tables") * 1_000_003 + F.pmod(F.xxhash64("a"), F.lit(1_000_003))
     best = pairs.groupBy("b").agg(F.max_by("a", rank).alias("a")).select("a", "b")
-    links, found = settled(links, keep(best), None)
-    links, found = settled(links, keep(apart(pairs.join(best, ["a", "b"], "left_anti"), found)), found)
+    found = settled(keep(best), None)
+    found = settled(keep(apart(pairs.join(best, ["a", "b"], "left_anti"), found)), found)
     # buckets that are still of several components, whose members no leader has joined
     mixed = large.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
     several = mixed.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least <> most").select("key")
@@ -291,7 +293,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, seed: int =
         packed = keep(_packed(whole, rest, k).join(rest, "rep", "left_semi"))
         asked = stragglers(packed, found, percent)
         forget(packed)
-        links, found = settled(links, asked, found)
+        found = settled(asked, found)
     out = rows.join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     out = keep(out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept")))
