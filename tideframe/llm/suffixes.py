@@ -6,16 +6,19 @@ Every window of that many bytes picks an anchor, the smallest hash of the
 the anchor's hash partitions the suffix array and no equal windows are parted.
 Neighbouring windows with one anchor form a run, and the run's bytes its context.
 
-* A context that occurs more than once is repeated as a whole.
 * The distinct contexts of one anchor are a part of the suffix array: their
   suffixes are sorted, the stack scan of the common-prefix lengths gives the tree
   of prefix intervals, and intervals of at least ``length`` bytes whose left
-  neighbours differ are maximal repeats, reported with all their occurrences.
+  neighbours differ are maximal repeats. Contexts that occur more than once stand
+  for all their occurrences, which are listed with the group.
 * Parts of more than ``PART`` contexts are cut finer: windows whose starts lie in
   the same ``STEP`` places before the anchor form a class, keyed by the bytes that
-  all of them share. Classes alone with their key have no repeats, equal classes
-  are repeated as a whole, and the windows of the others meet by their own hash,
-  all by counts with map-side combine.
+  all of them share, and each class is a part of its own with the same scan.
+* Only where even a class has more than ``PART`` distinct contents, as in a hot
+  passage with as many surroundings, are its windows grouped by a digest of 128
+  bits, with map-side combine: the intervals of exactly ``length`` bytes.
+
+Texts, contexts, classes and windows are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tideframe.llm.decontaminate import merge_runs
 from tideframe.llm.graph import keep
-from tideframe.llm.wordhash import SLICE_BYTES, mix, texts
+from tideframe.llm.wordhash import SLICE_BYTES, hash_spans, mix, texts
 
 LENGTH, GRAM, PART, STEP = 200, 32, 256, 8
 _PLACE = np.uint64((1 << 28) - 1)
@@ -76,10 +79,10 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
 
 
-def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first window start, last window start, anchor, anchor hash, context hash) of every run."""
+def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int, named: bool = True) -> tuple[np.ndarray, ...]:
+    """(document, first window start, last window start, anchor, anchor hash, two context hashes if ``named``) of every run."""
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (int, int, int, int, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (int, int, int, int, np.uint64, np.uint64, np.uint64))
     sums = prefix_sums(data)
     at = np.arange(len(data) - gram + 1)
     grams = span_hashes(sums, at, at + gram)
@@ -88,14 +91,16 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np
     ok = np.arange(len(anchor)) + length <= offs[1:][doc]
     start = np.flatnonzero(ok)
     if not len(start):
-        return tuple(np.zeros(0, t) for t in (int, int, int, int, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (int, int, int, int, np.uint64, np.uint64, np.uint64))
     anchor, doc = anchor[start], doc[start]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
     last = np.concatenate((first[1:], [len(start)])) - 1
     lo, hi, a = start[first], start[last], anchor[first]
-    context = span_hashes(sums, lo, hi + length)
-    context = mix(context * np.uint64(0x9E3779B97F4A7C15) + ((a - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64))
-    return doc[first], lo, hi, a, grams[a], context
+    if not named:
+        return doc[first], lo, hi, a, grams[a], a, a
+    shape = ((a - lo).astype(np.uint64) << np.uint64(32)) + (hi - lo).astype(np.uint64)
+    context = [mix(c + mix(shape + np.uint64(k))) for k, c in enumerate((span_hashes(sums, lo, hi + length), hash_spans(data, lo, hi + length)))]
+    return doc[first], lo, hi, a, grams[a], *context
 
 
 def maximal_repeats(contexts: list[bytes], starts: list[int], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
@@ -128,76 +133,92 @@ def maximal_repeats(contexts: list[bytes], starts: list[int], length: int) -> It
             stack.append((now, begin))
 
 
+_TEXT = "t1 long, t2 long, bytes int"
+_RUN = f"h long, c1 long, c2 long, {_TEXT}, lo int, more int, ahead int"
+
+
 def _anchors(length: int, gram: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = batch.column("tid").to_numpy(), batch.column("bytes").to_numpy()
+            own = [batch.column(c).to_numpy() for c in ("t1", "t2", "bytes")]
             for first, _, data, offs in texts(batch.column("text")):
-                doc, lo, hi, a, h, c = runs(data, offs, length, gram)
-                own = first + doc
+                doc, lo, hi, a, h, c1, c2 = runs(data, offs, length, gram)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[own]), pa.array(sizes[own]), pa.array((lo - offs[doc]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array((a - lo).astype(np.int32))],
-                    ["h", "c", "tid", "bytes", "lo", "more", "ahead"],
+                    [*(pa.array(x.view(np.int64)) for x in (h, c1, c2)), *(pa.array(x[first + doc]) for x in own), *(pa.array(x.astype(np.int32)) for x in (lo - offs[doc], hi - lo, a - lo))],
+                    ["h", "c1", "c2", "t1", "t2", "bytes", "lo", "more", "ahead"],
                 )
 
     return find
 
 
+def _anchor_hashes(length: int, gram: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offs in texts(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(runs(data, offs, length, gram, named=False)[4].view(np.int64))], ["h"])
+
+    return find
+
+
+_WANTED = ["h", "c1", "c2", "lo", "more", "ahead"]
+
+
 def _contexts(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, tid, size, wanted in zip(batch.column("text"), batch.column("tid").to_pylist(), batch.column("bytes").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes()
+            own = [batch.column(c).to_pylist() for c in ("t1", "t2", "bytes")]
+            for i, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True)):
+                raw, n = text.as_buffer().to_pybytes(), len(wanted)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([w["h"] for w in wanted], pa.int64()),
-                        pa.array([w["n"] for w in wanted], pa.int64()),
-                        pa.array([tid] * len(wanted), pa.int64()),
-                        pa.array([size] * len(wanted), pa.int32()),
-                        pa.array([w["lo"] for w in wanted], pa.int32()),
-                        pa.array([w["more"] for w in wanted], pa.int32()),
-                        pa.array([w["ahead"] for w in wanted], pa.int32()),
+                        *(pa.array([w[c] for w in wanted], pa.int64() if c in ("h", "c1", "c2") else pa.int32()) for c in _WANTED),
+                        pa.array([own[0][i]] * n, pa.int64()), pa.array([own[1][i]] * n, pa.int64()), pa.array([own[2][i]] * n, pa.int32()),
                         pa.array([raw[w["lo"] : w["lo"] + w["more"] + length] for w in wanted], pa.binary()),
                     ],
-                    ["h", "n", "tid", "bytes", "lo", "more", "ahead", "context"],
-                )
+                    [*_WANTED, "t1", "t2", "bytes", "context"],
+                )
 
     return cut
 
 
-_SPAN = "h long, repeat int, tid long, bytes int, start int, end int"
+#: Columns of a span of a part: its group and the member's two keys, its text, its place there, and the span in the member.
+_SPAN = f"part string, repeat int, k1 long, k2 long, {_TEXT}, lo int, start int, end int"
+_PART = ["k1", "k2", "t1", "t2", "bytes", "lo", "more", "context"]
 
 
 def _scan(length: int, merged: bool):
+    """Spans of every part (part, members): of each maximal repeat, or merged by member."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for h, part in zip(batch.column("h").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                covered: list[list[tuple[int, int]]] = [[] for _ in part]
-                for k, (shared, found) in enumerate(maximal_repeats([x["context"] for x in part], [x["more"] + 1 for x in part], length)):
+            for name, members in zip(batch.column("part").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                about = [(x["k1"], x["k2"], x["t1"], x["t2"], x["bytes"], x["lo"]) for x in members]
+                covered: list[list[tuple[int, int]]] = [[] for _ in members]
+                for k, (shared, found) in enumerate(maximal_repeats([x["context"] for x in members], [x["more"] + 1 for x in members], length)):
                     for i, p in found:
                         if merged:
                             covered[i].append((p, p + shared))
                         else:
-                            out.append((h, k, part[i]["tid"], part[i]["bytes"], part[i]["lo"] + p, part[i]["lo"] + p + shared))
-                for x, spans in zip(part, covered, strict=True):
-                    out += [(h, -3, x["tid"], x["bytes"], x["lo"] + a, x["lo"] + b) for a, b in merge_runs(spans)]
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["h", "repeat", "tid", "bytes", "start", "end"])
+                            out.append((name, k, *about[i], p, p + shared))
+                for x, spans in zip(about, covered, strict=True):
+                    out += [(name, -1, *x, a, b) for a, b in merge_runs(spans)]
+            columns = list(zip(*out, strict=True)) if out else [()] * 10
+            kinds = [pa.string(), pa.int32(), *[pa.int64()] * 4, *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "repeat", "k1", "k2", "t1", "t2", "bytes", "lo", "start", "end"])
 
     return scan
 
 
-def _digest(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _classes(length: int, step: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h, tid, size, lo, more, ahead, context in zip(*(batch.column(c).to_pylist() for c in ("h", "tid", "bytes", "lo", "more", "ahead", "context")), strict=True):
+            for h, c1, c2, t1, t2, size, lo, more, ahead, context in zip(*(batch.column(c).to_pylist() for c in ("h", "c1", "c2", "t1", "t2", "bytes", "lo", "more", "ahead", "context")), strict=True):
                 p = 0
                 while p <= more:
                     # places before the anchor fall by one with each start; a class ends where they leave its range
@@ -205,64 +226,100 @@ def _classes(length: int, step: int):
                     last = min(more, ahead - q * step)
                     # the bytes of every window of the full class, whatever part of it this run has
                     core = context[max(0, ahead - q * step) : ahead - q * step - step + 1 + length]
-                    rows.append((_digest(b"%d/%d/" % (h, q) + core[: length - step + 1]), _digest(b"%d/%d/" % (ahead - p, last - p) + context[p : last + length]), tid, size, lo + p, [_digest(context[i : i + length]) for i in range(p, last + 1)]))
+                    whole = _digest(b"%d/%d/" % (ahead - p, last - p) + context[p : last + length])
+                    rows.append((_digest(b"%d/%d/" % (h, q) + core[: length - step + 1]), *np.frombuffer(whole, np.int64).tolist(), h, c1, c2, p, t1, t2, size, lo + p, last - p, context[p : last + length]))
                     p = last + 1
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["core", "whole", "tid", "bytes", "start", "windows"])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 13
+            kinds = [pa.binary(), *[pa.int64()] * 5, pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["core", "k1", "k2", "h", "c1", "c2", "ahead", "t1", "t2", "bytes", "lo", "more", "context"])
 
     return cut
 
 
-def _large_parts(parts: DataFrame, length: int, step: int) -> DataFrame:
-    """Spans of parts of very many contexts, by counts."""
-    classes = keep(parts.mapInArrow(_classes(length, step), "core long, whole long, tid long, bytes int, start int, windows array<long>"))
-    shared = classes.groupBy("core").count().filter("count > 1").select("core")
-    live = keep(classes.join(shared, "core", "left_semi"))
-    kinds = live.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("tid", "bytes", "start", "windows")).alias("x"))
-    kinds = keep(kinds)
-    equal = live.join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("tid", "bytes", "start", (F.col("start") + F.size("windows") - 1 + length).alias("end"))
-    single = kinds.select("n", "x.tid", "x.bytes", "x.start", F.posexplode("x.windows").alias("p", "window"))
-    often = single.groupBy("window").count().filter("count > 1").select("window")
-    some = single.filter("n = 1").join(often, "window", "left_semi").select("tid", "bytes", (F.col("start") + F.col("p")).alias("start"), (F.col("start") + F.col("p") + length).alias("end"))
-    return equal.union(some)
+_CLASS = f"core binary, k1 long, k2 long, h long, c1 long, c2 long, ahead int, {_TEXT}, lo int, more int, context binary"
+
+
+def _windows(length: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = batch.column("more").to_numpy()
+            at = np.repeat(np.arange(len(batch)), more + 1)
+            p = np.arange(len(at)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+            held = batch.column("context").to_pylist()
+            digests = [_digest(held[i][k : k + length]) for i, k in zip(at.tolist(), p.tolist(), strict=True)]
+            rows = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *(rows.column(c) for c in ("k1", "k2", "t1", "t2", "bytes", "lo")), pa.array(p.astype(np.int32))], ["window", "k1", "k2", "t1", "t2", "bytes", "lo", "start"])
+
+    return cut
+
+
+def _members(rows: DataFrame, by: str, name: str) -> DataFrame:
+    return rows.groupBy(by).agg(F.collect_list(F.struct(*_PART)).alias("members")).select(F.hex(by).alias("part") if name == "hex" else F.col(by).cast("string").alias("part"), "members")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int = PART, merged: bool = False) -> DataFrame:
-    """(h, repeat, tid, bytes, start, end): every occurrence of every maximal repeat, by text.
+    """(repeat, t1, t2, bytes, start, end): every occurrence of every maximal repeat, by text.
 
-    Texts are named by ``tid`` (xxhash64) and ``bytes`` (length); equal texts are one.
-    Repeats longer than an anchor's context come as overlapping pieces. With
-    ``merged`` the occurrences in one context come as the spans they cover.
+    Texts are named by two hashes and their length; equal texts are one. Repeats
+    longer than an anchor's context come as overlapping pieces of it. With
+    ``merged`` the occurrences in one context come as the spans they cover, and
+    ``repeat`` is null.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    named = docs.select(F.xxhash64(text).alias("tid"), F.octet_length(text).alias("bytes"), text.alias("text")).filter(F.col("bytes") >= length)
+    named = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), F.octet_length(text).alias("bytes"), text.alias("text")).filter(F.col("bytes") >= length)
     # read twice rather than kept: the anchors of all texts are larger than the texts are on disk
-    found = named.mapInArrow(_anchors(length, gram), "h long, c long, tid long, bytes int, lo int, more int, ahead int")
-    shared = found.select("h").groupBy("h").count().filter("count > 1").select("h")
-    runs_ = keep(found.join(shared, "h", "left_semi").groupBy("h", "c", "tid", "bytes", "lo", "more", "ahead").agg(F.count("*").alias("n")))
-    context = runs_.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "bytes", "lo", "more", "ahead")).alias("at"))
-    context = keep(context)
-    whole = runs_.join(context.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(
-        "h", F.lit(-1).alias("repeat"), "tid", "bytes", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + length).alias("end")
-    )
+    shared = named.select("text").mapInArrow(_anchor_hashes(length, gram), "h long").groupBy("h").count().filter("count > 1").select("h")
+    found = named.mapInArrow(_anchors(length, gram), _RUN)
+    place = ["t1", "t2", "bytes", "lo", "more", "ahead"]
+    runs_ = keep(found.join(shared, "h", "left_semi").groupBy("h", "c1", "c2", *place).agg(F.count("*").alias("n")))
+    context = keep(runs_.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct(*place)).alias("at")))
     several = context.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    wanted = context.join(several, "h").select("h", "contexts", "n", "at.*").groupBy("tid", "bytes").agg(F.collect_list(F.struct("h", "n", "lo", "more", "ahead")).alias("wanted"))
-    once = named.groupBy("tid", "bytes").agg(F.first("text").alias("text"))
-    cut = keep(once.join(wanted, ["tid", "bytes"]).mapInArrow(_contexts(length), "h long, n long, tid long, bytes int, lo int, more int, ahead int, context binary"))
-    parts = cut.join(several, "h")
-    scanned = (
-        parts.filter(F.col("contexts") <= part)
-        .groupBy("h")
-        .agg(F.collect_list(F.struct("tid", "bytes", "lo", "more", "context")).alias("part"))
-        .mapInArrow(_scan(length, merged), _SPAN)
+    wanted = context.join(several, "h").select("h", "c1", "c2", "at.*").groupBy("t1", "t2", "bytes").agg(F.collect_list(F.struct(*_WANTED)).alias("wanted"))
+    once = named.groupBy("t1", "t2", "bytes").agg(F.first("text").alias("text"))
+    kinds = f"h long, c1 long, c2 long, lo int, more int, ahead int, {_TEXT}, context binary"
+    cut = keep(once.join(wanted, ["t1", "t2", "bytes"]).mapInArrow(_contexts(length), kinds))
+    parts = cut.join(several, "h").withColumns({"k1": F.col("c1"), "k2": F.col("c2")})
+    scanned = _members(parts.filter(F.col("contexts") <= part), "h", "long").mapInArrow(_scan(length, merged), _SPAN)
+    span = lambda lo: (F.col("t1"), F.col("t2"), F.col("bytes"), (lo + F.col("start")).alias("start"), (lo + F.col("end")).alias("end"))
+    group = F.lit(None).cast("string") if merged else F.concat_ws("/", "part", "repeat")
+    whole = runs_.join(context.filter("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select(
+        (F.lit(None).cast("string") if merged else F.concat_ws("/", "h", "c1", "c2")).alias("repeat"), "t1", "t2", "bytes", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + length).alias("end")
     )
-    spans = whole.union(scanned)
-    # few corpora have a part so large; the counts are only planned where one is
+    # a context that occurs more than once is repeated as a whole, so what is in it is only listed where groups are asked for
+    own = scanned.select(group.alias("repeat"), "k1", "k2", "t1", "t2", "bytes", "lo", "start", "end")
+    if not merged:
+        own = own.drop("t1", "t2", "bytes", "lo").join(runs_.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "t1", "t2", "bytes", "lo"), ["k1", "k2"])
+    spans = whole.union(own.select("repeat", *span(F.col("lo"))))
+    # few corpora have a part so large; its classes are only planned where one is
     if several.filter(F.col("contexts") > part).isEmpty():
         return spans
-    large = _large_parts(parts.filter(F.col("contexts") > part), length, STEP)
-    return spans.union(large.select(F.lit(None).cast("long"), F.lit(-2), "tid", "bytes", "start", "end"))
+    return spans.union(_large_parts(parts.filter(F.col("contexts") > part), runs_, length, part, merged))
+
+
+def _large_parts(parts: DataFrame, runs_: DataFrame, length: int, part: int, merged: bool) -> DataFrame:
+    """Spans of parts of very many contexts, class by class."""
+    classes = parts.select("h", "c1", "c2", "t1", "t2", "bytes", "lo", "more", "ahead", "context").mapInArrow(_classes(length, STEP), _CLASS)
+    classes = keep(classes)
+    shared = classes.groupBy("core").count().filter("count > 1").select("core")
+    live = classes.join(shared, "core", "left_semi")
+    kinds = keep(live.groupBy("core", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "bytes", "lo", "more", "context")).alias("x")).select("core", "k1", "k2", "n", "x.*"))
+    sizes = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    held = kinds.join(sizes, "core")
+    scanned = _members(held.filter(F.col("kinds") <= part), "core", "hex").mapInArrow(_scan(length, merged), _SPAN)
+    windows = held.filter(F.col("kinds") > part).select("k1", "k2", "t1", "t2", "bytes", "lo", "more", "context").mapInArrow(_windows(length), f"window binary, k1 long, k2 long, {_TEXT}, lo int, start int")
+    often = windows.groupBy("window").count().filter("count > 1").select("window")
+    windows = windows.join(often, "window", "left_semi").select(F.hex("window").alias("repeat"), "k1", "k2", "t1", "t2", "bytes", "lo", "start", (F.col("start") + length).alias("end"))
+    own = scanned.select(F.concat_ws("/", "part", "repeat").alias("repeat"), "k1", "k2", "t1", "t2", "bytes", "lo", "start", "end").union(windows)
+    equal = live.join(kinds.filter("n > 1").select("core", "k1", "k2"), ["core", "k1", "k2"], "left_semi").select(
+        F.concat_ws("/", F.hex("core"), "k1", "k2").alias("repeat"), "k1", "k2", "t1", "t2", "bytes", "lo", F.lit(0).alias("start"), (F.col("more") + length).alias("end")
+    )
+    if merged:
+        both = own.union(equal)
+        return both.select(F.lit(None).cast("string").alias("repeat"), "t1", "t2", "bytes", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end"))
+    # every occurrence of a class's content, in every occurrence of its context
+    places = classes.select("k1", "k2", "h", "c1", "c2", "ahead").join(runs_.select("h", "c1", "c2", "t1", "t2", "bytes", "lo"), ["h", "c1", "c2"]).select("k1", "k2", "t1", "t2", "bytes", (F.col("lo") + F.col("ahead")).alias("lo"))
+    both = own.union(equal).select("repeat", "k1", "k2", "start", "end").distinct().join(places, ["k1", "k2"])
+    return both.select("repeat", "t1", "t2", "bytes", (F.col("lo") + F.col("start")).alias("start"), (F.col("lo") + F.col("end")).alias("end"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +349,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     and empty texts have no bytes. Repeated rows count as further documents; other
     columns are ignored; an empty table gives an empty result.
     """
-    found = repeats(docs, length, gram, part, merged=True).select("tid", "bytes", "start", "end").distinct()
-    spans = found.groupBy("tid", "bytes").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = repeats(docs, length, gram, part, merged=True).select("t1", "t2", "bytes", "start", "end").distinct()
+    spans = found.groupBy("t1", "t2", "bytes").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tid"), F.octet_length(text).alias("bytes"), text.alias("text"))
-    return rows.join(spans, ["tid", "bytes"], "left").select("doc_id", "text", "spans").mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), F.octet_length(text).alias("bytes"), text.alias("text"))
+    return rows.join(spans, ["t1", "t2", "bytes"], "left").select("doc_id", "text", "spans").mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     )

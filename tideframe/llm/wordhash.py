@@ -39,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Longer spans are digested one by one.
-CHUNKED_BYTES = 256
+CHUNKED_BYTES = 512
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
