@@ -85,13 +85,11 @@ WITH tpl(t, pairs, is_base, label, q, a, b) AS (VALUES {_values(licenses.templat
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 x AS (SELECT r, w, unnest(range(1, len(w))) AS p FROM d),
 v AS (SELECT r, t, pairs, is_base, label, p - 1 - q AS diagonal, list(DISTINCT q) AS held FROM x JOIN tpl ON w[p] = a AND w[p + 1] = b GROUP BY ALL),
-g AS (SELECT *, coalesce((diagonal - lag(diagonal) OVER o > {licenses.DRIFT})::INT, 1) AS apart FROM v WINDOW o AS (PARTITION BY r, t ORDER BY diagonal)),
-u AS (SELECT *, sum(apart) OVER (PARTITION BY r, t ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS run FROM g),
-s AS (SELECT r, t, is_base, label, count(*) FILTER (is_base AND len(held) = pairs) AS n_base,
-        min(diagonal) FILTER (is_base AND len(held) = pairs) AS first_word, max(diagonal) FILTER (is_base AND len(held) = pairs) AS last_word,
-        CASE WHEN is_base THEN (count(*) FILTER (len(held) = pairs) > 0)::INT ELSE len(list_distinct(flatten(list(held)))) / max(pairs) END AS share
-      FROM u GROUP BY r, t, is_base, label, run),
-f AS (SELECT r, sum(n_base)::BIGINT AS n_base, min(first_word)::BIGINT AS first_word, max(last_word)::BIGINT AS last_word,
+s AS (SELECT r, t, is_base, label, (is_base AND len(held) = pairs)::INT AS n_base, CASE WHEN is_base AND len(held) = pairs THEN diagonal END AS place,
+        CASE WHEN is_base THEN (len(held) = pairs)::INT
+          ELSE len(list_distinct(flatten(list(held) OVER (PARTITION BY r, t ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {licenses.DRIFT} FOLLOWING)))) / pairs END AS share
+      FROM v),
+f AS (SELECT r, sum(n_base)::BIGINT AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0) AS base_labels,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= CASE WHEN is_base THEN 1.0 ELSE {licenses.SHARE} END) AS labels, max(share)::DOUBLE AS score
       FROM s GROUP BY r)
