@@ -18,12 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tideframe.llm.graph import keep
 from tideframe.llm.wordhash import NOT_SPACE, texts, word_hashes
 
 OTHER, MISSING = "\x00other", "\x00null"
 LONG_WORD = 6
+#: Cells that are broadcast at most.
+BROADCAST_CELLS = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,15 +45,17 @@ class Targets:
 def profile(docs: DataFrame, columns: list[str], topics: int = 8) -> DataFrame:
     """``columns`` of every row, with __tokens (words between white space) and __topic.
 
-    A word of six bytes or more belongs to one of ``topics`` classes by its hash;
-    a text's topic is the class of most of its such words, the smallest on ties
-    and 0 for texts without any (null and empty ones included).
+    The text is ``__text`` or the field ``text`` of a column ``row``. A word of six
+    bytes or more belongs to one of ``topics`` classes by its hash; a text's topic
+    is the class of most of its such words, the smallest on ties and 0 for texts
+    without any (null and empty ones included).
     """
+    inner = "row" in columns
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, topic = [], []
-            for lo, hi, data, offs in texts(batch.column("__text")):
+            for lo, hi, data, offs in texts(batch.column("row").field("text") if inner else batch.column("__text")):
                 words, first, starts, ends = word_hashes(data, offs, NOT_SPACE)
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
                 long = ends - starts >= LONG_WORD
@@ -60,9 +65,9 @@ def profile(docs: DataFrame, columns: list[str], topics: int = 8) -> DataFrame:
             both = [pa.array(np.concatenate(x) if x else np.zeros(0), pa.int64()) for x in (tokens, topic)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *both], [*columns, "__tokens", "__topic"])
 
-    docs = docs.drop("__tokens", "__topic", "__text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(measure, f"{schema}, __tokens long, __topic long")
+    rows = docs.select(*columns) if inner else docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    kinds = StructType([f for f in rows.schema.fields if f.name in columns])
+    return rows.mapInArrow(measure, kinds.add("__tokens", "long").add("__topic", "long"))
 
 
 def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
@@ -146,11 +151,13 @@ def _plan(rows: DataFrame, targets: Targets, rate: float, max_levels: int | None
         aims.append(aim)
     weight = rake(cells, codes, aims)
     chance = calibrate(cells, weight, rate * cells.sum())
+    # a table of more cells than tasks should hold is joined
+    small = F.broadcast if len(found) <= BROADCAST_CELLS else (lambda df: df)
     table = spark.createDataFrame(
         [(*(r[n] for n in names), float(w), float(p)) for r, w, p in zip(found, weight, chance, strict=True)],
         "__source string, __lang string, __topic_level string, __weight double, __probability double",
     )
-    return columns, table
+    return columns, small(table)
 
 
 def _draw(seed: int) -> Column:
@@ -195,5 +202,7 @@ def draw(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topic
     """The rows of ``docs``, all columns, that ``mix`` samples."""
     light = keep(profile(docs.select("doc_id", "source", "lang", "text", _crc()), ["doc_id", "source", "lang", "__crc"], topics))
     columns, table = _plan(light, targets, rate, max_levels)
-    whole = profile(docs.select("*", _crc()), [*docs.columns, "__crc"], topics)
-    return _sampled(whole, columns, table, seed).filter("__sampled").select(*docs.columns)
+    # columns of the documents travel in a struct, so that none clashes with a name in use here
+    row = F.struct(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    whole = profile(docs.select(row, "doc_id", "source", "lang", _crc()), ["row", "doc_id", "source", "lang", "__crc"], topics)
+    return _sampled(whole, columns, table, seed).filter("__sampled").select("row.*")
