@@ -11,8 +11,9 @@
    log-odds, their sum and maximum are the document's features, and a logistic
    fit on the same sample turns these into the score. Words of probability one half or more form the spans.
 
-Between lexicon words the chain is in its steady state, so messages are only
-computed within ``REACH`` words of one; what lies further is below 1e-9.
+Far from lexicon words the chain is in its steady state, so messages are only
+computed near them: within ``REACH`` words, or as many as the fitted chain needs
+to forget where it started to one part in 10^9.
 """
 
 from __future__ import annotations
@@ -127,18 +128,29 @@ class Segments:
 AREA, FIT_SEGMENTS, FIT_WORDS = 200_000, 2000, 200
 
 
-def neighbourhoods(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+def neighbourhoods(docs: list[tuple[int, np.ndarray, np.ndarray]], reach: int = REACH) -> list[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
     """(document, first word, end, words of the document, lexicon places from the first word, log-odds)."""
     found = []
     for d, (n, at, value) in enumerate(docs):
         if len(at):
-            breaks = np.flatnonzero(np.diff(at) > 2 * REACH) + 1
+            breaks = np.flatnonzero(np.diff(at) > 2 * reach) + 1
             for group, odds in zip(np.split(at, breaks), np.split(value, breaks), strict=True):
-                a, b = max(0, int(group[0]) - REACH), min(n, int(group[-1]) + REACH + 1)
+                a, b = max(0, int(group[0]) - reach), min(n, int(group[-1]) + reach + 1)
                 found.append((d, a, b, n, group - a, odds))
     return found
 
 
+def pieces(found: list[tuple[int, int, int, int, np.ndarray, np.ndarray]], words: int) -> list[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+    """Neighbourhoods cut so that none has more words; at a cut the messages are those of the steady state."""
+    out = []
+    for d, a, b, n, at, odds in found:
+        for lo in range(a, b, words):
+            hi = min(b, lo + words)
+            own = (at + a >= lo) & (at + a < hi)
+            out.append((d, lo, hi, n, at[own] + a - lo, odds[own]))
+    return out
+
+
 def segments(found: list[tuple[int, int, int, int, np.ndarray, np.ndarray]]) -> Iterator[Segments]:
     """Packed by length, so that padding stays small. Observations: 1, whether in the lexicon, log-odds, and those of both neighbours."""
     found = sorted(found, key=lambda s: s[2] - s[1])
@@ -174,6 +186,12 @@ class Crf:
             f, b = f / f.sum(), b / b.sum()
         return f, b
 
+    def reach(self, rest: float = 1e-9) -> int:
+        """Words outside the lexicon after which a message has forgotten all but ``rest`` of where it started, REACH at least."""
+        least, most = np.sort(np.abs(np.linalg.eigvals(np.exp(self.move) * np.array([1.0, np.exp(self.emit[0])]))))
+        ratio = min(least / most, 1 - 1e-6)
+        return max(REACH, int(np.ceil(np.log(rest) / np.log(ratio))) if ratio > 0 else 0)
+
     def messages(self, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward messages, backward messages and emissions of each segment's words."""
         m, width, _ = s.x.shape
@@ -255,7 +273,7 @@ class Model:
     def documents(self, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Features of each document for the score, and the probabilities of its lexicon words."""
         own: list[list[tuple[int, np.ndarray]]] = [[] for _ in docs]
-        for s in segments(neighbourhoods(docs)):
+        for s in segments(neighbourhoods(docs, self.crf.reach())):
             p = self.crf.marginals(s)
             for i, d in enumerate(s.doc):
                 at = docs[d][1]
@@ -303,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, lexicon_size: int = LEXICON, sample:
     y = np.array([r["toxic"] for r in rows], float)
     held = [(r["n"], np.array(r["at"], np.int64), np.array(r["value"], float)) for r in rows]
     model = Model(lexicon, Crf(np.array([-6.0, 0, 0, 0, 0]), np.zeros((2, 2)), 0.0), np.zeros(3))
-    found = [x for x in neighbourhoods(held) if x[2] - x[1] <= FIT_WORDS]
+    found = pieces(neighbourhoods(held), FIT_WORDS)
     # evenly over the sample, which is in the order of a hash within either label
     found = [found[i * len(found) // FIT_SEGMENTS] for i in range(FIT_SEGMENTS)] if len(found) > FIT_SEGMENTS else found
     if found:
