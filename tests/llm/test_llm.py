@@ -181,6 +181,8 @@ class TestSharding:
         r = sharding.assign(awkward, 5, keep=["lang"]).collect()
         assert sorted(Counter(x["shard"] for x in r).values()) == [2, 2, 2, 3, 3]
         assert sharding.assign(awkward.limit(0), 5).count() == 0
+        small = [tuple(x) for x in sharding.assign(awkward, 5, block_rows=1, many_blocks=70, task_rows=1).collect()]
+        assert sorted(Counter(x[3] for x in small).values()) == [2, 2, 2, 3, 3]
         assert sharding.assign(awkward.limit(2), 5).count() == 2
 
 
@@ -293,10 +295,31 @@ class TestSuffixes:
     def test_documents(self, docs, held):
         assert sorted(map(tuple, suffixes.remove_repeats(docs).drop("spans").collect()), key=str) == self.brute(held, 200)
 
-    @pytest.mark.parametrize("part", [1, 256])
-    def test_small_alphabet(self, spark, part):
+    def small(self):
         rng = random.Random(5)
-        held = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 300)))) for i in range(40)] + [(100, "a" * 90), (101, "ab" * 60), (102, None)]
+        return [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(0, 300)))) for i in range(40)] + [(100, "a" * 90), (101, "ab" * 60), (102, None), (103, "ab" * 60)]
+
+    @pytest.mark.parametrize("part", [1, 6, 256])
+    def test_groups_have_all_occurrences(self, spark, part):
+        """Every group is one string, listed wherever it stands in any text."""
+        held = self.small()
+        df = spark.createDataFrame(held, "doc_id long, text string")
+        names = {tuple(r)[:2]: r["text"] for r in df.select(F.xxhash64("text"), F.xxhash64(F.lit(7), "text"), "text").filter("text is not null").collect()}
+        groups = {}
+        for r in suffixes.repeats(df, length=16, gram=5, part=part).collect():
+            groups.setdefault(r["repeat"], set()).add((r["t1"], r["t2"], r["start"], r["end"]))
+        assert len(groups) > 20
+        for own in groups.values():
+            found = {names[t1, t2][a:b] for t1, t2, a, b in own}
+            assert len(found) == 1
+            w = found.pop()
+            everywhere = {(*k, p, p + len(w)) for k, t in names.items() for p in range(len(t) - len(w) + 1) if t.startswith(w, p)}
+            # contexts that are equal as a whole are a group beside those of the strings in them
+            assert own <= everywhere and (own == everywhere or any(everywhere == o for o in groups.values()) or len(own) > 1)
+
+    @pytest.mark.parametrize("part", [1, 6, 256])
+    def test_small_alphabet(self, spark, part):
+        held = self.small()
         got = suffixes.remove_repeats(spark.createDataFrame(held, "doc_id long, text string"), length=16, gram=5, part=part).drop("spans")
         assert sorted(map(tuple, got.collect()), key=str) == self.brute(held, 16)
 
@@ -330,7 +353,8 @@ class TestVectors:
 
     def test_rows(self, spark, rows):
         df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
-        assert sorted(map(tuple, vectors.duplicates(df, shard_rows=80).collect()), key=str) == self.brute(rows)
+        for options in ({}, {"shard_rows": 40, "most_rows": 60, "visitors": 50}):
+            assert sorted(map(tuple, vectors.duplicates(df, **options).collect()), key=str) == self.brute(rows)
         assert vectors.duplicates(df.limit(0)).count() == 0
 
     def test_recall(self, spark):
@@ -341,14 +365,26 @@ class TestVectors:
         rng = np.random.default_rng(3)
         x = rng.normal(size=16) + rng.normal(0, 0.3, (5500, 16))
         df = spark.createDataFrame([(i, [float(z) for z in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-        for options in ({}, {"shard_rows": 10_000}):
-            found, true = vectors.audit_recall(df, **options)
-            assert found == true > 1000
+        found, true = vectors.audit_recall(df)
+        assert true > 1000 and found >= 0.99 * true
 
     def test_prune_keeps_the_nearest(self):
         x = vectors._unit(np.random.default_rng(4).normal(size=(50, 8)))
-        kept = vectors.robust_prune(x, 0, np.arange(50), 6, 1.2)
-        assert kept[0] == int(np.argsort(-(x @ x[0]))[1]) and 0 not in kept and len(kept) <= 6
+        kept = vectors.robust_prune(x, np.array([0, 7]), np.tile(np.arange(-1, 50), (2, 1)), 6, 1.2)
+        for node, own in zip((0, 7), kept, strict=True):
+            assert own[0] == int(np.argsort(-(x @ x[node]))[1]) and node not in own and len(set(own[own >= 0])) == (own >= 0).sum()
+
+    def test_search_finds_the_nearest(self):
+        x = vectors._unit(np.random.default_rng(5).normal(size=(800, 16)))
+        near = vectors.build(x)
+        held, _ = vectors.greedy_search(x, near, np.full((800, 1), vectors._medoid(x)), x, 40)
+        truth = np.argsort(-(x @ x.T), axis=1)[:, :10]
+        assert np.mean([len(set(t) & set(h)) / 10 for t, h in zip(truth, held, strict=True)]) > 0.9
+
+    def test_rows_that_repeat_an_id(self, spark):
+        rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [1.0, 0.02], 1), (3, [0.0, 1.0], 1), (3, [0.0, 1.0], 1)]
+        r = vectors.duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        assert sorted(map(tuple, r)) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
 
 
 class TestLanguage:
@@ -360,11 +396,15 @@ class TestLanguage:
     def test_unseen_words_back_off(self, spark):
         d = spark.createDataFrame([(i, t, x) for i in range(3, 30) for t, x in (("the thing that thinks", "en"), ("der schnee scheint schon", "de"))], "doc_id long, text string, lang string")
         m = language.learn(d)
-        assert "thinkthat" not in m.words and m.langs[int(m.backoff("thinkthat").argmax())] == "en" and m.langs[int(m.backoff("schonschein").argmax())] == "de"
+        found = language.words_of(["thinkthat", "schonschein", "thing"])
+        assert (m.model.words.find(found.keys) >= 0).tolist() == [False, False, True]
+        assert [m.model.langs[i] for i in m.model.backoff(found).argmax(axis=1)[:2]] == ["en", "de"]
 
     def test_awkward(self, awkward):
         r = [(x["doc_id"], x["lang_pred"], x["score"]) for x in language.identify(awkward, language.learn(awkward)).collect()]
         assert len(r) == 12 and {(3, "und", 0.0), (4, "und", 0.0), (5, "und", 0.0), (8, "und", 0.0)} <= set(r)
+        odd = awkward.sparkSession.createDataFrame([(1, "½ ²"), (2, "① Ⅷ"), (3, "_1_")], "doc_id long, text string")
+        assert {x["lang_pred"] for x in language.identify(odd, language.learn(awkward)).collect()} == {"und"}
         empty = language.learn(awkward.limit(0))
         assert {x["lang_pred"] for x in language.identify(awkward, empty).collect()} == {"und"}
         assert language.identify(awkward.limit(0), empty).count() == 0
@@ -455,6 +495,22 @@ class TestPipeline:
     def test_awkward(self, awkward):
         import corpus_pipeline
 
-        for name, stage in corpus_pipeline.STAGES[1:]:
-            assert stage(awkward.sparkSession, awkward, SF).count() > 0, name
-        assert corpus_pipeline.STAGES[1][1](awkward.sparkSession, awkward, SF).filter(F.col("doc_id") == 2).count() == 0
+        out = {name: stage(awkward.sparkSession, awkward, SF) for name, stage in corpus_pipeline.STAGES}
+        assert all(df.columns == awkward.columns for name, df in out.items() if name != "sharding")
+        assert set(awkward.columns) - {"shard"} <= set(out["sharding"].columns)
+        # nothing toxic, of the benchmark or beyond the budget in these rows but by chance of the draw
+        assert out["toxicity"].count() == out["decontamination"].count() == out["sharding"].count() == 12
+        # one of the four rows of one text; the others are alone, null and empty ones included
+        kept = Counter(r["text"] for r in out["near_duplicates"].collect())
+        assert len(kept) == 8 and set(kept.values()) <= {1, 2} and kept[None] == 2
+        assert {r["doc_id"] for r in out["mixing"].collect()} <= {r["doc_id"] for r in awkward.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(awkward.sparkSession, awkward.limit(0), SF).count() == 0, name
+
+    def test_equal_rows_and_rows_without_an_id_are_deduplicated(self, spark):
+        import corpus_pipeline
+
+        a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+        rows = [(7, a, "x")] * 3 + [(None, b, "x"), (None, b, "y"), (8, b, "x"), (9, "alone", "x"), (9, "other words", "x")]
+        kept = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF).collect()
+        assert Counter(r["text"] for r in kept) == {a: 1, b: 1, "alone": 1, "other words": 1}
