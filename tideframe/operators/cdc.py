@@ -39,26 +39,48 @@ def dedupe(changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
     return changes.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(best.alias("r")).select("r.*")
 
 
-def apply_hard(target: DataFrame, tombstones: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str) -> tuple[DataFrame, DataFrame]:
+def evolved(target: DataFrame, changes: DataFrame, ignore: list[str], schema: str) -> DataFrame:
+    """The target with what ``schema`` makes of columns of the changes that it lacks: append (as null), ignore, or fail."""
+    known = {c.lower() for c in [*target.columns, *ignore]}
+    new = [f for f in changes.schema.fields if f.name.lower() not in known]
+    if schema not in ("append", "ignore", "fail"):
+        raise ValueError(f"unknown schema policy {schema}")
+    if new and schema == "fail":
+        raise ValueError(f"the target has no column {', '.join(f.name for f in new)}")
+    return target.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new}) if schema == "append" and new else target
+
+
+def apply_changes(held: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
+    """Target and tombstones in one: rows with ``_seq`` and ``_deleted``, after one aggregate of the changes and one full join.
+
+    A change newer than the row held of its key replaces it; a delete leaves the
+    keys, ``_seq`` and ``_deleted`` alone.
+    """
+    last = dedupe(changes, keys, seq, op).withColumn(SEQ, F.col(seq)).withColumn(DELETED, is_delete(F.col(op)))
+    own = [F.col(f"`{c}`") if c in [*keys, SEQ, DELETED] else F.when(~F.col(DELETED), F.col(f"`{c}`")).alias(c) if c in last.columns else F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns]
+    joined = held.alias("t").join(last.select(*own, F.lit(True).alias("__in")).alias("c"), [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "full")
+    newer = F.col("c.__in") & (F.col(f"t.{SEQ}").isNull() | F.col(f"c.{SEQ}").isNull() | (F.col(f"c.{SEQ}") > F.col(f"t.{SEQ}")))
+    return joined.select(*(F.when(newer, F.col(f"c.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) for c in held.columns))
+
+
+def apply_hard(target: DataFrame, tombstones: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str, schema: str = "append") -> tuple[DataFrame, DataFrame]:
     """(new target, new tombstones). The target holds the columns of ``changes`` without the operation, its sequence as ``_seq``.
 
     Changes not newer than what the target or a tombstone has of the key are
     dropped, so replays and late events change nothing. A delete removes the row
-    and leaves (keys, _seq); a newer insert takes that away again.
+    and leaves (keys, _seq); a newer insert takes that away again. ``schema``
+    says what becomes of columns that the target lacks, see ``evolved``.
     """
-    last = dedupe(changes, keys, seq, op).withColumn(SEQ, F.col(seq)).withColumn("__del", is_delete(F.col(op)))
-    known = target.select(*keys, SEQ).unionByName(tombstones.select(*keys, SEQ)).groupBy(*keys).agg(F.max(SEQ).alias("__known"))
-    fresh = last.alias("c").join(known.alias("k"), [F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys], "left").filter("__known is null or c._seq is null or c._seq > __known").select("c.*")
-    ids = fresh.select(*keys)
-    off = lambda df: df.alias("t").join(ids.alias("i"), [F.col(f"t.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys], "left_anti")
-    return (
-        off(target).unionByName(fresh.filter("not __del").select(*target.columns)),
-        off(tombstones).unionByName(fresh.filter("__del").select(*keys, SEQ)),
-    )
-
-
-def apply_soft(target: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
+    target = evolved(target, changes, [seq, op], schema)
+    held = target.withColumn(DELETED, F.lit(False)).unionByName(tombstones.select(*keys, SEQ).withColumn(DELETED, F.lit(True)), allowMissingColumns=True)
+    both = apply_changes(held, changes, keys, seq, op)
+    return both.filter(f"not {DELETED}").select(*target.columns), both.filter(DELETED).select(*keys, SEQ)
+
+
+
+def apply_soft(target: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str, schema: str = "append") -> DataFrame:
     """The new target: a newer change replaces its key's row; a delete stays as its last image with ``_deleted`` true."""
+    target = evolved(target, changes, [seq, op], schema)
     last = dedupe(changes, keys, seq, op).withColumn(SEQ, F.col(seq)).withColumn(DELETED, is_delete(F.col(op)))
     joined = target.alias("t").join(last.select(*target.columns).withColumn("__in", F.lit(True)).alias("c"), [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "full")
     newer = F.col("c.__in") & (F.col(f"t.{SEQ}").isNull() | F.col(f"c.{SEQ}").isNull() | (F.col(f"c.{SEQ}") > F.col(f"t.{SEQ}")))

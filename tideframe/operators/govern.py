@@ -35,10 +35,23 @@ class Viewer:
 
 @dataclass(frozen=True)
 class RowPolicy:
-    """A filter in SQL for some roles (all if none is named); user(), role(), attr('x') and attr_list('x') stand for the viewer's."""
+    """A filter in SQL for the roles and users named (all if none is), but for those exempt.
+
+    user(), role(), attr('x') and attr_list('x') stand for the viewer's.
+    """
 
     filter: str
     roles: tuple[str, ...] = ()
+    users: tuple[str, ...] = ()
+    exempt_roles: tuple[str, ...] = ("admin",)
+    exempt_users: tuple[str, ...] = ()
+    enabled: bool = True
+
+    def applies(self, viewer: Viewer) -> bool:
+        """Whether the policy restricts the viewer."""
+        if not self.enabled or viewer.role in self.exempt_roles or viewer.user in self.exempt_users:
+            return False
+        return not (self.roles or self.users) or viewer.role in self.roles or viewer.user in self.users
 
 
 def apply_masks(df: DataFrame, masks: list[Mask], role: str) -> DataFrame:
@@ -60,16 +73,16 @@ _CALL = re.compile(r"\b(user|role|attr|attr_list)\(\s*(?:'([^']*)')?\s*\)")
 
 
 def apply_row_policies(df: DataFrame, policies: list[RowPolicy], viewer: Viewer) -> DataFrame:
-    """Rows that all policies for the viewer's role let pass; an admin sees every row.
+    """Rows that all policies that apply to the viewer let pass.
 
-    The viewer's values are bound as literals, never put into the SQL text. An
-    attribute that is not set is null; a list attribute that is not a list, or a
-    call without a name, makes its filter false.
+    The viewer's values are bound as literals, never put into the SQL text.
+    Attributes are found whatever their case. One that is not set is null, and
+    so is a list read by attr; attr_list has text, a single value being a list of
+    one. A call without a name makes its filter false.
     """
-    if viewer.role == "admin":
-        return df
+    held_attributes = {str(k).lower(): v for k, v in viewer.attributes.items()}
     for p in policies:
-        if p.roles and viewer.role not in p.roles:
+        if not p.applies(viewer):
             continue
         bound: dict[str, Any] = {}
         bad = False
@@ -80,12 +93,12 @@ def apply_row_policies(df: DataFrame, policies: list[RowPolicy], viewer: Viewer)
             if kind in ("attr", "attr_list") and not name:
                 bad = True
                 return "NULL"
-            value = viewer.user if kind == "user" else viewer.role if kind == "role" else viewer.attributes.get(name)
+            value = viewer.user if kind == "user" else viewer.role if kind == "role" else held_attributes.get(name.lower())
             if kind == "attr_list":
-                if value is not None and not isinstance(value, (list, tuple)):
-                    bad = True
-                    return "NULL"
-                value = F.array(*(F.lit(v) for v in value)) if value else F.array().cast("array<string>")
+                items = list(value) if isinstance(value, (list, tuple)) else [] if value is None else [value]
+                value = F.array(*(F.lit(str(v)) for v in items)) if items else F.array().cast("array<string>")
+            elif isinstance(value, (list, tuple)):
+                value = None
             key = f"p{len(bound)}"
             bound[key] = value if kind == "attr_list" else F.lit(value)
             return f"__viewer.{key}"

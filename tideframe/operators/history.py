@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def robust_zscore(df: DataFrame, group: list[str], value: str, order: str, lookback: int = 20, least: int = 5) -> DataFrame:
     """Each row with median, mad, history and z over the ``lookback`` rows before it.
 
-    z = (value - median) / max(1.4826 * mad, 5 % of the median); rows with fewer
-    than ``least`` before them are left out.
+    z = (value - median) / max(1.4826 * mad, 5 % of the median, 1e-9); rows with
+    fewer than ``least`` before them are left out.
     """
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(-lookback, -1)
     past = df.withColumn("__past", F.sort_array(F.collect_list(F.col(value).cast("double")).over(w))).withColumn("history", F.size("__past")).filter(F.col("history") >= least)
@@ -21,8 +21,8 @@ def robust_zscore(df: DataFrame, group: list[str], value: str, order: str, lookb
         return (low + high) / 2
 
     out = past.withColumn("median", median(F.col("__past"))).withColumn("mad", median(F.sort_array(F.transform("__past", lambda x: F.abs(x - F.col("median"))))))
-    spread = F.greatest(1.4826 * F.col("mad"), 0.05 * F.col("median"))
-    return out.withColumn("z", F.when(spread > 0, (F.col(value) - F.col("median")) / spread).otherwise(F.lit(0.0))).drop("__past")
+    spread = F.greatest(1.4826 * F.col("mad"), 0.05 * F.col("median"), F.lit(1e-9))
+    return out.withColumn("z", (F.col(value) - F.col("median")) / spread).drop("__past")
 
 
 def regressions(builds: DataFrame, threshold: float = 3.5, ratio: float = 1.5, delta_ms: float = 500.0, lookback: int = 20, least: int = 5) -> DataFrame:

@@ -41,5 +41,10 @@ def require_unique(df: DataFrame, keys: list[str]) -> None:
 
 def table_checksum(df: DataFrame) -> DataFrame:
     """One row: count, sum and xor of the row hashes; the order of rows and of partitions does not matter."""
+    return df.agg(*checksum_columns(df))
+
+
+def checksum_columns(df: DataFrame) -> list[Column]:
+    """rows, hash_sum and hash_xor as aggregates; those of two tables of equal columns add up, and xor, to those of their union."""
     h = F.xxhash64(*sorted(df.columns))
-    return df.agg(F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor"))
+    return [F.count("*").alias("rows"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum"), F.bit_xor(h).alias("hash_xor")]

@@ -26,15 +26,19 @@ class Metric:
 
 
 def predicate(column: str, op: str, value: Any) -> Column:
-    """``= != > >= < <= in "not in"``; None with = and != asks for null, and is dropped from lists."""
+    """``= != > >= < <= in "not in"``; None with = and != asks for null, and is dropped from lists, which then need a value."""
     c = F.col(column)
     if op in ("in", "not in"):
-        held = [v for v in value if v is not None]
+        held = [v for v in (value if isinstance(value, (list, tuple, set)) else [value]) if v is not None]
+        if not held:
+            raise ValueError(f"{op} needs at least one value")
         return c.isin(held) if op == "in" else ~c.isin(held)
     if value is None:
         if op not in ("=", "!="):
             raise ValueError(f"{op} needs a value")
         return c.isNull() if op == "=" else c.isNotNull()
+    if op not in ("=", "!=", ">", ">=", "<", "<="):
+        raise ValueError(f"unknown operator {op}")
     return {"=": c == value, "!=": c != value, ">": c > value, ">=": c >= value, "<": c < value, "<=": c <= value}[op]
 
 
@@ -49,14 +53,24 @@ def metric_query(
     order_by: list[tuple[str, bool]] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """The metric by dimensions and time grain; start is included, end is not.
+    """The metric by dimensions and time grain, a column of the grain's name; start is included, end is not.
 
-    Rows come in the order of the keys; ``order_by`` (column, descending) replaces that. Nulls are last.
+    Rows come in the order of the keys; ``order_by`` (column, descending), of
+    keys or the metric itself, replaces that. Nulls are last. Conditions may
+    also be on the time column. A dimension named twice is one.
     """
-    dimensions = dimensions or []
-    for c in [*dimensions, *(w[0] for w in where or [])]:
+    dimensions = list(dict.fromkeys(dimensions or []))
+    for c in dimensions:
         if c not in metric.dimensions:
             raise ValueError(f"{metric.name} has no dimension {c}")
+    for c, *_ in where or []:
+        if c not in metric.dimensions and c != metric.time_column:
+            raise ValueError(f"{metric.name} cannot be filtered by {c}")
+    for c, _ in order_by or []:
+        if c not in (metric.name, *dimensions, *([grain] if grain else [])):
+            raise ValueError(f"{metric.name} cannot be ordered by {c}")
+    if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or limit < 1):
+        raise ValueError("limit must be a positive number")
     if (grain or start is not None or end is not None) and not metric.time_column:
         raise ValueError(f"{metric.name} has no time column")
     if grain is not None and grain not in GRAINS:
@@ -68,11 +82,11 @@ def metric_query(
         df = df.filter(t >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
         df = df.filter(t < F.lit(end).cast("timestamp_ntz"))
-    keys = ([F.date_trunc(grain, t).cast("timestamp_ntz").alias("period")] if grain else []) + [F.col(c) for c in dimensions]
+    keys = ([F.date_trunc(grain, t).cast("timestamp_ntz").alias(grain)] if grain else []) + [F.col(c) for c in dimensions]
     out = (df.groupBy(*keys) if keys else df).agg(F.expr(metric.measure).alias(metric.name))
     if not keys:
-        return out
-    names = (["period"] if grain else []) + dimensions
+        return out if limit is None else out.limit(limit)
+    names = ([grain] if grain else []) + dimensions
     order = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order_by] if order_by else [F.col(c).asc_nulls_last() for c in names]
     out = out.orderBy(*order)
     return out.limit(limit) if limit is not None else out
@@ -86,7 +100,7 @@ def multi_metric(parts: list[tuple[DataFrame, Metric]], dimensions: list[str] |
     if len(set(names)) < len(names):
         raise ValueError("metric names repeat")
     frames = [metric_query(df, m, dimensions, grain, **options) for df, m in parts]
-    keys = (["period"] if grain else []) + (dimensions or [])
+    keys = ([grain] if grain else []) + list(dict.fromkeys(dimensions or []))
     if not keys:
         return reduce(lambda a, b: a.crossJoin(b), frames)
     safe = lambda a, b: a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full").select(*(F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys), *(F.col(f"a.{c}") for c in a.columns if c not in keys), *(F.col(f"b.{c}") for c in b.columns if c not in keys))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +49,13 @@ def _is_aggregate(df: DataFrame, expr: str) -> bool:
     return False
 
 
+def _expression(df: DataFrame, check: Check) -> str:
+    """The predicate with ``row_count`` as the number of rows, unless the table has a column of that name."""
+    if any(c.lower() == "row_count" for c in df.columns):
+        return check.expr
+    return re.sub(r"\brow_count\b", "count(*)", check.expr)
+
+
 def _violations(df: DataFrame, check: Check) -> Column:
     """Rows that break the check, as one aggregate expression."""
     if check.kind == "row_count":
@@ -59,8 +68,8 @@ def _violations(df: DataFrame, check: Check) -> Column:
         # a null passes
         return F.count_if(~F.col(check.columns[0]).cast("string").isin(*check.values))
     if check.kind == "expression":
-        expr = check.expr.replace("row_count", "count(*)")
-        if "count(*)" in expr or _is_aggregate(df, expr):
+        expr = _expression(df, check)
+        if expr != check.expr or _is_aggregate(df, expr):
             return F.when(F.expr(f"not ({expr})"), F.lit(1)).otherwise(F.lit(0)).cast("long")
         return F.count_if(~F.expr(expr))
     raise ValueError(f"unknown check {check.kind}")
@@ -86,20 +95,45 @@ def require(df: DataFrame, checks: list[Check]) -> DataFrame:
 
 
 def failing_rows(df: DataFrame, check: Check) -> DataFrame:
-    """The rows a check counts; for duplicates every row of a repeated or null key."""
+    """The rows a check counts; for duplicates every row of a repeated key, and of a null key of one column."""
     if check.kind == "no_nulls":
         return df.filter(F.col(check.columns[0]).isNull())
     if check.kind == "accepted_values":
         return df.filter(~F.col(check.columns[0]).cast("string").isin(*check.values))
     if check.kind == "expression":
-        return df.filter(~F.expr(check.expr))
+        expr = _expression(df, check)
+        if expr != check.expr or _is_aggregate(df, expr):
+            raise ValueError(f"{check.name} is of the whole table and counts no rows")
+        return df.filter(~F.expr(expr))
     if check.kind in ("unique", "grain"):
-        several = df.groupBy(*check.columns).agg(F.count("*").alias("__n")).filter("__n > 1")
+        one = F.col(check.columns[0]).isNull() if len(check.columns) == 1 else F.lit(False)
+        several = df.groupBy(*check.columns).agg(F.count("*").alias("__n")).filter((F.col("__n") > 1) | one)
         cond = [df[c].eqNullSafe(several[c]) for c in check.columns]
         return df.join(several, cond, "left_semi")
     raise ValueError(f"{check.kind} counts no rows")
 
 
+def null_percent(df: DataFrame, column: str) -> DataFrame:
+    """One row: column_name, nulls, percent of the rows (0 without rows)."""
+    nulls = F.count_if(F.col(column).isNull())
+    percent = F.when(F.count("*") > 0, F.round(nulls * 100.0 / F.count("*"), 2)).otherwise(F.lit(0.0))
+    return df.agg(F.lit(column).alias("column_name"), nulls.alias("nulls"), percent.alias("percent"))
+
+
+def unaccepted_values(df: DataFrame, check: Check, most: int = 5) -> DataFrame:
+    """(value, rows) of the commonest values that an accepted_values check counts."""
+    return failing_rows(df, check).groupBy(F.col(check.columns[0]).cast("string").alias("value")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "value").limit(most)
+
+
+def profile_samples(df: DataFrame, most: int = 5) -> DataFrame:
+    """(column_name, samples): the first values of each column as text, in order; a distinct and a bounded sort for each column."""
+    parts = []
+    for c in df.columns:
+        first = df.select(F.col(f"`{c}`").cast("string").alias("v")).filter("v is not null").distinct().orderBy("v").limit(most)
+        parts.append(first.agg(F.sort_array(F.collect_list("v")).alias("samples")).select(F.lit(c).alias("column_name"), "samples"))
+    return reduce(DataFrame.union, parts)
+
+
 def freshness(df: DataFrame, on: str | None, limit_seconds: int, now: datetime) -> DataFrame:
     """One row: rows, newest, age_seconds, stale. An empty table is stale; without ``on`` only that is looked at."""
     if on is None:

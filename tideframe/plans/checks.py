@@ -45,6 +45,24 @@ def _(spark, d):
     return quality.run_assertions(_nulled(spark, d), [c for c, _ in _CHECKS.values()])
 
 
+@query("assert_no_nulls_percent", f"SELECT 's' AS column_name, count(*) - count(s) AS nulls, round((count(*) - count(s)) * 100.0 / count(*), 2)::DOUBLE AS percent FROM {_N}")
+def _(spark, d):
+    return quality.null_percent(_nulled(spark, d), "s")
+
+
+@query("assert_accepted_values_sample", f"SELECT s AS value, count(*) AS rows FROM {_N} WHERE s NOT IN ('O') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def _(spark, d):
+    return quality.unaccepted_values(_nulled(spark, d), Check("accepted_values", ("s",), ("O",)))
+
+
+@query(
+    "profile_samples",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, list(v::VARCHAR ORDER BY v::VARCHAR) AS samples FROM (SELECT DISTINCT {c} AS v FROM {_N} WHERE {c} IS NOT NULL ORDER BY v::VARCHAR LIMIT 5)" for c in ("o_orderpriority", "s", "o_custkey")),
+)
+def _(spark, d):
+    return quality.profile_samples(_nulled(spark, d).select("o_orderpriority", "s", "o_custkey"))
+
+
 @query("failing_rows", f"SELECT * FROM {_N} WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)")
 def _(spark, d):
     return quality.failing_rows(_nulled(spark, d), Check("unique", ("o_custkey",)))
@@ -88,9 +106,9 @@ def _(spark, d):
     return quality.profile_table(table(spark, d, "customer").drop("c_acctbal"))
 
 
-@query("high_null_alert", f"SELECT * FROM ({_profile_sql(_N, ['o_orderkey', 's'])}) WHERE null_percent > 40")
+@query("high_null_alert", f"SELECT * FROM ({_profile_sql(_N, ['o_orderkey', 's'])}) WHERE null_percent > 20")
 def _(spark, d):
-    return quality.high_nulls(quality.profile_basic(_nulled(spark, d).select("o_orderkey", "s")), 40.0)
+    return quality.high_nulls(quality.profile_basic(_nulled(spark, d).select("o_orderkey", "s")), 20.0)
 
 
 @query(
@@ -219,11 +237,19 @@ def _(spark, d):
     return a.subtract(b).agg(F.count("*").alias("n"))
 
 
-@query("diff_branches", "SELECT * FROM (VALUES ('customer', 'changed'), ('nation', 'unchanged'), ('region', 'not_built'), ('supplier', 'added')) t(table_name, status)")
+_SAME = "CASE WHEN EXISTS (({0} EXCEPT ALL {1}) UNION ALL ({1} EXCEPT ALL {0})) THEN '{2}' ELSE '{3}' END"
+_HALF = "SELECT * FROM orders WHERE o_orderkey % 2 = 0"
+
+
+@query(
+    "diff_branches",
+    f"""SELECT 'customer' AS table_name, {_SAME.format(f"SELECT * FROM {_A}", f"SELECT * FROM {_B}", "changed", "unchanged")} AS status UNION ALL SELECT 'orders', {_SAME.format(_HALF, _HALF, "changed", "unchanged")}
+        UNION ALL SELECT 'region', 'not_built' UNION ALL SELECT 'supplier', 'added'""",
+)
 def _(spark, d):
     a, b = _states(spark, d)
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    found = diff.branches({"customer": a, "nation": n, "region": r}, {"customer": b, "nation": n, "supplier": table(spark, d, "supplier")}, built={"customer", "nation", "supplier"})
+    o, r = table(spark, d, "orders").filter("o_orderkey % 2 = 0"), table(spark, d, "region")
+    found = diff.branches({"customer": a, "orders": o, "region": r}, {"customer": b, "orders": o.repartition(5, "o_custkey"), "supplier": table(spark, d, "supplier")}, built={"customer", "orders", "supplier"})
     return spark.createDataFrame(list(found.items()), "table_name string, status string")
 
 
@@ -236,13 +262,16 @@ def _(spark, d):
     return one.select(F.col("0_rows").alias("rows"), (F.col("0_h") == F.col("1_h")).alias("same_reordered"), (F.col("0_h") == F.col("2_h")).alias("same_changed"))
 
 
-@query("table_signature_diff", "SELECT 'customer' AS table_name, false AS same UNION ALL SELECT 'nation', true")
+_SIGN = "NOT EXISTS (({0} EXCEPT ALL {1}) UNION ALL ({1} EXCEPT ALL {0}))"
+
+
+@query("table_signature_diff", f"""SELECT 'customer' AS table_name, {_SIGN.format(f"SELECT * FROM {_A}", f"SELECT * FROM {_B}")} AS same UNION ALL SELECT 'orders', {_SIGN.format(_HALF, _HALF)}""")
 def _(spark, d):
     a, b = _states(spark, d)
-    n = table(spark, d, "nation")
+    o = table(spark, d, "orders").filter("o_orderkey % 2 = 0")
     sign = lambda **t: [keys.table_checksum(df).withColumn("table_name", F.lit(k)) for k, df in t.items()]
     union = lambda frames: frames[0].union(frames[1])
-    old, new = union(sign(customer=a, nation=n)), union(sign(customer=b, nation=n))
+    old, new = union(sign(customer=a, orders=o)), union(sign(customer=b, orders=o.repartition(5, "o_custkey")))
     return old.alias("o").join(new.alias("n"), "table_name").select("table_name", ((F.col("o.rows") == F.col("n.rows")) & (F.col("o.hash_sum") == F.col("n.hash_sum")) & (F.col("o.hash_xor") == F.col("n.hash_xor"))).alias("same"))
 
 
@@ -263,14 +292,14 @@ _BUILDS = "(SELECT c_nationkey AS model, date_trunc('month', o_orderdate)::TIMES
     f"""WITH p AS (SELECT model, built_at, duration_ms, list(duration_ms) OVER (PARTITION BY model ORDER BY built_at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS past FROM {_BUILDS}),
         m AS (SELECT *, list_aggregate(past, 'median') AS med FROM p WHERE len(past) >= 5),
         a AS (SELECT *, list_aggregate(list_transform(past, lambda x: abs(x - med)), 'median') AS mad FROM m)
-        SELECT model, built_at, round((duration_ms - med) / greatest(1.4826 * mad, 0.05 * med), 4) AS z FROM a""",
+        SELECT model, built_at, round((duration_ms - med) / greatest(1.4826 * mad, 0.05 * med, 1e-9), 4) AS z FROM a""",
 )
 def _(spark, d):
     return history.robust_zscore(_builds(spark, d), ["model"], "duration_ms", "built_at").select("model", "built_at", F.round("z", 4).alias("z"))
 
 
 def _z(value: str, rows: str) -> str:
-    return f"""(SELECT model, built_at, {value} AS v, (v - med) / greatest(1.4826 * mad, 0.05 * med) AS z, v / med AS ratio, med FROM (SELECT *, list_aggregate(list_transform(past, lambda x: abs(x - med)), 'median') AS mad FROM
+    return f"""(SELECT model, built_at, {value} AS v, (v - med) / greatest(1.4826 * mad, 0.05 * med, 1e-9) AS z, v / med AS ratio, med FROM (SELECT *, list_aggregate(list_transform(past, lambda x: abs(x - med)), 'median') AS mad FROM
         (SELECT *, list_aggregate(past, 'median') AS med FROM (SELECT *, list({value}) OVER (PARTITION BY model ORDER BY built_at ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS past FROM {rows}) WHERE len(past) >= 5)))"""
 
 

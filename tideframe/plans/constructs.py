@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,16 +162,16 @@ def _(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
-@query("self_join", "SELECT c.n_nationkey, c.n_name, p.n_name AS parent FROM nation c LEFT JOIN nation p ON c.n_regionkey = p.n_nationkey")
+@query("self_join", "SELECT c.c_custkey, c.c_name, p.c_name AS parent FROM customer c LEFT JOIN customer p ON c.c_custkey // 2 = p.c_custkey")
 def _(spark, d):
-    n = table(spark, d, "nation")
-    return n.alias("c").join(n.alias("p"), F.col("c.n_regionkey") == F.col("p.n_nationkey"), "left").select("c.n_nationkey", "c.n_name", F.col("p.n_name").alias("parent"))
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    return c.alias("c").join(c.alias("p"), F.expr("c.c_custkey div 2 = p.c_custkey"), "left").select("c.c_custkey", "c.c_name", F.col("p.c_name").alias("parent"))
 
 
-@query("join_star", "SELECT a.*, b.n_nationkey AS n_nationkey_1, b.n_name AS n_name_1, b.n_regionkey AS n_regionkey_1 FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey")
+@query("join_star", "SELECT a.*, b.o_orderkey AS o_orderkey_1, b.o_custkey AS o_custkey_1 FROM (SELECT o_orderkey, o_custkey FROM orders) a JOIN (SELECT o_orderkey, o_custkey FROM orders) b ON a.o_custkey = b.o_orderkey")
 def _(spark, d):
-    n = table(spark, d, "nation")
-    return joins.star(n, n, F.col("l.n_regionkey") == F.col("r.n_nationkey"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return joins.star(o, o, F.col("l.o_custkey") == F.col("r.o_orderkey"))
 
 
 @query(
@@ -209,9 +210,9 @@ def _(spark, d):
     return c.join(o, c.c_custkey.eqNullSafe(o.o_custkey), "left_semi")
 
 
-@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def _(spark, d):
-    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_custkey")
+    c, o = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_totalprice > 300000").select("o_custkey")
     return c.join(o, c.c_custkey.eqNullSafe(o.o_custkey), "left_anti")
 
 
@@ -224,15 +225,15 @@ def _(spark, d):
     e = table(spark, d, "events")
     left = e.filter("event_id % 2 = 0").select("event_id", "user_id", "ts")
     right = e.filter("event_id % 2 = 1").select("user_id", F.col("ts").alias("r_ts"), F.col("event_id").alias("r_id"))
-    return joins.asof(left, right, ["user_id"], "ts", "r_ts", ["r_ts", "r_id"])
+    return joins.asof(left, right, ["user_id"], "ts", "r_ts", ["r_ts", "r_id"], width=7 * 86_400)
 
 
-@query("join_theta", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey < b.n_regionkey AND a.n_nationkey > b.n_nationkey")
+@query("join_theta", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey > n_nationkey AND c_custkey % 5 < n_regionkey GROUP BY n_name")
 def _(spark, d):
-    # a nested-loop join over the fixed list of nations; ranges over large tables belong in asof
-    n = table(spark, d, "nation")
-    cond = (F.col("l.n_regionkey") < F.col("r.n_regionkey")) & (F.col("l.n_nationkey") > F.col("r.n_nationkey"))
-    return n.alias("l").join(n.alias("r"), cond).select(F.col("l.n_name").alias("a"), F.col("r.n_name").alias("b"))
+    # a nested-loop join with the fixed list of nations; ranges of two large tables belong in asof
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    cond = (F.col("c_nationkey") > F.col("n_nationkey")) & (F.col("c_custkey") % 5 < F.col("n_regionkey"))
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(n), cond).groupBy("n_name").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -250,8 +251,9 @@ def _(spark, d):
 @query(
     "agg_q1",
     f"""SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-        round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 6) AS avg_price,
-        round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '{DAY}' GROUP BY l_returnflag, l_linestatus""",
+        round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
+        round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 6) AS avg_price, count(*) AS count_order
+        FROM lineitem WHERE l_shipdate <= TIMESTAMP '{DAY}' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
 )
 def _(spark, d):
     return (
@@ -262,17 +264,18 @@ def _(spark, d):
             F.sum("l_quantity").alias("sum_qty"),
             F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
             F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc_price"),
+            F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))), 2).alias("sum_charge"),
             F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
             F.round(F.avg("l_extendedprice"), 6).alias("avg_price"),
-            F.round(F.avg("l_discount"), 6).alias("avg_disc"),
             F.count("*").alias("count_order"),
         )
+        .orderBy("l_returnflag", "l_linestatus")
     )
 
 
-@query("agg_filtered_scan", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_quantity < 24 AND l_discount >= 0.05")
+@query("agg_filtered_scan", "SELECT count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_shipdate > TIMESTAMP '1997-01-01' AND l_quantity > 30")
 def _(spark, d):
-    return table(spark, d, "lineitem").filter("l_quantity < 24 AND l_discount >= 0.05D").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    return table(spark, d, "lineitem").filter("l_shipdate > TIMESTAMP_NTZ '1997-01-01' AND l_quantity > 30").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
 @query("agg_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
@@ -318,9 +321,9 @@ def _(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
 
 
-@query("string_agg", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+@query("string_agg", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS names FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("o_orderpriority")), ",").alias("names"))
 
 
 @query(
@@ -396,12 +399,12 @@ def _(spark, d):
 @query(
     "top_k",
     """SELECT l_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
-       JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2 ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
+       JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1995-03-15' AND l_shipdate > TIMESTAMP '1995-03-15' GROUP BY 1, 2 ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""",
 )
 def _(spark, d):
     c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select("c_custkey")
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    o = table(spark, d, "orders").filter("o_orderdate < TIMESTAMP_NTZ '1995-03-15'").select("o_orderkey", "o_custkey", "o_orderdate")
+    li = table(spark, d, "lineitem").filter("l_shipdate > TIMESTAMP_NTZ '1995-03-15'").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
     j = o.join(c, o.o_custkey == c.c_custkey, "left_semi").join(li, o.o_orderkey == li.l_orderkey)
     return j.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum("r"), 2).alias("revenue")).orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10)
 
@@ -487,14 +490,17 @@ def _(spark, d):
     return table(spark, d, "documents").filter("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", F.explode(F.array_distinct(F.array(F.lit("x"), "lang", "source"))).alias("tag"))
 
 
-def classify(value):
-    """A user's scalar function as a column expression, inside code generation."""
-    return F.when(value >= 90, "great").when(value >= 50, "middle").otherwise("small")
+def classify(value: pd.Series) -> pd.Series:
+    """A user's scalar function over a batch of values; a null is small."""
+    return pd.cut(value, [-float("inf"), 50, 90, float("inf")], right=False, labels=["small", "middle", "great"]).astype(object).fillna("small")
 
 
 @query("udf_scalar", "SELECT event_id, CASE WHEN value >= 90 THEN 'great' WHEN value >= 50 THEN 'middle' ELSE 'small' END AS class FROM events")
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", classify(F.col("value")).alias("class"))
+    """Registered by name and called from SQL; values reach Python in Arrow batches."""
+    spark.udf.register("classify", F.pandas_udf(classify, "string"))
+    table(spark, d, "events").createOrReplaceTempView("events")
+    return spark.sql("SELECT event_id, classify(value) AS class FROM events")
 
 
 @query("udf_sql", "SELECT o_orderkey, round(o_totalprice * 1.2, 2) AS gross FROM orders")
@@ -504,11 +510,27 @@ def _(spark, d):
     return spark.sql("SELECT o_orderkey, with_tax(o_totalprice) AS gross FROM orders")
 
 
-@query("udtf", "SELECT n_nationkey, p::BIGINT AS part, substring(n_name, p, 1) AS letter FROM (SELECT n_nationkey, n_name, unnest(range(1, length(n_name) + 1)) AS p FROM nation)")
+@query("udtf", "SELECT n_nationkey, p::BIGINT AS part, substring(n_name, p, 1) AS letter FROM (SELECT c_custkey AS n_nationkey, c_mktsegment AS n_name, unnest(range(1, length(c_mktsegment) + 1)) AS p FROM customer)")
 def _(spark, d):
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION letters(word STRING) RETURNS TABLE (part BIGINT, letter STRING) "
         "RETURN SELECT p.pos + 1L, substring(word, p.pos + 1, 1) FROM (SELECT posexplode(sequence(1, length(word))) AS (pos, n)) p"
     )
-    table(spark, d, "nation").createOrReplaceTempView("nation")
-    return spark.sql("SELECT n_nationkey, l.part, l.letter FROM nation, LATERAL letters(n_name) l")
+    table(spark, d, "customer").createOrReplaceTempView("customer")
+    return spark.sql("SELECT c_custkey AS n_nationkey, l.part, l.letter FROM customer, LATERAL letters(c_mktsegment) l")
+
+
+@F.udtf(returnType="part bigint, letter string", useArrow=True)
+class Letters:
+    """A user's table function: the letters of a word with their places."""
+
+    def eval(self, word: str):
+        for i, c in enumerate(word or "", 1):
+            yield i, c
+
+
+@query("udtf_python", "SELECT p_partkey, p::BIGINT AS part, substring(p_brand, p, 1) AS letter FROM (SELECT p_partkey, p_brand, unnest(range(1, length(p_brand) + 1)) AS p FROM part)")
+def _(spark, d):
+    spark.udtf.register("python_letters", Letters)
+    table(spark, d, "part").createOrReplaceTempView("part")
+    return spark.sql("SELECT p_partkey, l.part, l.letter FROM part, LATERAL python_letters(p_brand) l")

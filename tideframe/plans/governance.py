@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,8 +76,12 @@ def _(spark, d):
 
 @query("apply_row_policy", f"SELECT c_custkey, c_mktsegment FROM {_CON} WHERE c_nationkey = 7 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 0")
 def _(spark, d):
-    policies = [RowPolicy("c_nationkey = attr('nation')"), RowPolicy("array_contains(attr_list('segments'), c_mktsegment)"), RowPolicy("c_acctbal > 0", ("analyst",)), RowPolicy("false", ("guest",))]
-    viewer = Viewer("kim", "analyst", {"nation": 7, "segments": ["BUILDING", "MACHINERY"]})
+    policies = [
+        RowPolicy("c_nationkey = attr('Nation')"), RowPolicy("array_contains(attr_list('segments'), c_mktsegment)"), RowPolicy("c_acctbal > 0", ("analyst",)), RowPolicy("false", ("guest",)),
+        RowPolicy("false", users=("lee",)), RowPolicy("false", exempt_users=("kim",)), RowPolicy("false", exempt_roles=("analyst",)), RowPolicy("false", enabled=False), RowPolicy("array_contains(attr_list('nation'), cast(c_nationkey as string))"),
+        RowPolicy("c_nationkey = 7", users=("kim",)),
+    ]
+    viewer = Viewer("kim", "analyst", {"nation": 7, "Segments": ["BUILDING", "MACHINERY"]})
     return govern.apply_row_policies(_contacts(spark, d), policies, viewer).select("c_custkey", "c_mktsegment")
 
 
@@ -105,16 +111,16 @@ ORDERS = Metric("orders", "count(*)", ("o_orderstatus", "o_orderpriority"), "o_o
 
 @query(
     "metric_query",
-    """SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS period, o_orderstatus, round(sum(o_totalprice), 2) AS revenue FROM orders
+    """SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS month, o_orderstatus, round(sum(o_totalprice), 2) AS revenue FROM orders
        WHERE o_totalprice > 1000 AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2""",
 )
 def _(spark, d):
     return metrics.metric_query(table(spark, d, "orders"), REVENUE, ["o_orderstatus"], "month", "1995-01-01", "1996-01-01", [("o_orderpriority", "in", ["1-URGENT", "2-HIGH", None])])
 
 
-@query("metric_filter", "SELECT count(*) AS orders FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority NOT IN ('5-LOW') AND o_orderstatus != 'P'")
+@query("metric_filter", "SELECT count(*) AS orders FROM orders WHERE o_orderstatus IS NOT NULL AND o_orderpriority NOT IN ('5-LOW') AND o_orderstatus != 'P' AND o_orderdate >= TIMESTAMP '1996-01-01'")
 def _(spark, d):
-    return metrics.metric_query(table(spark, d, "orders"), ORDERS, where=[("o_orderstatus", "!=", None), ("o_orderpriority", "not in", ["5-LOW", None]), ("o_orderstatus", "!=", "P")])
+    return metrics.metric_query(table(spark, d, "orders"), ORDERS, where=[("o_orderstatus", "!=", None), ("o_orderpriority", "not in", ["5-LOW", None]), ("o_orderstatus", "!=", "P"), ("o_orderdate", ">=", datetime(1996, 1, 1))])
 
 
 @query("metric_order_limit", "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE o_totalprice > 1000 GROUP BY 1 ORDER BY 2 DESC LIMIT 3")

@@ -28,10 +28,10 @@ def _(spark, d):
     return readers.parquet(spark, f"{d}/orders.parquet").filter("o_custkey < 500").select("o_orderkey", "o_totalprice")
 
 
-@query("scan_csv", "SELECT * FROM nation")
+@query("scan_csv", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def _(spark, d):
     path = work_folder(spark, "csv")
-    table(spark, d, "nation").write.option("header", True).csv(path)
+    table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey").write.option("header", True).csv(path)
     return readers.csv(spark, path)
 
 
@@ -42,10 +42,10 @@ def _(spark, d):
     return readers.json(spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
-@query("scan_object_store", "SELECT r_regionkey, r_name FROM region")
+@query("scan_object_store", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45")
 def _(spark, d):
     # any URL of a store that Hadoop reads; here the shared folder's own
-    return readers.external(spark, "parquet", f"{d}/region.parquet").select("r_regionkey", "r_name")
+    return readers.external(spark, "parquet", f"{d}/lineitem.parquet").filter("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("scan_warehouse", "SELECT p_partkey, p_brand FROM part WHERE p_size = 10")
@@ -72,10 +72,10 @@ def _(spark, d):
     return fresh.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("load_seed", "SELECT r_regionkey, r_name FROM region")
+@query("load_seed", "SELECT p_partkey, p_name FROM part")
 def _(spark, d):
     path = work_folder(spark, "seed")
-    table(spark, d, "region").coalesce(1).write.option("header", True).csv(path)
+    table(spark, d, "part").select("p_partkey", "p_name").write.option("header", True).csv(path)
     rows, digest = readers.load_seed(spark, path)
     again, _ = readers.load_seed(spark, path, digest)
     return rows if again is None else again
@@ -85,7 +85,7 @@ def _(spark, d):
 def _(spark, d):
     """Pages of records under data.items whose properties are a nested struct."""
     item = F.struct(F.col("event_id").alias("id"), F.struct(F.col("event_type").alias("kind"), "value").alias("properties"))
-    pages = table(spark, d, "events").groupBy((F.col("event_id") % 97).alias("page")).agg(F.collect_list(item).alias("items")).select(F.to_json(F.struct(F.struct("items").alias("data"))).alias("value"))
+    pages = table(spark, d, "events").groupBy(F.expr("event_id div 500").alias("page")).agg(F.collect_list(item).alias("items")).select(F.to_json(F.struct(F.struct("items").alias("data"))).alias("value"))
     schema = "data struct<items: array<struct<id: bigint, properties: struct<kind: string, value: double>>>>"
     return readers.paged_json(pages, schema, "$.data.items", lift="properties")
 
@@ -204,6 +204,14 @@ def _(spark, d):
     return spark.read.parquet(out).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"))
 
 
+@query("inbox_purge", "SELECT event_type AS source, count(*) AS n FROM events WHERE event_id % 3 = 0 OR ts >= (SELECT max(ts) FROM events) - INTERVAL 240 HOUR GROUP BY 1")
+def _(spark, d):
+    """Two thirds are flushed; of these the last ten days stay."""
+    rows = _inbox(spark, d)
+    marked = stream.mark_flushed(rows, rows.filter("id % 3 <> 0"))
+    return stream.purge_flushed(marked, rows.agg(F.max("received_at")).first()[0], 240).groupBy("source").agg(F.count("*").alias("n"))
+
+
 def _stamped(spark: SparkSession, d: str) -> tuple[str, str]:
     rows, root = table(spark, d, "events").select("event_id", "ts"), work_folder(spark, "stamped")
     stream.stamp_stream(stream.file_stream(spark, _landed(rows, 4), rows.schema, files=2), f"{root}-checkpoint", root, f"{root}-log", NOW, "events")
@@ -221,8 +229,18 @@ def _(spark, d):
     o, root = _orders(spark, d), work_folder(spark, "live")
     landing, check = _landed(o, 4), [Check("no_nulls", ("o_orderkey",))]
     for _ in range(2):
-        stream.live_refresh(stream.file_stream(spark, landing, o.schema, files=2), f"{root}-checkpoint", root, NOW, lambda t, b: incremental.merge(t, b, ["o_orderkey"]), check)
-    return publish.read(spark, root)
+        stream.live_upsert(stream.file_stream(spark, landing, o.schema, files=2), f"{root}-checkpoint", root, NOW, ["o_orderkey"], check)
+    return stream.upserted(spark, root, ["o_orderkey"])
+
+
+@query("live_upsert", "SELECT o_orderkey, o_totalprice + (o_orderkey % 3 = 0)::INT AS o_totalprice FROM orders")
+def _(spark, d):
+    """Orders, then a third of them again with another price; folders are put together on the way."""
+    o, root, landing = _orders(spark, d).select("o_orderkey", "o_totalprice"), work_folder(spark, "upsert"), work_folder(spark, "landing")
+    for rows in (o, o.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)):
+        rows.coalesce(2).write.mode("append").parquet(landing)
+        stream.live_upsert(stream.file_stream(spark, landing, o.schema, files=1), f"{root}-checkpoint", root, NOW, ["o_orderkey"], most=2)
+    return stream.upserted(spark, root, ["o_orderkey"])
 
 
 @query("live_cdc", "SELECT user_id, value, lsn AS _seq FROM (SELECT user_id, value, event_id AS lsn, event_id % 4 = 0 AS gone FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE NOT gone")
@@ -230,7 +248,7 @@ def _(spark, d):
     changes = table(spark, d, "events").select("user_id", "value", F.when(F.col("event_id") % 4 == 0, "D").otherwise("I").alias("op"), F.col("event_id").alias("lsn"))
     root = work_folder(spark, "cdc")
     stream.cdc_refresh(stream.file_stream(spark, _landed(changes, 4), changes.schema, files=2), f"{root}-checkpoint", root, NOW, ["user_id"], ["value"], "lsn", "op")
-    return publish.read(spark, root).filter(f"not {cdc.DELETED}").select("user_id", "value", cdc.SEQ)
+    return stream.cdc_rows(spark, root, ["user_id"]).select("user_id", "value", cdc.SEQ)
 
 
 @query("live_chain", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
@@ -304,7 +322,7 @@ def _(spark, d):
 def _(spark, d):
     """A burst of files is one refresh."""
     o, root = _orders(spark, d), work_folder(spark, "burst")
-    stream.live_refresh(stream.file_stream(spark, _landed(o, 5), o.schema, files=100), f"{root}-checkpoint", root, NOW, incremental.append)
+    stream.run_available(stream.file_stream(spark, _landed(o, 5), o.schema, files=100), f"{root}-checkpoint", stream.appender(spark, root, NOW))
     refreshes = publish.manifest(spark, root).count()
     return publish.read(spark, root).agg(F.count("*").alias("rows")).withColumn("refreshes", F.lit(refreshes))
 
@@ -313,11 +331,7 @@ def _(spark, d):
 def _(spark, d):
     """Refreshes a second apart at most, until the stream is idle."""
     o, root = _orders(spark, d), work_folder(spark, "interval")
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        publish.publish(incremental.append(publish.read(spark, root), batch), root, NOW, tag=f"live-{batch_id}")
-
-    q = stream.run_interval(stream.file_stream(spark, _landed(o, 3), o.schema, files=2), f"{root}-checkpoint", each, 1)
+    q = stream.run_interval(stream.file_stream(spark, _landed(o, 3), o.schema, files=2), f"{root}-checkpoint", stream.appender(spark, root, NOW), 1)
     q.processAllAvailable()
     q.stop()
     return publish.read(spark, root).agg(F.count("*").alias("rows"))
@@ -331,18 +345,19 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("defer_to_base", "SELECT n_nationkey, n_name FROM nation")
+@query("defer_to_base", "SELECT p_partkey, p_name FROM part")
 def _(spark, d):
     mine = work_folder(spark, "mine")
     delete(spark, mine)
-    return readers.table_or_base(spark, mine, f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    return readers.table_or_base(spark, mine, f"{d}/part.parquet").select("p_partkey", "p_name")
 
 
-@query("scan_jdbc", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 5")
+@query("scan_jdbc", "SELECT c_custkey, c_name FROM customer WHERE c_custkey >= 5")
 def _(spark, d):
     """Over the small database that comes with Spark, kept in this JVM's memory; on a cluster the URL is a server's."""
-    url, name = "jdbc:derby:memory:tideframe;create=true", "nation"
+    url, name = "jdbc:derby:memory:tideframe;create=true", "customer"
     driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    table(spark, d, "nation").select("n_nationkey", "n_name").write.mode("overwrite").jdbc(url, name, properties=driver)
-    back = readers.jdbc(spark, url, name, '"n_nationkey"', (0, 25), 4, **driver)
-    return back.filter("n_nationkey >= 5").select("n_nationkey", "n_name")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name")
+    rows.write.mode("overwrite").jdbc(url, name, properties=driver)
+    back = readers.jdbc(spark, url, name, '"c_custkey"', rows.agg(F.min("c_custkey"), F.max("c_custkey")).first(), 4, **driver)
+    return back.filter("c_custkey >= 5").select("c_custkey", "c_name")

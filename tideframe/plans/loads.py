@@ -7,11 +7,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.operators import cdc, incremental, keys, microbatch, schema, scd2
+from tideframe.operators import cdc, incremental, keys, microbatch, publish, schema, scd2
 from tideframe.plans.registry import query, table
 from tideframe.sources.files import work_folder
 
-CUT = datetime(1995, 6, 1)
+CUT, NOW = datetime(1995, 6, 1), datetime(2030, 1, 1)
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,11 @@ _B = f"(SELECT * REPLACE (o_totalprice + 1 AS o_totalprice) FROM ({_O} WHERE o_o
 
 @query("build_table", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
+    """Built, and replaced as a whole by a second build with another column."""
+    root, o = work_folder(spark, "table"), table(spark, d, "orders")
+    publish.publish(o.groupBy("o_orderstatus").agg(F.count("*").alias("n")), root, NOW)
+    publish.publish(o.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most")), root, NOW)
+    return publish.read(spark, root)
 
 
 @query("build_view", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'")
@@ -265,12 +269,26 @@ def _settled(df: DataFrame) -> DataFrame:
 _FINAL = f"(SELECT * FROM {_C} WHERE lsn IS NOT NULL {_LAST})"
 
 
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    """Target and tombstones after two batches, the second with events older than the first's, and the first once more."""
+    one, two = _halves(spark, d)
+    held = _empty(one, ["user_id", "value"], cdc.SEQ).withColumn(cdc.DELETED, F.lit(False))
+    for batch in (two, one, two):
+        held = _settled(cdc.apply_changes(held, batch, ["user_id"], "lsn", "op"))
+    return held
+
+
 @query("cdc_apply_hard", f"SELECT user_id, value, lsn AS _seq FROM {_FINAL} WHERE op <> 'D'")
 def _(spark, d):
-    """Two batches, the second with events older than the first's, and the first once more."""
+    return _held(spark, d).filter(f"not {cdc.DELETED}").drop(cdc.DELETED)
+
+
+@query("cdc_schema_append", f"SELECT user_id, value, CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_id END AS event_id, lsn AS _seq FROM {_FINAL} WHERE op <> 'D'")
+def _(spark, d):
+    """The second batch has a column that the target lacks; rows of the first stay null in it."""
     one, two = _halves(spark, d)
     target, tombs = _empty(one, ["user_id", "value"], cdc.SEQ), _empty(one, ["user_id"], cdc.SEQ)
-    for batch in (two, one, two):
+    for batch in (one.drop("event_id"), two):
         target, tombs = map(_settled, cdc.apply_hard(target, tombs, batch, ["user_id"], "lsn", "op"))
     return target
 

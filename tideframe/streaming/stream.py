@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tideframe.operators import cdc
-from tideframe.operators.publish import manifest, publish, read
+from tideframe.operators.keys import require_unique
+from tideframe.operators.publish import append, manifest, publish, read
 from tideframe.operators.quality import Check, require
 
 SEQ = "_seq"
@@ -53,35 +54,58 @@ def run_interval(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int]
 
 
 def inbox_flush(stream: DataFrame, checkpoint: str, folder: str) -> None:
-    """Inbox rows (source, id, received_at, payload) to ``folder``, one partition a source; a replayed batch overwrites its own files."""
+    """Inbox rows (source, id, received_at, payload) to ``folder``, one partition a source, oldest first; a replayed batch overwrites its own files."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "source").parquet(folder)
+        ordered = batch.withColumn("batch", F.lit(batch_id)).repartition("source", F.date_trunc("hour", "received_at")).sortWithinPartitions("source", "received_at", "id")
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "source").parquet(folder)
 
     run_available(stream, checkpoint, each)
 
 
+def mark_flushed(inbox: DataFrame, flushed: DataFrame) -> DataFrame:
+    """The inbox with ``flushed``: whether ``flushed`` (source, id) has the row."""
+    known = flushed.select("source", "id").distinct().withColumn("__flushed", F.lit(True))
+    return inbox.join(known, ["source", "id"], "left").withColumn("flushed", F.coalesce("__flushed", F.lit(False))).drop("__flushed")
+
+
+def purge_flushed(marked: DataFrame, now: datetime, keep_hours: int) -> DataFrame:
+    """What stays in the inbox: rows that are not flushed, however old, and flushed ones of the last so many hours."""
+    since = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(keep_hours))
+    return marked.filter(~F.col("flushed") | (F.col("received_at").cast("timestamp_ntz") >= since))
+
+
 def stamp_stream(stream: DataFrame, checkpoint: str, root: str, log: str, now: datetime, source: str = "source") -> None:
-    """Append each batch to the versioned table ``root`` with sequence numbers, and the advance to ``log``; a replay keeps its numbers."""
+    """Append each batch to the versioned table ``root`` with sequence numbers, and the advance to ``log``.
+
+    The last number and the number of rows are the note of the version, written
+    with it, so a batch that is replayed after a crash in between writes the same
+    line of the log again.
+    """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
         tag = f"stamp-{batch_id}"
-        if manifest(spark, root).filter(F.col("tag") == tag).limit(1).count():
-            return
-        held = read(spark, root)
-        base = held.agg(F.max(SEQ)).first()[0] or 0 if held is not None else 0
-        batch = batch.persist()
-        stamped, last = stamp(batch, base)
-        publish(stamped if held is None else held.unionByName(stamped), root, now, tag)
-        spark.createDataFrame([(source, last, last - base, now)], "source string, watermark long, rows long, advanced_at timestamp_ntz").coalesce(1).write.mode("append").parquet(log)
-        batch.unpersist()
+        held = manifest(spark, root)
+        done = held.filter(F.col("tag") == tag).select("note").collect()
+        if done:
+            last, n = map(int, done[0]["note"].split("/"))
+        else:
+            newest = held.orderBy(F.desc("version")).select("note").limit(1).collect()
+            base = int(newest[0]["note"].split("/")[0]) if newest else 0
+            batch = batch.persist()
+            stamped, last = stamp(batch, base)
+            n = last - base
+            append(stamped, root, now, tag, note=f"{last}/{n}")
+            batch.unpersist()
+        line = spark.createDataFrame([(source, last, n, now)], "source string, watermark long, rows long, advanced_at timestamp_ntz")
+        line.coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
     run_available(stream, checkpoint, each)
 
 
 def live_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, build: Callable[[DataFrame | None, DataFrame], DataFrame], checks: list[Check] | None = None) -> None:
-    """Keep a table up to date: each batch makes a new version by ``build(target, batch)``.
+    """Keep a small table, such as an aggregate, up to date: each batch makes a new version by ``build(target, batch)``, which is written whole.
 
     The checkpoint is the mark of what is consumed, the batch's number the
     version's tag, so a replay changes nothing. A failing error check raises
@@ -96,21 +120,71 @@ def live_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, b
     run_available(stream, checkpoint, each)
 
 
-def cdc_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, keys: list[str], values: list[str], seq: str, op: str) -> None:
-    """Apply a stream of changes; target and tombstones are one versioned table, tombstones marked by ``_deleted``."""
+def appender(spark: SparkSession, root: str, now: datetime, checks: list[Check] | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``run_available`` or ``run_interval``: each batch's rows are appended, and only they are checked and written."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        append(require(batch, checks) if checks else batch, root, now, tag=f"live-{batch_id}")
+
+    return each
+
+
+BATCH = "_batch"
+
+
+def live_upsert(stream: DataFrame, checkpoint: str, root: str, now: datetime, keys: list[str], checks: list[Check] | None = None, most: int = 16) -> None:
+    """Merge a stream by key without rewriting the table: batches are appended with their number, ``upserted`` reads the last row of each key.
+
+    A key that repeats within a batch is refused. Once there are ``most`` folders
+    they are put together, older rows of a key left out.
+    """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        held = read(spark, root)
-        if held is None:
-            held = batch.select(*keys, *values, F.col(seq).alias(cdc.SEQ), F.lit(False).alias(cdc.DELETED)).limit(0)
-        target, tombs = cdc.apply_hard(held.filter(f"not {cdc.DELETED}").drop(cdc.DELETED), held.filter(cdc.DELETED).select(*keys, cdc.SEQ), batch, keys, seq, op)
-        both = target.withColumn(cdc.DELETED, F.lit(False)).unionByName(tombs.withColumn(cdc.DELETED, F.lit(True)), allowMissingColumns=True)
-        publish(both, root, now, tag=f"cdc-{batch_id}")
+        require_unique(batch, keys)
+        rows = (require(batch, checks) if checks else batch).withColumn(BATCH, F.lit(batch_id).cast("long"))
+        append(rows, root, now, tag=f"live-{batch_id}", fold=lambda whole: _last(whole, keys, F.col(BATCH)), most=most)
 
     run_available(stream, checkpoint, each)
 
 
+def _last(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The row of each key with the greatest order."""
+    best = F.max_by(F.struct(*rows.columns), order)
+    return rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(best.alias("r")).select("r.*")
+
+
+def upserted(spark: SparkSession, root: str, keys: list[str]) -> DataFrame | None:
+    """The rows of a table kept by ``live_upsert``."""
+    held = read(spark, root)
+    return None if held is None else _last(held, keys, F.col(BATCH)).drop(BATCH)
+
+
+def cdc_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, keys: list[str], values: list[str], seq: str, op: str, most: int = 16) -> None:
+    """Apply a stream of changes: the last change of each key of a batch is appended, ``_deleted`` for deletes; ``cdc_rows`` reads the last of all.
+
+    Changes are ordered by their sequence alone, so late and repeated ones
+    change nothing. Changes without a sequence count as the oldest.
+    """
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        last = cdc.dedupe(batch, keys, seq, op)
+        rows = last.select(*keys, *values, F.col(seq).alias(cdc.SEQ), cdc.is_delete(F.col(op)).alias(cdc.DELETED))
+        append(rows, root, now, tag=f"cdc-{batch_id}", fold=lambda whole: _changes(whole, keys), most=most)
+
+    run_available(stream, checkpoint, each)
+
+
+def _changes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return _last(rows, keys, F.struct(F.col(cdc.SEQ).isNotNull(), F.col(cdc.SEQ), F.col(cdc.DELETED)))
+
+
+def cdc_rows(spark: SparkSession, root: str, keys: list[str]) -> DataFrame | None:
+    """The live rows of a table kept by ``cdc_refresh``, with ``_seq``."""
+    held = read(spark, root)
+    return None if held is None else _changes(held, keys).filter(f"not {cdc.DELETED}").drop(cdc.DELETED)
+
+
 def lag(advances: DataFrame, consumed: DataFrame, now: datetime) -> DataFrame:
     """(model, lag_seconds): age of the oldest advance (source, watermark, origin_at) a model (model, source, consumed) has not taken; 0 without any, the slowest of its sources."""
     j = consumed.alias("c").join(advances.alias("a"), (F.col("a.source") == F.col("c.source")) & (F.col("a.watermark") > F.col("c.consumed")), "left")
