@@ -1,14 +1,15 @@
 """Properties of the operators on rows that key-based code has to be tried with."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from tideframe.functions import masks
-from tideframe.operators import cdc, diff, govern, incremental, joins, metrics, microbatch, publish, quality, schema, scd2
+from tideframe.operators import cdc, diff, govern, history, incremental, joins, metrics, microbatch, publish, quality, schema, scd2
 from tideframe.operators.keys import DuplicateKeyError, row_hash, table_checksum
 from tideframe.sources import readers
+from tideframe.sources.files import claim
 from tideframe.streaming import stream
 
 T = [datetime(2024, 1, day) for day in range(1, 9)]
@@ -124,6 +125,17 @@ class TestCdc:
         assert seen[1] == seen[2] == ([(2, "x", 2)], [(1, 5)])
         assert seen[3] == ([(1, "back", 6), (2, "x", 2)], [])
 
+    def test_columns_the_target_lacks(self, spark):
+        target, tombs = spark.createDataFrame([(1, "a", 1)], "id int, v string, _seq long"), spark.createDataFrame([], "id int, _seq long")
+        change = spark.createDataFrame([(2, "b", "new", "I", 2)], "id int, v string, w string, op string, lsn long")
+        apply = lambda policy: cdc.apply_hard(target, tombs, change, ["id"], "lsn", "op", policy)[0]
+        assert rows(apply("append").select("id", "w")) == [(1, None), (2, "new")]
+        assert apply("ignore").columns == ["id", "v", "_seq"] and apply("ignore").count() == 2
+        with pytest.raises(ValueError):
+            apply("fail")
+        soft = cdc.apply_soft(target.selectExpr("*", "false as _deleted"), change, ["id"], "lsn", "op")
+        assert rows(soft.select("id", "w")) == [(1, None), (2, "new")]
+
     def test_ties_prefer_the_delete_and_null_is_last(self, spark):
         c = spark.createDataFrame([(1, "I", 3), (1, "d", 3), (2, "I", None), (2, "U", 1), (None, "I", 1)], "id int, op string, lsn long")
         assert rows(cdc.dedupe(c, ["id"], "lsn", "op")) == [(1, "d", 3), (2, "U", 1), (None, "I", 1)]
@@ -190,6 +202,83 @@ def test_row_policy_binds_values(spark):
     assert govern.apply_row_policies(df, p, govern.Viewer("u", "admin")).count() == 2
 
 
+def test_row_policy_of_users_exemptions_and_attributes(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "x string, n int")
+    seen = lambda policy, viewer: sorted(r[0] for r in govern.apply_row_policies(df, [policy], viewer).collect())
+    kim = govern.Viewer("kim", "analyst", {"X": "a", "Many": ["a", "b"], "one": 1})
+    none = "false"
+    assert seen(govern.RowPolicy(none, users=("lee",)), kim) == ["a", "b"] and seen(govern.RowPolicy(none, ("guest",), ("kim",)), kim) == []
+    assert seen(govern.RowPolicy(none, exempt_users=("kim",)), kim) == seen(govern.RowPolicy(none, exempt_roles=("analyst",)), kim) == seen(govern.RowPolicy(none, enabled=False), kim) == ["a", "b"]
+    assert seen(govern.RowPolicy(none, exempt_roles=()), govern.Viewer("root", "admin")) == []
+    assert seen(govern.RowPolicy("x = attr('x')"), kim) == ["a"] and seen(govern.RowPolicy("x = attr('many')"), kim) == []
+    assert seen(govern.RowPolicy("array_contains(attr_list('MANY'), x)"), kim) == ["a", "b"] and seen(govern.RowPolicy("array_contains(attr_list('one'), cast(n as string))"), kim) == ["a"]
+    assert seen(govern.RowPolicy("array_contains(attr_list('gone'), x)"), kim) == [] == seen(govern.RowPolicy("x = attr()"), kim)
+
+
+def test_metric_rules(spark):
+    df = spark.createDataFrame([("a", T[0], 1.0), ("b", T[1], 2.0)], "d string, at timestamp_ntz, v double")
+    m = metrics.Metric("total", "sum(v)", ("d",), "at")
+    assert metrics.metric_query(df, m, ["d", "d"], "day").columns == ["day", "d", "total"]
+    assert rows(metrics.metric_query(df, m, where=[("at", ">=", T[1])])) == [(2.0,)]
+    for bad in ({"where": [("d", "in", [None])]}, {"where": [("d", "not in", [])]}, {"where": [("v", "=", 1)]}, {"where": [("d", "like", "x")]}, {"dimensions": ["d"], "order_by": [("v", True)]}, {"limit": 0}, {"limit": True}):
+        with pytest.raises(ValueError):
+            metrics.metric_query(df, m, **bad)
+
+
+def test_regression_after_a_history_of_zeros(spark):
+    b = spark.createDataFrame([("m", T[0] + timedelta(days=i), 0.0 if i < 8 else 5000.0, None) for i in range(9)], "model string, built_at timestamp_ntz, duration_ms double, rows_in long")
+    assert [r["duration_ms"] for r in history.regressions(b).collect()] == [5000.0]
+
+
+def test_row_count_is_a_whole_name(spark):
+    df = spark.createDataFrame([(1, 5), (2, -1)], "row_count_total int, x int")
+    found = rows(quality.run_assertions(df, [quality.Check("expression", expr=e) for e in ("row_count_total > 0", "row_count = 2", "row_count > 2")]).select("passed", "violations"))
+    assert sorted(found) == [(False, 1), (True, 0), (True, 0)]
+    own = df.withColumnRenamed("x", "row_count")
+    assert quality.run_assertions(own, [quality.Check("expression", expr="row_count > 0")]).first()["violations"] == 1
+
+
+def test_null_key_is_listed(spark):
+    df = spark.createDataFrame([(1,), (2,), (2,), (None,)], "x int")
+    assert sorted(str(r[0]) for r in quality.failing_rows(df, quality.Check("unique", ("x",))).collect()) == ["2", "2", "None"]
+
+
+def test_asof_in_ranges_of_time(spark):
+    left = spark.createDataFrame([(k, t) for k in (1, 2, None) for t in (0, 3, 7, 12, 25, 99)], "k int, t int")
+    right = spark.createDataFrame([(1, 2, "a"), (1, 11, "b"), (2, 98, "c"), (None, 3, "d"), (1, 11, "B")], "k int, r int, v string")
+    whole = rows(joins.asof(left, right, ["k"], "t", "r", ["v", "r"]))
+    assert all(rows(joins.asof(left, right, ["k"], "t", "r", ["v", "r"], width=w)) == whole for w in (1, 5, 10, 1000))
+
+
+def test_append_writes_its_rows_alone(spark, tmp_path):
+    root = str(tmp_path / "t")
+    publish.publish(spark.range(3), root, T[0])
+    assert publish.append(spark.range(3, 5), root, T[1], tag="x") == 2 == publish.append(spark.range(9), root, T[1], tag="x")
+    assert sorted(r[0] for r in publish.read(spark, root).collect()) == [0, 1, 2, 3, 4] and publish.read(spark, root, 1).count() == 3
+    held = publish.manifest(spark, root).filter("version = 2").first()
+    whole = table_checksum(spark.range(5)).first()
+    assert held["folders"] == [1, 2] and (held["rows"], held["hash_sum"], held["hash_xor"]) == (5, str(whole[1]), whole[2])
+    assert publish.append(spark.range(5, 6), root, T[2], most=2) == 3
+    assert publish.manifest(spark, root).filter("version = 3").first()["folders"] == [3] and publish.read(spark, root).count() == 6
+    publish.cleanup(spark, root, 1, T[3])
+    assert publish.read(spark, root).count() == 6
+
+
+def test_cleanup_keeps_folders_in_use(spark, tmp_path):
+    root = str(tmp_path / "t")
+    publish.publish(spark.range(3), root, T[0])
+    publish.append(spark.range(3, 5), root, T[1])
+    publish.cleanup(spark, root, 1, T[2])
+    assert publish.read(spark, root).count() == 5
+
+
+def test_writers_never_share_a_number(spark, tmp_path):
+    root = str(tmp_path / "t")
+    publish.publish(spark.range(3), root, T[0])
+    assert claim(spark, f"{root}/_claims/2") and not claim(spark, f"{root}/_claims/2")  # another writer is at work on 2
+    assert publish.publish(spark.range(4), root, T[1]) == 3
+
+
 def test_metric_refuses_unknown_dimensions(spark):
     with pytest.raises(ValueError):
         metrics.metric_query(spark.range(1), metrics.Metric("m", "count(*)"), ["x"])

@@ -26,13 +26,13 @@ def robust_zscore(df: DataFrame, group: list[str], value: str, order: str, lookb
 
 
 def regressions(builds: DataFrame, threshold: float = 3.5, ratio: float = 1.5, delta_ms: float = 500.0, lookback: int = 20, least: int = 5) -> DataFrame:
-    """Builds (model, built_at, duration_ms, rows_in) far slower than before, and also slower for each row they read."""
+    """Builds (model, built_at, duration_ms, rows_in) far slower than before, and also slower for each row they read; no ratio to a median of 0."""
     slow = robust_zscore(builds, ["model"], "duration_ms", "built_at", lookback, least)
     slow = slow.filter((F.col("z") >= threshold) & (F.col("duration_ms") >= ratio * F.col("median")) & (F.col("duration_ms") - F.col("median") >= delta_ms))
     per = builds.filter("rows_in > 0").withColumn("per_row", F.col("duration_ms") / (F.col("rows_in") / 1000))
-    per = robust_zscore(per, ["model"], "per_row", "built_at", lookback, least).select("model", "built_at", F.col("z").alias("row_z"), (F.col("per_row") / F.col("median")).alias("row_ratio"))
-    both = slow.join(per, ["model", "built_at"], "left").filter(F.col("row_z").isNull() | ((F.col("row_z") >= threshold) & (F.col("row_ratio") >= ratio)))
-    return both.select("model", "built_at", "duration_ms", "median", F.round("z", 2).alias("z"), F.round(F.col("duration_ms") / F.col("median"), 2).alias("ratio"))
+    per = robust_zscore(per, ["model"], "per_row", "built_at", lookback, least).select("model", "built_at", F.col("z").alias("row_z"), F.try_divide("per_row", "median").alias("row_ratio"))
+    both = slow.join(per, ["model", "built_at"], "left").filter(F.col("row_z").isNull() | ((F.col("row_z") >= threshold) & (F.coalesce("row_ratio", F.lit(ratio)) >= ratio)))
+    return both.select("model", "built_at", "duration_ms", "median", F.round("z", 2).alias("z"), F.round(F.try_divide("duration_ms", "median"), 2).alias("ratio"))
 
 
 def incremental_candidates(builds: DataFrame, most_growth: float = 0.2, big: int = 0, least: int = 3) -> DataFrame:

@@ -307,7 +307,7 @@ def _(spark, d):
     one, two = _halves(spark, d)
     target = _empty(one, ["user_id", "value"], cdc.SEQ).withColumn(cdc.DELETED, F.lit(False))
     for batch in (two, one, two):
-        target = _settled(cdc.apply_soft(target, batch, ["user_id"], "lsn", "op"))
+        target = _settled(cdc.apply_soft(target, batch, ["user_id"], "lsn", "op", schema="ignore"))
     return target
 
 
