@@ -228,7 +228,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _build_shard(table: pa.Table) -> pa.Table:
     ids = table.column("node").to_numpy()
     near = build(_matrix(table.column("vector")))
-    return pa.table({"node": pa.array(ids), "near": _lists([ids[r[r >= 0]] for r in near])})
+    return pa.table({"shard": table.column("shard"), "node": pa.array(ids), "near": _lists([ids[r[r >= 0]] for r in near])})
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -322,10 +322,13 @@ def link_counts(classes: DataFrame, threshold: float = 0.98, sample: int = SAMPL
     one, two = (number(F.pmod(F.xxhash64(F.lit(k), "node"), "shards")) for k in (1, 2))
     own = F.when(F.col("rank") == 0, F.array_distinct(F.array(one, two))).otherwise(F.array(one))
     members = keep(each.select("node", "copies", "vector", F.when(F.col("rank") == 0, one).alias("home"), F.explode(own).alias("shard")))
-    united = members.groupBy("shard").applyInArrow(_build_shard, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    built = keep(members.groupBy("shard").applyInArrow(_build_shard, "shard long, node long, near array<long>"))
+    united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     places = members.filter("home = shard").select("node", "copies", "home", "vector")
     inside = keep(members.select("shard", "node", "copies", "vector").join(united.join(places.select("node", "home"), "node"), "node").select("shard", F.when(F.col("home") == F.col("shard"), HOME).otherwise(MEMBER).alias("kind"), "node", "copies", "home", "near", "vector"))
-    named = inside.select("shard", F.explode("near").alias("node")).distinct().join(inside.select("shard", "node"), ["shard", "node"], "left_anti")
+    # only lists from other shards name nodes that are not of this one
+    named = inside.select("shard", "node").join(built.withColumnRenamed("shard", "origin"), "node").filter("origin <> shard").select("shard", F.explode("near").alias("node"))
+    named = named.distinct().join(inside.select("shard", "node"), ["shard", "node"], "left_anti")
     outside = named.join(places, "node").select("shard", F.lit(OUTSIDE).alias("kind"), "node", "copies", "home", F.lit(None).cast("array<long>").alias("near"), "vector")
     graph = keep(inside.union(outside))
     visits = keep(each.select(F.explode(F.sequence(number(F.lit(0)), number(F.col("shards") - 1))).alias("shard"), "node", F.col("node").alias("entry"), "vector"))
@@ -341,7 +344,7 @@ def link_counts(classes: DataFrame, threshold: float = 0.98, sample: int = SAMPL
         all_found = all_found.union(more)
     counts = keep(all_found.filter(F.col("kind") == COUNT).groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("others")))
     links = keep(all_found.filter(F.col("kind") == LINK).select("u", "v").distinct())
-    forget(placed, members, inside, graph, *found)
+    forget(placed, members, built, inside, graph, *found)
     return counts, links
 
 
