@@ -271,8 +271,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
     shared = named.select("text").mapInArrow(_anchor_hashes(length, gram), "h long").groupBy("h").count().filter("count > 1").select("h")
     found = named.mapInArrow(_anchors(length, gram), _RUN)
     place = ["t1", "t2", "bytes", "lo", "more", "ahead"]
-    runs_ = keep(found.join(shared, "h", "left_semi").groupBy("h", "c1", "c2", *place).agg(F.count("*").alias("n")))
-    context = keep(runs_.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct(*place)).alias("at")))
+    # nothing but the join reads what an anchor is dealt to, so AQE can split a hot one
+    runs_ = keep(found.join(shared, "h", "left_semi").select("h", "c1", "c2", *place))
+    context = keep(runs_.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("at")))
     several = context.groupBy("h").agg(F.count("*").alias("contexts")).filter("contexts > 1")
     wanted = context.join(several, "h").select("h", "c1", "c2", "at.*").groupBy("t1", "t2", "bytes").agg(F.collect_list(F.struct(*_WANTED)).alias("wanted"))
     once = named.groupBy("t1", "t2", "bytes").agg(F.first("text").alias("text"))
@@ -291,9 +292,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part: int =
         own = own.drop("t1", "t2", "bytes", "lo").join(runs_.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "t1", "t2", "bytes", "lo"), ["k1", "k2"])
     spans = whole.union(own.select("repeat", *span(F.col("lo"))))
     # few corpora have a part so large; its classes are only planned where one is
-    if several.filter(F.col("contexts") > part).isEmpty():
-        return spans
-    return spans.union(_large_parts(parts.filter(F.col("contexts") > part), runs_, length, part, merged))
+    if not several.filter(F.col("contexts") > part).isEmpty():
+        spans = spans.union(_large_parts(parts.filter(F.col("contexts") > part), runs_, length, part, merged))
+    # texts that are repeated have the same places
+    return spans.distinct()
 
 
 def _large_parts(parts: DataFrame, runs_: DataFrame, length: int, part: int, merged: bool) -> DataFrame:
@@ -349,7 +351,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     and empty texts have no bytes. Repeated rows count as further documents; other
     columns are ignored; an empty table gives an empty result.
     """
-    found = repeats(docs, length, gram, part, merged=True).select("t1", "t2", "bytes", "start", "end").distinct()
+    found = repeats(docs, length, gram, part, merged=True).select("t1", "t2", "bytes", "start", "end")
     spans = found.groupBy("t1", "t2", "bytes").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), F.octet_length(text).alias("bytes"), text.alias("text"))
