@@ -50,9 +50,10 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     """(node, component): the smallest node reachable, for every node of ``edges`` (u, v).
 
     Alternating large-star and small-star rounds: each is two aggregations with
-    map-side combine and joins that AQE can split, so one node with very many
-    links lands in no single task. Nodes without links are not returned; links
-    with a null end are ignored. The result is a kept table.
+    map-side combine, whose results are kept, and joins of the links with them.
+    Nothing but the join reads what a key is dealt to, so AQE can split it and one
+    node with very many links lands in no single task. Nodes without links are not
+    returned; links with a null end are ignored. The result is a kept table.
     """
     links = keep(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
@@ -66,12 +67,12 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
             break
         state = tuple(now)
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = keep(both.join(near, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, links = links, keep(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        forget(before)
+        forget(before, near, large, least)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     out = keep(
