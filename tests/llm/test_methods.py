@@ -220,6 +220,13 @@ class TestToxicity:
 
 
 class TestLm:
+    def test_same_whatever_the_partitions(self, docs):
+        from tideframe.llm import lm
+
+        one, other = lm.pseudo_likelihood(docs), lm.pseudo_likelihood(docs.orderBy("n_chars").repartition(7, "source"))
+        found = {x["doc_id"]: x["log_prob"] for x in other.collect()}
+        assert all(abs(x["log_prob"] - found[x["doc_id"]]) < 1e-6 * max(1, x["n_tokens"]) for x in one.collect())
+
     def test_scores_written_out(self, spark):
         """Every word's probability from the weights by loops: class, word in the class, share of its bucket."""
         import pyarrow as pa

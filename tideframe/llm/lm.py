@@ -4,9 +4,10 @@ Spark counts every word of every text; the commonest words have an id of their
 own, the others share ``BUCKETS`` ids by hash. The network sees the ``SIDE`` words
 on either side of a place, never the word itself: the embeddings of these (one
 table for each offset) are added, squashed, and give a softmax over word classes
-times one over the words of a class. It is trained data-parallel: every
-partition takes gradient steps over its own texts from common weights, the
-weights are averaged by Spark, and the next round goes on from there. A text's
+times one over the words of a class. It is trained data-parallel: texts are put
+in groups by a hash, whatever the partitions they come in; every group takes
+gradient steps over its own texts from common weights, the weights are averaged
+by Spark in a fixed order, and the next round goes on from there. A text's
 score is the sum over all its words of the log-probability given both sides; a
 word that shares an id has the probability of the id times its own share of the
 id's count, so every word of the corpus is told apart.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ SIDE, WIDTH, BATCH = 2, 16, 1024
 #: Rounds of averaging; in round r the places r, r + STRIDE, ... of every text are predicted. A stride of more than the rounds is cut to them, so that every place is.
 ROUNDS, STRIDE, RATE = 2, 2, 0.15
 BLOCK = 1024
+#: Bytes of text of a group that is trained on by one task, and groups at most.
+GROUP_BYTES, GROUPS = 16 << 20, 4096
 #: Words with a shared id whose counts every task has; the counts of rarer ones are joined. Parts of a logarithm that are summed as whole numbers, so that equal rows get equal sums.
 SHARED, UNIT = 65_536, 1 << 24
 
@@ -193,10 +197,23 @@ class Encoder:
         return out, ids
 
 
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of one block's weights, added up in the order of the groups."""
+    table = table.sort_by("place")
+    seen = table.column("seen").to_numpy().astype(float)
+    held = table.column("w").combine_chunks().flatten().to_numpy().reshape(len(seen), -1)
+    mean = (held * seen[:, None]).sum(axis=0) / seen.sum()
+    return pa.table({"block": table.column("block").slice(0, 1), "w": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
+
+
 def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> Network:
-    """Weights averaged over all partitions, by the places each has predicted."""
+    """Weights averaged over all groups, by the places each has predicted; the same for the same rows."""
     sc = docs.sparkSession.sparkContext
-    own = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    text = F.col("text").cast("string")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    groups = int(min(GROUPS, max(1, -(-size // GROUP_BYTES))))
+    by = F.xxhash64(F.col("doc_id").cast("long"), text)
+    own = docs.filter(text.isNotNull()).select(by.alias("by"), text.alias("text")).repartition(groups, "by").sortWithinPartitions("by", "text").select("text")
     encoder, network = sc.broadcast(Encoder(words)), Network()
     stride = max(1, min(stride, rounds))
     for r in range(rounds):
@@ -217,15 +234,15 @@ def train(docs: DataFrame, words: np.ndarray, rounds: int = ROUNDS, stride: int
                         net.step(context[part], target[part], memory, rate)
                     seen += len(pick)
             if seen:
-                blocks = [net.flat[i : i + BLOCK] for i in range(0, len(net.flat), BLOCK)]
+                cut = np.append(np.arange(0, len(net.flat), BLOCK), len(net.flat))
+                n, lists = len(cut) - 1, pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(net.flat))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(len(blocks)), pa.int32()), pa.array([seen] * len(blocks), pa.int64()), pa.array([b.tolist() for b in blocks], pa.list_(pa.float32()))], ["block", "seen", "w"]
+                    [pa.array(range(n), pa.int32()), pa.array([TaskContext.get().partitionId()] * n, pa.int32()), pa.array([seen] * n, pa.int64()), lists], ["block", "place", "seen", "w"]
                 )
 
-        parts = own.mapInArrow(learn, "block int, seen long, w array<float>")
-        # element by element, so that no task or driver holds the weights of many partitions
-        mean = parts.select("block", "seen", F.posexplode("w").alias("i", "x")).groupBy("block", "i").agg((F.sum(F.col("x").cast("double") * F.col("seen")) / F.sum("seen")).alias("x"))
-        rows = mean.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("w")).select("block", F.col("w.x").alias("w")).orderBy("block").collect()
+        # a block at a time, a row for each group, so that no task or driver holds the weights of many
+        parts = own.mapInArrow(learn, "block int, place int, seen long, w array<float>")
+        rows = parts.groupBy("block").applyInArrow(_mean, "block int, w array<float>").orderBy("block").collect()
         if not rows:
             break
         network = Network(np.concatenate([np.array(b["w"], np.float32) for b in rows]))
