@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.sources.files import delete, work_folder
@@ -27,9 +27,9 @@ def forget(*tables: DataFrame) -> None:
         delete(df.sparkSession, df._kept_path)
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+def id_filter(ids: DataFrame, column: str, hashed: bool = False) -> np.ndarray:
     """Bytes of a bitmap with the bit ``filter_slot`` of every id; some others pass by chance, none is missed."""
-    slot = filter_slot(column)
+    slot = filter_slot(column, hashed)
     words = ids.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("word"))
     found = words.agg(F.expr("bit_or(shiftleft(1L, slot % 64))").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
@@ -37,8 +37,14 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def filter_slot(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+def filter_slot(column: str, hashed: bool = False) -> Column:
+    """The bit of an id, or of a number that is a hash already."""
+    return F.pmod(F.col(column) if hashed else F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+
+
+def filter_slots(hashes: np.ndarray) -> np.ndarray:
+    """The bits of hashes."""
+    return np.mod(hashes, FILTER_BITS)
 
 
 def passes(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
