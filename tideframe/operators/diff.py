@@ -17,12 +17,24 @@ def common_columns(before: DataFrame, after: DataFrame) -> list[str]:
 
 
 def changes_of_schema(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(column_name, change, old_type, new_type): added, removed, type_changed."""
+    """(column_name, change, old_type, new_type, filled): added, removed, type_changed.
+
+    ``filled`` counts the values that are not null in the state that has the
+    column, the later one if both have; an aggregate over each state.
+    """
     d = schema_diff(before.schema, after.schema)
     rows = [(f.name, "added", None, f.dataType.simpleString()) for f in d.added]
     rows += [(f.name, "removed", f.dataType.simpleString(), None) for f in d.removed]
     rows += [(a.name, "type_changed", a.dataType.simpleString(), b.dataType.simpleString()) for a, b in d.retyped]
-    return before.sparkSession.createDataFrame(rows, "column_name string, change string, old_type string, new_type string")
+    gone = [f.name for f in d.removed]
+    here = [f.name for f in d.added] + [b.name for _, b in d.retyped]
+    filled = {}
+    for df, names in ((before, gone), (after, here)):
+        if names:
+            filled |= df.agg(*(F.count(f"`{c}`").alias(c) for c in names)).first().asDict()
+    last = {a.name: b.name for a, b in d.retyped}
+    rows = [(*r, filled[last.get(r[0], r[0])]) for r in rows]
+    return before.sparkSession.createDataFrame(rows, "column_name string, change string, old_type string, new_type string, filled long")
 
 
 def rows(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -159,20 +159,28 @@ def _melt(df: DataFrame, make: Callable[[str, str], list[Column]], fields: list[
     return wide.select("__rows", F.explode(rows).alias("r")).select("r.*", F.col("__rows").alias("row_count"))
 
 
-def profile_basic(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """(column_name, row_count, null_percent, distinct_count); exact counts expand rows by column, so wide tables may ask for approximate ones."""
-    distinct = (lambda c: F.approx_count_distinct(f"`{c}`")) if approximate else (lambda c: F.count_distinct(f"`{c}`"))
+def _distinct_values(approximate: bool) -> Callable[[str], Column]:
+    return (lambda c: F.approx_count_distinct(f"`{c}`")) if approximate else (lambda c: F.count_distinct(f"`{c}`"))
+
+
+def profile_basic(df: DataFrame, approximate: bool = True) -> DataFrame:
+    """(column_name, row_count, null_percent, distinct_count).
+
+    Distinct values are counted by a sketch of fixed size for each column; exact
+    counts expand the rows by column, which a large table should not ask for.
+    """
+    distinct = _distinct_values(approximate)
     out = _melt(df, lambda c, _: [F.count_if(F.col(f"`{c}`").isNull()), distinct(c)], ["nulls", "distinct_count"])
     percent = F.when(F.col("row_count") > 0, F.round(F.col("nulls") * 100.0 / F.col("row_count"), 1)).otherwise(F.lit(0.0))
     return out.select("column_name", "row_count", percent.alias("null_percent"), "distinct_count")
 
 
-def profile_table(df: DataFrame) -> DataFrame:
+def profile_table(df: DataFrame, approximate: bool = True) -> DataFrame:
     """profile_basic with least and greatest value as text and, for numbers, the mean to four places."""
     mean = lambda c, t: F.round(F.avg(F.col(f"`{c}`").cast("double")), 4) if isinstance(t, NumericType) else F.first(F.lit(None).cast("double"))
     out = _melt(
         df,
-        lambda c, t: [F.count_if(F.col(f"`{c}`").isNull()), F.count_distinct(f"`{c}`"), F.min(f"`{c}`").cast("string"), F.max(f"`{c}`").cast("string"), mean(c, t)],
+        lambda c, t: [F.count_if(F.col(f"`{c}`").isNull()), _distinct_values(approximate)(c), F.min(f"`{c}`").cast("string"), F.max(f"`{c}`").cast("string"), mean(c, t)],
         ["nulls", "distinct_count", "least", "greatest", "mean"],
     )
     percent = F.when(F.col("row_count") > 0, F.round(F.col("nulls") * 100.0 / F.col("row_count"), 1)).otherwise(F.lit(0.0))

@@ -92,7 +92,7 @@ def _profile_sql(table_: str, columns: list[str]) -> str:
 
 @query("profile_basic", _profile_sql(_N, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "s"]))
 def _(spark, d):
-    return quality.profile_basic(_nulled(spark, d))
+    return quality.profile_basic(_nulled(spark, d), approximate=False)
 
 
 @query(
@@ -103,12 +103,12 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return quality.profile_table(table(spark, d, "customer").drop("c_acctbal"))
+    return quality.profile_table(table(spark, d, "customer").drop("c_acctbal"), approximate=False)
 
 
 @query("high_null_alert", f"SELECT * FROM ({_profile_sql(_N, ['o_orderkey', 's'])}) WHERE null_percent > 20")
 def _(spark, d):
-    return quality.high_nulls(quality.profile_basic(_nulled(spark, d).select("o_orderkey", "s")), 20.0)
+    return quality.high_nulls(quality.profile_basic(_nulled(spark, d).select("o_orderkey", "s"), approximate=False), 20.0)
 
 
 @query(
@@ -197,10 +197,15 @@ _A = "(SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 8 <
 _B = "(SELECT c_custkey, c_name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey FROM customer WHERE c_custkey % 9 <> 0)"
 
 
-@query("diff_schema", "SELECT * FROM (VALUES ('tier', 'added', NULL, 'string'), ('c_name', 'removed', 'string', NULL), ('c_nationkey', 'type_changed', 'int', 'bigint')) t(column_name, change, old_type, new_type)")
+@query(
+    "diff_schema",
+    f"""SELECT 'tier' AS column_name, 'added' AS change, NULL AS old_type, 'string' AS new_type, count(*) FILTER (WHERE c_custkey % 4 = 0) AS filled FROM {_B}
+        UNION ALL SELECT 'c_name', 'removed', 'string', NULL, count(c_name) FROM {_A} UNION ALL SELECT 'c_nationkey', 'type_changed', 'int', 'bigint', count(c_nationkey) FROM {_B}""",
+)
 def _(spark, d):
-    c, _ = _states(spark, d)
-    return diff.changes_of_schema(c, c.drop("c_name").withColumn("c_nationkey", F.col("c_nationkey").cast("long")).withColumn("tier", F.lit("x")))
+    a, b = _states(spark, d)
+    after = b.drop("c_name").withColumn("c_nationkey", F.col("c_nationkey").cast("long")).withColumn("tier", F.when(F.col("c_custkey") % 4 == 0, "x"))
+    return diff.changes_of_schema(a, after)
 
 
 @query("diff_rows", f"SELECT *, 'added' AS side FROM (SELECT * FROM {_B} EXCEPT SELECT * FROM {_A}) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM {_A} EXCEPT SELECT * FROM {_B})")
