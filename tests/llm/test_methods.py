@@ -267,3 +267,42 @@ class TestLm:
                 if hashes[w] not in rank:
                     total += math.log(times[w] / bucket[hashes[w] % lm.BUCKETS])
             assert r[i]["n_tokens"] == len(own) and abs(r[i]["log_prob"] - total) < 1e-3 * max(1, len(own))
+
+
+class TestToxicityQuery:
+    def test_scores_written_out(self, spark):
+        """Every document's score from lexicon, chain and weights by loops over all of its words."""
+        sf = "/root/testdata/sf0.01"
+        d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+        model = toxicity.fit(d, labels)
+        assert len(model.lexicon.keys) > 3
+        value = dict(zip(model.lexicon.keys.tolist(), model.lexicon.values.tolist(), strict=True))
+        move, emit = np.exp(model.crf.move).tolist(), model.crf.emit.tolist()
+        small = d.limit(150)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(small, model).collect()}
+        for r in small.select("doc_id", "text").collect():
+            words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r["text"] or "").translate({i: i + 32 for i in range(65, 91)}))]
+            data = np.frombuffer(b"".join(words), np.uint8)
+            ends = np.cumsum([len(w) for w in words]).astype(int)
+            starts = ends - [len(w) for w in words] if words else ends
+            kinds = [wordhash.hash_spans(data, starts, ends)] + [wordhash.mix(wordhash.hash_spans(data, starts, np.minimum(ends, starts + n)) + np.uint64(n)) for n in (4, 5, 6)] if words else []
+            v = [max(value.get(int(k[i]), 0.0) for k in kinds) for i in range(len(words))]
+            around = lambda i: v[i] if 0 <= i < len(v) else 0.0  # noqa: B023, E731
+            e = [(1.0, math.exp(min(50, max(-50, emit[0] + emit[1] * (v[i] > 0) + emit[2] * v[i] + emit[3] * around(i - 1) + emit[4] * around(i + 1))))) for i in range(len(words))]
+            forward, now = [], (1.0, math.exp(model.crf.start))
+            for t in range(len(words)):
+                if t:
+                    now = tuple(sum(now[i] * move[i][j] for i in (0, 1)) for j in (0, 1))
+                now = (now[0] * e[t][0], now[1] * e[t][1])
+                now = (now[0] / sum(now), now[1] / sum(now))
+                forward.append(now)
+            back, weighted = (1.0, 1.0), []
+            for t in range(len(words) - 1, -1, -1):
+                p = (forward[t][0] * back[0], forward[t][1] * back[1])
+                if v[t]:
+                    weighted.append(p[1] / sum(p) * v[t])
+                back = tuple(sum(move[i][j] * e[t][j] * back[j] for j in (0, 1)) for i in (0, 1))
+                back = (back[0] / sum(back), back[1] / sum(back))
+            w = model.score
+            truth = 1 / (1 + math.exp(-(w[0] + w[1] * math.log1p(sum(weighted)) + w[2] * max(weighted, default=0.0))))
+            assert abs(got[r["doc_id"]] - truth) < 1e-6
