@@ -97,16 +97,17 @@ def _(spark, d):
 
 
 _RECURSIVE = """
-WITH RECURSIVE up(n, regions) AS (
-  SELECT 1, (SELECT count(*) FROM region)
-  UNION ALL SELECT n + 1, regions * 2 FROM up WHERE n < 8)
-SELECT n, regions FROM up
+WITH RECURSIVE tree(id, depth) AS (
+  SELECT c_custkey, 0 FROM customer WHERE c_custkey = 1
+  UNION ALL SELECT c.c_custkey, tree.depth + 1 FROM tree JOIN customer c ON CAST(floor(c.c_custkey / 2) AS BIGINT) = tree.id)
+SELECT depth, count(*) AS n, max(id) AS last FROM tree GROUP BY depth
 """
 
 
 @query("recursive_cte", _RECURSIVE)
 def _(spark, d):
-    table(spark, d, "region").createOrReplaceTempView("region")
+    """A hierarchy of customers, level by level."""
+    table(spark, d, "customer").createOrReplaceTempView("customer")
     return spark.sql(_RECURSIVE)
 
 
@@ -123,9 +124,9 @@ def _(spark, d):
     return spark.sql(_LATERAL)
 
 
-@query("lateral_series", "SELECT n_nationkey, i::BIGINT AS i FROM nation, LATERAL (SELECT unnest(generate_series(1, n_regionkey + 1)) AS i)")
+@query("lateral_series", "SELECT c_custkey, i::BIGINT AS i FROM customer, LATERAL (SELECT unnest(generate_series(1, c_nationkey + 1)) AS i)")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("n_regionkey") + 1).cast("long"))).alias("i"))
+    return table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("c_nationkey") + 1).cast("long"))).alias("i"))
 
 
 @query("named_params", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 150000")

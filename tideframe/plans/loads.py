@@ -208,10 +208,10 @@ def _(spark, d):
     return old.unionByName(new)
 
 
-@query("row_hash", "SELECT md5('V:' || n_nationkey || '|' || 'V:' || n_name || '|N') AS h, n_nationkey FROM nation")
+@query("row_hash", "SELECT md5('V:' || o_orderkey || '|' || 'V:' || o_orderpriority || '|N') AS h, o_orderkey FROM orders")
 def _(spark, d):
-    n = table(spark, d, "nation").withColumn("gone", F.lit(None).cast("string"))
-    return n.select(keys.row_hash(["n_nationkey", "n_name", "gone"]).alias("h"), "n_nationkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority").withColumn("gone", F.lit(None).cast("string"))
+    return o.select(keys.row_hash(["o_orderkey", "o_orderpriority", "gone"]).alias("h"), "o_orderkey")
 
 
 # ---- change capture: the events of each user as a log, `purchase` as the delete
