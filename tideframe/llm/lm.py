@@ -32,6 +32,8 @@ SIDE, WIDTH, BATCH = 2, 16, 1024
 #: Rounds of averaging; in round r the places r, r + STRIDE, ... of every text are predicted. A stride of more than the rounds is cut to them, so that every place is.
 ROUNDS, STRIDE, RATE = 2, 2, 0.15
 BLOCK = 1024
+#: Places that are scored together.
+TOGETHER = 4096
 #: Bytes of text of a group that is trained on by one task, and groups at most.
 GROUP_BYTES, GROUPS = 16 << 20, 4096
 #: Words with a shared id whose counts every task has; the counts of rarer ones are joined. Parts of a logarithm that are summed as whole numbers, so that equal rows get equal sums.
@@ -60,47 +62,59 @@ class Network:
             h = h + self.embed[o][context[:, o]]
         return np.tanh(h)
 
-    def _outputs(self, h: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each class: its rows, their word in the class, log-probabilities in the class."""
-        kind, word = target // IN_CLASS, target % IN_CLASS
+    def _words(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order of the rows by class, where each class begins, sorted hidden rows, log-probabilities in the class, word in the class)."""
+        kind = (target // IN_CLASS).astype(np.uint16)
         order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cut[c] : cut[c + 1]]
-            if len(rows):
-                yield c, rows, word[rows], _log_softmax(h[rows] @ self.words[c].T + self.word_bias[c])
+        kind = kind[order]
+        cut, h = np.searchsorted(kind, np.arange(CLASSES + 1)), h[order]
+        logits = np.empty((len(h), IN_CLASS), h.dtype)
+        for c in np.flatnonzero(np.diff(cut)):
+            np.matmul(h[cut[c] : cut[c + 1]], self.words[c].T, out=logits[cut[c] : cut[c + 1]])
+        logits += self.word_bias[kind]
+        return order, cut, h, _log_softmax(logits), (target % IN_CLASS)[order]
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
         out = _log_softmax(h @ self.classes.T + self.class_bias)[np.arange(len(target)), target // IN_CLASS]
-        for _, rows, word, logs in self._outputs(h, target):
-            out[rows] += logs[np.arange(len(rows)), word]
+        order, _, _, logs, word = self._words(h, target)
+        out[order] += logs[np.arange(len(word)), word]
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: Network, rate: float) -> None:
-        """One Adagrad step on the mean log-probability; ``memory`` holds the squares."""
+        """One Adagrad step on the mean log-probability; ``memory`` holds the squares. Embeddings that no place asks for stay as they are."""
         n = len(target)
-        grad = Network(np.zeros_like(self.flat))
         h = self.hidden(context)
         gap = -np.exp(_log_softmax(h @ self.classes.T + self.class_bias))
         gap[np.arange(n), target // IN_CLASS] += 1
-        grad.classes[:] = gap.T @ h
-        grad.class_bias[:] = gap.sum(axis=0)
+        grad = {"classes": gap.T @ h, "class_bias": gap.sum(axis=0), "words": np.zeros_like(self.words), "word_bias": np.zeros_like(self.word_bias)}
         back = gap @ self.classes
-        for c, rows, word, logs in self._outputs(h, target):
-            gap = -np.exp(logs)
-            gap[np.arange(len(rows)), word] += 1
-            grad.words[c] = gap.T @ h[rows]
-            grad.word_bias[c] = gap.sum(axis=0)
-            back[rows] += gap @ self.words[c]
+        order, cut, rows, logs, word = self._words(h, target)
+        gap, inner = -np.exp(logs), np.empty_like(rows)
+        gap[np.arange(n), word] += 1
+        for c in np.flatnonzero(np.diff(cut)):
+            lo, hi = cut[c], cut[c + 1]
+            np.matmul(gap[lo:hi].T, rows[lo:hi], out=grad["words"][c])
+            np.matmul(gap[lo:hi], self.words[c], out=inner[lo:hi])
+            grad["word_bias"][c] = gap[lo:hi].sum(axis=0)
+        back[order] += inner
         back *= 1 - h * h
-        for o in range(2 * SIDE):
-            order = np.argsort(context[:, o], kind="stable")
-            ids, first = np.unique(context[order, o], return_index=True)
-            grad.embed[o][ids] = np.add.reduceat(back[order], first, axis=0)
-        g = grad.flat / n
-        memory.flat += g * g
-        self.flat += rate * g / (np.sqrt(memory.flat) + 1e-6)
+        # the rows of all offsets' tables at once; small whole numbers are sorted by their digits
+        ids = (context + np.arange(2 * SIDE) * (VOCABULARY + 1)).T.ravel().astype(np.uint16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        own, g = ids[first], np.add.reduceat(back[order % n], first, axis=0) / n
+        table, held = self.embed.reshape(-1, WIDTH), memory.embed.reshape(-1, WIDTH)
+        square = held[own] + g * g
+        held[own] = square
+        table[own] += rate * g / (np.sqrt(square) + 1e-6)
+        for name, g in grad.items():
+            g = g / n
+            square = getattr(memory, name)
+            square += g * g
+            weights = getattr(self, name)
+            weights += rate * g / (np.sqrt(square) + 1e-6)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -271,8 +285,8 @@ def score(docs: DataFrame, words: np.ndarray, network: Network, counts: DataFram
                 hashes, first, _, _ = word_hashes(data, offs, ALNUM)
                 context, target = encoder.value.contexts(hashes, first)
                 logs = np.zeros(len(target) + 1)
-                for lo in range(0, len(target), 8192):
-                    logs[lo + 1 : lo + 8193] = net.log_probs(context[lo : lo + 8192], target[lo : lo + 8192])[: len(target) - lo]
+                for lo in range(0, len(target), TOGETHER):
+                    logs[lo + 1 : lo + TOGETHER + 1] = net.log_probs(context[lo : lo + TOGETHER], target[lo : lo + TOGETHER])
                 at = np.zeros(0, int)
                 if shares.value is not None:
                     more, at = shares.value(hashes, target)
