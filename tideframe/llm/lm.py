@@ -63,7 +63,7 @@ class Network:
         return np.tanh(h)
 
     def _words(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(order of the rows by class, where each class begins, sorted hidden rows, log-probabilities in the class, word in the class)."""
+        """(order of the rows by class, where each class begins, sorted hidden rows, logits in the class, word in the class)."""
         kind = (target // IN_CLASS).astype(np.uint16)
         order = np.argsort(kind, kind="stable")
         kind = kind[order]
@@ -72,31 +72,29 @@ class Network:
         for c in np.flatnonzero(np.diff(cut)):
             np.matmul(h[cut[c] : cut[c + 1]], self.words[c].T, out=logits[cut[c] : cut[c + 1]])
         logits += self.word_bias[kind]
-        return order, cut, h, _log_softmax(logits), (target % IN_CLASS)[order]
+        return order, cut, h, logits, (target % IN_CLASS)[order]
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         h = self.hidden(context)
         out = _log_softmax(h @ self.classes.T + self.class_bias)[np.arange(len(target)), target // IN_CLASS]
-        order, _, _, logs, word = self._words(h, target)
-        out[order] += logs[np.arange(len(word)), word]
+        order, _, _, logits, word = self._words(h, target)
+        out[order] += _log_softmax(logits)[np.arange(len(word)), word]
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, memory: Network, rate: float) -> None:
         """One Adagrad step on the mean log-probability; ``memory`` holds the squares. Embeddings that no place asks for stay as they are."""
         n = len(target)
         h = self.hidden(context)
-        gap = -np.exp(_log_softmax(h @ self.classes.T + self.class_bias))
-        gap[np.arange(n), target // IN_CLASS] += 1
+        gap = _gap(h @ self.classes.T + self.class_bias, target // IN_CLASS)
         grad = {"classes": gap.T @ h, "class_bias": gap.sum(axis=0), "words": np.zeros_like(self.words), "word_bias": np.zeros_like(self.word_bias)}
         back = gap @ self.classes
-        order, cut, rows, logs, word = self._words(h, target)
-        gap, inner = -np.exp(logs), np.empty_like(rows)
-        gap[np.arange(n), word] += 1
-        for c in np.flatnonzero(np.diff(cut)):
+        order, cut, rows, logits, word = self._words(h, target)
+        gap, inner, some = _gap(logits, word), np.empty_like(rows), np.flatnonzero(np.diff(cut))
+        for c in some:
             lo, hi = cut[c], cut[c + 1]
             np.matmul(gap[lo:hi].T, rows[lo:hi], out=grad["words"][c])
             np.matmul(gap[lo:hi], self.words[c], out=inner[lo:hi])
-            grad["word_bias"][c] = gap[lo:hi].sum(axis=0)
+        grad["word_bias"][some] = np.add.reduceat(gap, cut[some], axis=0)
         back[order] += inner
         back *= 1 - h * h
         # the rows of all offsets' tables at once; small whole numbers are sorted by their digits
@@ -122,6 +120,15 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _gap(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What is wanted (1 at ``at``) less the probabilities of logits, which are used up."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= -x.sum(axis=1, keepdims=True)
+    x[np.arange(len(x)), at] += 1
+    return x
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offs in texts(batch.column("text")):
