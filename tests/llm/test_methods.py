@@ -306,3 +306,18 @@ class TestToxicityQuery:
             w = model.score
             truth = 1 / (1 + math.exp(-(w[0] + w[1] * math.log1p(sum(weighted)) + w[2] * max(weighted, default=0.0))))
             assert abs(got[r["doc_id"]] - truth) < 1e-6
+
+
+class TestSuffixParts:
+    def test_contexts_without_repeats_are_told(self):
+        from tideframe.llm import suffixes
+
+        rng = random.Random(6)
+        for _ in range(300):
+            middle = "".join(rng.choice("xyz") for _ in range(6))
+            sides = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(0, 14)))  # noqa: B023, E731
+            parts = [(sides(), sides()) for _ in range(3)]
+            contexts, ahead = [(a + middle + b).encode() for a, b in parts], [len(a) for a, _ in parts]
+            windows = [{(p - n, c[p : p + 12]) for p in range(max(0, n - 6), n + 1) if p + 12 <= len(c) and p + 12 >= n + 6} for c, n in zip(contexts, ahead, strict=True)]
+            truth = any(windows[i] & windows[j] for i in range(3) for j in range(i))
+            assert suffixes.may_repeat(contexts, ahead, 12) == truth

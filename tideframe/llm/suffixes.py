@@ -183,7 +183,29 @@ def _contexts(length: int):
 
 #: Columns of a span of a part: its group and the member's two keys, its text, its place there, and the span in the member.
 _SPAN = f"part string, repeat int, k1 long, k2 long, {_TEXT}, lo int, start int, end int"
-_PART = ["k1", "k2", "t1", "t2", "bytes", "lo", "more", "context"]
+_PART = ["k1", "k2", "t1", "t2", "bytes", "lo", "more", "ahead", "context"]
+#: Members of a part whose pairs are looked at before their suffixes are sorted.
+FEW = 8
+
+
+def _shared(a: bytes, b: bytes, back: bool) -> int:
+    """Bytes that two strings share from their beginning, or back from their end."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        same = a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] if back else a[low:mid] == b[low:mid]
+        low, high = (mid, high) if same else (low, mid - 1)
+    return low
+
+
+def may_repeat(contexts: list[bytes], ahead: list[int], length: int) -> bool:
+    """Whether any two contexts share ``length`` bytes around their anchors (at ``ahead``); equal windows lie at one place from theirs, so no others repeat."""
+    for i, a in enumerate(contexts):
+        for j in range(i):
+            b, p, q = contexts[j], ahead[i], ahead[j]
+            if _shared(a[p:], b[q:], False) + _shared(a[:p], b[:q], True) >= length:
+                return True
+    return False
 
 
 def _scan(length: int, merged: bool):
@@ -193,6 +215,8 @@ def _scan(length: int, merged: bool):
         for batch in batches:
             out: list[tuple] = []
             for name, members in zip(batch.column("part").to_pylist(), batch.column("members").to_pylist(), strict=True):
+                if len(members) <= FEW and members[0]["ahead"] >= 0 and not may_repeat([x["context"] for x in members], [x["ahead"] for x in members], length):
+                    continue
                 about = [(x["k1"], x["k2"], x["t1"], x["t2"], x["bytes"], x["lo"]) for x in members]
                 covered: list[list[tuple[int, int]]] = [[] for _ in members]
                 for k, (shared, found) in enumerate(maximal_repeats([x["context"] for x in members], [x["more"] + 1 for x in members], length)):
@@ -306,7 +330,8 @@ def _large_parts(parts: DataFrame, runs_: DataFrame, length: int, part: int, mer
     live = classes.join(shared, "core", "left_semi")
     kinds = keep(live.groupBy("core", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "bytes", "lo", "more", "context")).alias("x")).select("core", "k1", "k2", "n", "x.*"))
     sizes = kinds.groupBy("core").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    held = kinds.join(sizes, "core")
+    # pieces of classes do not tell where their anchor is
+    held = kinds.join(sizes, "core").withColumn("ahead", F.lit(-1))
     scanned = _members(held.filter(F.col("kinds") <= part), "core", "hex").mapInArrow(_scan(length, merged), _SPAN)
     windows = held.filter(F.col("kinds") > part).select("k1", "k2", "t1", "t2", "bytes", "lo", "more", "context").mapInArrow(_windows(length), f"window binary, k1 long, k2 long, {_TEXT}, lo int, start int")
     often = windows.groupBy("window").count().filter("count > 1").select("window")
