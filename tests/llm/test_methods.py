@@ -321,3 +321,22 @@ class TestSuffixParts:
             windows = [{(p - n, c[p : p + 12]) for p in range(max(0, n - 6), n + 1) if p + 12 <= len(c) and p + 12 >= n + 6} for c, n in zip(contexts, ahead, strict=True)]
             truth = any(windows[i] & windows[j] for i in range(3) for j in range(i))
             assert suffixes.may_repeat(contexts, ahead, 12) == truth
+
+
+class TestShardColumns:
+    """Columns of the documents come back whatever their names."""
+
+    NAMES = ["_order", "_part", "_at", "_block", "_rank", "_begin", "_offset", "_row", "count", "a.b", "block", "a`b", "A b"]
+
+    def test_every_name_in_use(self, spark):
+        from pyspark.sql import functions as F
+
+        from tideframe.llm import sharding
+
+        names = [c for c in self.NAMES if "`" not in c]
+        docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), *((F.col("id") * 100 + i).alias(c) for i, c in enumerate(names)))
+        rows = sharding.assign(docs, shards=7, keep=names).collect()
+        assert len(rows) == 300
+        assert all(r[c] == r["doc_id"] * 100 + i for r in rows for i, c in enumerate(names))
+        plain = {(r["doc_id"], r["shard"], r["slot"]) for r in sharding.assign(docs, shards=7).collect()}
+        assert plain == {(r["doc_id"], r["shard"], r["slot"]) for r in rows}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.llm import decontaminate, language, licenses, lm, minhash, mixing, sharding, suffixes, toxicity, vectors
+from tideframe.llm import decontaminate, language, licenses, lm, minhash, mixing, packing, sharding, suffixes, toxicity, tries, vectors, whitening
+from tideframe.llm.graph import keep
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +149,61 @@ nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.id = d.doc_id
 """
 
+
+def op11_polarisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the file of a public tokenizer that is installed on the driver
+    from public_tokenizers import path
+
+    return packing.pack(_table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+
+
+def with_shared_heads(turns: DataFrame) -> DataFrame:
+    """The turns of conversations rebuilt on the beginning of another: conv_id, place, digest, size.
+
+    Conversation c begins with the first h turns of c - c % 5, or all of them if
+    there are fewer, and goes on with its own behind its first h; h is
+    crc32(c) % 9. All that is looked up by conversation has at most eight rows of one.
+    """
+    c = F.col("conv_id")
+    h = (F.crc32(c.cast("string").cast("binary")) % 9).alias("h")
+    lengths = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    bases = lengths.select(F.col("conv_id").alias("base"), F.least("n", F.lit(8)).alias("most"))
+    convs = lengths.select("conv_id", h, (c - c % 5).alias("base")).join(bases, "base", "left")
+    given = convs.select("conv_id", "base", "h", F.least("h", F.coalesce("most", F.lit(0))).alias("given"))
+    heads = turns.filter((F.col("place") < 8) & (c % 5 == 0)).withColumnRenamed("conv_id", "base")
+    first = given.join(heads, "base").filter("place < given").select("conv_id", "place", "digest", "size")
+    own = turns.join(given, "conv_id").filter("place >= h").select("conv_id", (F.col("place") - F.col("h") + F.col("given")).alias("place"), "digest", "size")
+    return first.unionByName(own)
+
+
+def op13_prefix_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = keep(tries.ordered(_table(spark, sf_dir, "conversations")))
+    return tries.trie(with_shared_heads(turns), turns.select("conv_id").distinct())
+
+
+# crc32 bit by bit, over the digits of a number
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda held, x: list_reduce(list_concat([xor(held, x)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, _: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, count(*) AS n, {_CRC32} % 9 AS h FROM t GROUP BY conv_id),
+c AS (SELECT x.conv_id, x.h, x.conv_id - x.conv_id % 5 AS base, least(x.h, coalesce(y.n, 0)) AS given FROM n x LEFT JOIN n y ON y.conv_id = x.conv_id - x.conv_id % 5),
+r AS (SELECT c.conv_id, p, role, text FROM c JOIN t ON t.conv_id = c.base AND p < given UNION ALL SELECT conv_id, p - h + given, role, text FROM t JOIN c USING (conv_id) WHERE p >= h),
+s AS (SELECT conv_id, p + 1 AS d, strlen(text) AS bytes, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY p) AS path FROM r UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+v AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS saves FROM s GROUP BY path, d),
+k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1),
+b AS (SELECT path[1:u] AS path, sum(saves) AS saved, sum(leaf) AS leaves FROM (SELECT v.path, saves, (n_children IS NULL)::INT AS leaf, unnest(range(0, d + 1)) AS u FROM v LEFT JOIN k USING (path)) GROUP BY 1),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, d) AS path FROM s GROUP BY conv_id) GROUP BY path)
+SELECT v.conv_id, v.d AS depth, o.conv_id AS parent_conv_id, v.n_convs, coalesce(n_children, 0) AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM v LEFT JOIN k USING (path) LEFT JOIN b USING (path) LEFT JOIN e USING (path) LEFT JOIN v o ON v.d > 0 AND o.path = v.path[1:v.d - 1]
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_backoff": op1_backoff,
     "op2_raking": op2_raking,
@@ -159,6 +215,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_diagonals": op8_diagonals,
     "op9_flat_graph": op9_flat_graph,
     "op10_minhash": op10_minhash,
+    "op11_polarisation": op11_polarisation,
+    "op12_best_two_fit": op12_best_two_fit,
+    "op13_prefix_blocks": op13_prefix_blocks,
 }
 
 ORACLES: dict[str, str] = {
@@ -167,4 +226,5 @@ ORACLES: dict[str, str] = {
     "op10_minhash": OP10_SQL,
     "op7_winnowing": OP7_SQL,
     "op8_diagonals": OP8_SQL,
+    "op13_prefix_blocks": OP13_SQL,
 }

@@ -93,15 +93,18 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 1, keep: list[str] | N
     text's UTF-8 bytes (null: none) plus 16. The result depends on the rows'
     doc_id and text alone, not on partitions or order, so a lost task yields the
     same rows again; rows equal in both are interchangeable. Null ids and texts
-    are placed like others. An empty table gives an empty result.
+    are placed like others. The columns ``keep`` come back as they are, whatever
+    their names; one named like a result makes that name ambiguous. An empty table
+    gives an empty result.
     """
-    keep = keep or []
+    # columns of the documents travel in a struct, so that none clashes with a name in use here
+    carried = [F.struct(*(F.col(f"`{c}`").alias(c) for c in keep)).alias("_row")] if keep else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        *keep,
+        *carried,
     )
     about = ["doc_id", "text_crc32", "size"]
     total = docs.count()
@@ -132,5 +135,5 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 1, keep: list[str] | N
     return (
         placed.withColumn("_at", F.row_number().over(second) - 1)
         .join(offsets, ["shard", "_part"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("_offset") + F.col("_at")).alias("slot"), *keep)
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("_offset") + F.col("_at")).alias("slot"), *(["_row.*"] if keep else []))
     )
