@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,6 +145,30 @@ def _(spark, d):
     return publish.manifest(spark, _versions(spark, d)).select("version", "rows")
 
 
+@query("version_append_all", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def _(spark, d):
+    """Four writers append at once; each rebases on what the others have committed."""
+    root, o = work_folder(spark, "appends"), _orders(spark, d)
+    publish.publish(o.filter("o_orderkey % 5 = 0"), root, NOW)
+    with ThreadPoolExecutor(4) as writers:
+        list(writers.map(lambda k: publish.append(o.filter(f"o_orderkey % 5 = {k}"), root, NOW), range(1, 5)))
+    return publish.read(spark, root)
+
+
+@query("version_conflict", "SELECT o_orderstatus, count(*) AS n, true AS refused FROM orders GROUP BY 1")
+def _(spark, d):
+    """A version computed from one that is no longer the newest is refused; the newest stays."""
+    root, o = work_folder(spark, "conflict"), _orders(spark, d)
+    base = publish.publish(o.filter("o_orderstatus = 'F'"), root, NOW)
+    publish.append(o.filter("o_orderstatus <> 'F'"), root, NOW)
+    try:
+        publish.publish(publish.read(spark, root, base).filter("o_orderkey < 0"), root, NOW, expect=base)
+        refused = False
+    except publish.ConflictError:
+        refused = True
+    return publish.read(spark, root).groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("refused", F.lit(refused))
+
+
 @query("version_diff", "SELECT count(*) FILTER (WHERE o_orderstatus = 'F') AS rows_a, count(*) AS rows_b, count(*) FILTER (WHERE o_orderstatus <> 'F') AS row_change, ['channel'] AS added, []::VARCHAR[] AS removed FROM orders")
 def _(spark, d):
     return publish.version_diff(spark, _versions(spark, d), 1, 3)

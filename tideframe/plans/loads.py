@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideframe.operators import cdc, incremental, keys, microbatch, publish, schema, scd2
+from tideframe.operators import cdc, filetable, incremental, keys, microbatch, publish, schema, scd2
 from tideframe.plans.registry import query, table
 from tideframe.sources.files import work_folder
 
@@ -89,6 +89,43 @@ def _(spark, d):
     return incremental.merge(_target(spark, d), _batch(spark, d), ["o_orderkey"])
 
 
+# ---- the same, kept as files of which a batch rewrites those that may hold its keys
+
+
+def _file_table(rows: DataFrame, keys: list[str], files: int = 64) -> str:
+    root = work_folder(rows.sparkSession, "files")
+    filetable.create(rows, root, keys, NOW, file_rows=max(1, rows.count() // files))
+    return root
+
+
+@query("inc_merge_files", f"SELECT * FROM {_T} t WHERE NOT EXISTS (SELECT 1 FROM {_B} b WHERE b.o_orderkey = t.o_orderkey) UNION ALL SELECT * FROM {_B}")
+def _(spark, d):
+    root = _file_table(_target(spark, d), ["o_orderkey"])
+    filetable.merge(spark, root, _batch(spark, d), ["o_orderkey"], NOW)
+    return filetable.read(spark, root)
+
+
+@query("inc_delete_insert_files", f"SELECT * FROM {_T} t WHERE NOT EXISTS (SELECT 1 FROM {_B} b WHERE b.o_custkey IS NOT DISTINCT FROM t.o_custkey) UNION ALL SELECT * FROM {_B}")
+def _(spark, d):
+    root = _file_table(_target(spark, d), ["o_custkey"])
+    filetable.delete_insert(spark, root, _batch(spark, d), ["o_custkey"], NOW)
+    return filetable.read(spark, root)
+
+
+_NEAR = "(o_orderkey % 999 = 0 OR o_orderkey BETWEEN 500 AND 500 + (SELECT max(o_orderkey) // 1000 FROM orders))"
+
+
+@query("merge_files_touched", f"SELECT count(*) AS rows, count(*) FILTER (WHERE {_NEAR}) AS changed, true AS few_files FROM orders WHERE o_orderkey % 3 <> 0 OR {_NEAR}")
+def _(spark, d):
+    """A thousandth of the keys, next to each other, and as many new ones all over the table rewrite less than a twentieth of the files."""
+    root, o = _file_table(_target(spark, d), ["o_orderkey"], 100), _orders(spark, d)
+    most = o.agg(F.max("o_orderkey")).first()[0]
+    near = (F.col("o_orderkey") % 999 == 0) | F.col("o_orderkey").between(500, 500 + most // 1000)
+    done = filetable.merge(spark, root, o.filter(near).withColumn("o_totalprice", F.lit(-1.0)), ["o_orderkey"], NOW)
+    few = F.lit(20 * done.replaced < done.files)
+    return filetable.read(spark, root).agg(F.count("*").alias("rows"), F.count_if(F.col("o_totalprice") == -1).alias("changed")).withColumn("few_files", few)
+
+
 @query("inc_partition_overwrite", f"SELECT * FROM {_T} WHERE o_orderstatus <> 'F' UNION ALL SELECT * FROM {_B} WHERE o_orderstatus = 'F'")
 def _(spark, d):
     return incremental.apply("delete+insert", _target(spark, d), _batch(spark, d).filter("o_orderstatus = 'F'"), ["o_orderkey"], partition="o_orderstatus")
@@ -283,6 +320,17 @@ def _(spark, d):
     return _held(spark, d).filter(f"not {cdc.DELETED}").drop(cdc.DELETED)
 
 
+@query("cdc_apply_files", f"SELECT user_id, value, lsn AS _seq, op = 'D' AS _deleted FROM (SELECT user_id, CASE WHEN op <> 'D' THEN value END AS value, lsn, op FROM {_FINAL})")
+def _(spark, d):
+    """Changes applied to the files that may hold their keys; the batch that comes again by its tag does nothing."""
+    one, two = _halves(spark, d)
+    first = cdc.apply_changes(_empty(one, ["user_id", "value"], cdc.SEQ).withColumn(cdc.DELETED, F.lit(False)), two, ["user_id"], "lsn", "op")
+    root = _file_table(first, ["user_id"], 16)
+    for tag, batch in (("one", one), ("two", two), ("one", two.limit(0))):
+        filetable.apply_changes(spark, root, batch, ["user_id"], "lsn", "op", NOW, tag)
+    return filetable.read(spark, root)
+
+
 @query("cdc_schema_append", f"SELECT user_id, value, CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_id END AS event_id, lsn AS _seq FROM {_FINAL} WHERE op <> 'D'")
 def _(spark, d):
     """The second batch has a column that the target lacks; rows of the first stay null in it."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -47,3 +48,51 @@ def size(spark: SparkSession, path: str) -> int:
     """Bytes below a path, of one copy."""
     fs, p = _file_system(spark, path)
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, sorted; none where there is no folder."""
+    fs, p = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, or not at all where it is there already; of several writers one gets True.
+
+    The text is written under another name first. A local file then gets its name
+    by a hard link, any other by a rename that must not replace, which HDFS and
+    stores with such a rename do in one step.
+    """
+    jvm = spark._jvm
+    fs, p = _file_system(spark, path)
+    p = fs.makeQualified(p)
+    draft = jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.resolvePath(draft).toUri().getScheme() == "file":
+            place = jvm.java.io.File(fs.resolvePath(p.getParent()).toUri().getPath(), p.getName())
+            jvm.java.nio.file.Files.createLink(place.toPath(), jvm.java.io.File(fs.resolvePath(draft).toUri().getPath()).toPath())
+        else:
+            kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            none = spark.sparkContext._gateway.new_array(kinds, 1)
+            none[0] = kinds.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, p, none)
+        return True
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from tideframe.operators import cdc
 from tideframe.operators.keys import require_unique
-from tideframe.operators.publish import append, manifest, publish, read
+from tideframe.operators.publish import ConflictError, append, publish, read, read_log
 from tideframe.operators.quality import Check, require
 
 SEQ = "_seq"
@@ -80,26 +80,34 @@ def stamp_stream(stream: DataFrame, checkpoint: str, root: str, log: str, now: d
 
     The last number and the number of rows are the note of the version, written
     with it, so a batch that is replayed after a crash in between writes the same
-    line of the log again.
+    line of the log again. Numbers go on from those of the version that the batch
+    is appended to; where another writer gets ahead, they are given anew, so that
+    several streams into one table share one sequence without a number twice.
     """
     spark = stream.sparkSession
 
+    def stamped(batch: DataFrame, tag: str) -> tuple[int, int] | None:
+        while True:
+            log = read_log(spark, root)
+            if tag in log.tags:
+                held = log.live.get(log.tags[tag])  # gone only long after its line was written
+                return tuple(map(int, held["note"].split("/"))) if held else None
+            noted = [log.live[v]["note"] for v in sorted(log.live) if log.live[v]["note"]]
+            base = int(noted[-1].split("/")[0]) if noted else 0
+            rows, last = stamp(batch, base)
+            try:
+                append(rows, root, now, tag, note=f"{last}/{last - base}", expect=log.version or 0)
+                return last, last - base
+            except ConflictError:
+                continue
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        tag = f"stamp-{batch_id}"
-        held = manifest(spark, root)
-        done = held.filter(F.col("tag") == tag).select("note").collect()
+        batch = batch.persist()
+        done = stamped(batch, f"stamp-{source}-{batch_id}")
+        batch.unpersist()
         if done:
-            last, n = map(int, done[0]["note"].split("/"))
-        else:
-            newest = held.orderBy(F.desc("version")).select("note").limit(1).collect()
-            base = int(newest[0]["note"].split("/")[0]) if newest else 0
-            batch = batch.persist()
-            stamped, last = stamp(batch, base)
-            n = last - base
-            append(stamped, root, now, tag, note=f"{last}/{n}")
-            batch.unpersist()
-        line = spark.createDataFrame([(source, last, n, now)], "source string, watermark long, rows long, advanced_at timestamp_ntz")
-        line.coalesce(1).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+            line = spark.createDataFrame([(source, *done, now)], "source string, watermark long, rows long, advanced_at timestamp_ntz")
+            line.coalesce(1).write.mode("overwrite").parquet(f"{log}/stream={source}/batch={batch_id}")
 
     run_available(stream, checkpoint, each)
 
@@ -114,8 +122,14 @@ def live_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, b
     spark = stream.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = build(read(spark, root), batch)
-        publish(require(new, checks) if checks else new, root, now, tag=f"live-{batch_id}")
+        while True:
+            version = read_log(spark, root).version
+            new = build(None if version is None else read(spark, root, version), batch)
+            try:
+                publish(require(new, checks) if checks else new, root, now, tag=f"live-{batch_id}", expect=version or 0)
+                return
+            except ConflictError:
+                continue  # another writer's version is the one to build on
 
     run_available(stream, checkpoint, each)
 
