@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideframe.operators import cdc, filetable, incremental, keys, microbatch, publish, schema, scd2
+from tideframe.operators.publish import read_log
 from tideframe.plans.registry import query, table
 from tideframe.sources.files import work_folder
 
@@ -159,6 +160,44 @@ def _(spark, d):
     return result
 
 
+_DAYS = "SELECT event_id, ts, value FROM events"
+
+
+@query("inc_microbatch_windows", f"{_DAYS} WHERE event_id % 2 = 0 OR ts >= (SELECT date_trunc('day', max(ts))::TIMESTAMP - INTERVAL 2 DAY FROM events)")
+def _(spark, d):
+    """Half of the events by windows of their own, then all of them for the last day closed before and those after it."""
+    e, root = table(spark, d, "events").select("event_id", "ts", "value"), work_folder(spark, "windows")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    day = hi.replace(hour=0, minute=0, second=0, microsecond=0)
+    microbatch.run_windows(spark, root, e.filter("event_id % 2 = 0"), "ts", lo, day - timedelta(days=1), "day")
+    microbatch.run_windows(spark, root, e, "ts", lo, day + timedelta(days=1), "day", lookback=1)
+    return microbatch.read_windows(spark, root)
+
+
+@query("microbatch_resume", "SELECT count(*) AS rows, sum(event_id)::BIGINT AS ids, true AS kept FROM events")
+def _(spark, d):
+    """A run that dies between windows goes on with the first one that is not committed; what was committed keeps its files."""
+    e, root = table(spark, d, "events").select("event_id", "ts", "value"), work_folder(spark, "windows")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    end, left = hi + timedelta(days=40), [2]
+
+    def source(a, b):
+        left[0] -= 1
+        if left[0] < 0:
+            raise InterruptedError
+        return e
+
+    try:
+        microbatch.run_windows(spark, root, source, "ts", lo, end, "month", at_once=1)
+    except InterruptedError:
+        left[0] = 10_000
+    before = {w["start"]: w["run"] for w in read_log(spark, root, microbatch.WindowLog).windows.values()}
+    microbatch.run_windows(spark, root, source, "ts", lo, end, "month", at_once=100)
+    after = {w["start"]: w["run"] for w in read_log(spark, root, microbatch.WindowLog).windows.values()}
+    rows = microbatch.read_windows(spark, root)
+    return rows.agg(F.count("*").alias("rows"), F.sum("event_id").alias("ids")).withColumn("kept", F.lit(all(after[k] == run for k, run in before.items())))
+
+
 _S1 = "(SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0)"
 _S2 = "(SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 7 <> 0)"
 _T1, _T2 = datetime(2024, 1, 1), datetime(2024, 2, 1)

@@ -31,12 +31,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def claim(spark: SparkSession, path: str) -> bool:
-    """Create an empty file; False where it is there already. One of several writers gets True, on stores whose create is exclusive."""
-    fs, p = _file_system(spark, path)
-    if fs.exists(p):
-        return False
-    fs.mkdirs(p.getParent())
-    return fs.createNewFile(p)
+    """Create an empty file; False where it is there already. One of several writers gets True."""
+    return not exists(spark, path) and put_if_absent(spark, path, "")
 
 
 def delete(spark: SparkSession, path: str) -> None:
