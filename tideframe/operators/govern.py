@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.functions.masks import mask
+from tideframe.operators.closure import propagate
 
 # Masks from the strongest to the weakest.
 STRENGTH = ["null", "redact", "hash", "consistent_hash", "credit_card", "partial", "email", "phone", "first_initial", "ip_address", "truncate", "range", "date_shift", "noise"]
@@ -119,15 +120,39 @@ def governed(df: DataFrame, viewer: Viewer, policies: list[RowPolicy] | None = N
     return apply_masks(apply_row_policies(df, policies or [], viewer), masks or [], viewer.role)
 
 
-def strongest_mask(edges: DataFrame, masks: DataFrame) -> DataFrame:
-    """(derived, method, exempt): a derived column takes the strongest mask of its sources, and only roles exempt from all of them stay exempt.
+_BITS = 63
 
-    ``edges``: derived, source; ``masks``: source, method, exempt (array).
+
+def strongest_mask(edges: DataFrame, masks: DataFrame, declassified: DataFrame | None = None) -> DataFrame:
+    """(derived, method, exempt) of every column without a mask of its own that derives, in however many steps, from masked ones.
+
+    It takes the strongest mask that reaches it, and only roles exempt from all
+    of them stay exempt. A mask of its own goes before what a column would
+    inherit, and is what its own derivations inherit; ``declassified`` columns
+    (node) inherit nothing and pass nothing on. ``edges``: derived, source;
+    ``masks``: source, method, exempt (array). Roles, which are few, go through
+    the driver to become bits.
     """
+    roles = sorted(r[0] for r in masks.select(F.explode("exempt").alias("r")).filter("r is not null").distinct().collect())
+    parts = [roles[i : i + _BITS] for i in range(0, len(roles), _BITS)]
+    bits = lambda part: sum((F.when(F.array_contains(F.col("exempt"), r), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(part)), F.lit(0).cast("long"))
     rank = F.array_position(F.array(*(F.lit(m) for m in STRENGTH)), F.col("method"))
-    joined = edges.join(masks, "source")
-    per = joined.groupBy("derived").agg(F.min_by("method", F.struct(rank, "method")).alias("method"), F.collect_list("exempt").alias("all"))
-    return per.select("derived", "method", F.sort_array(F.aggregate("all", F.element_at("all", 1), F.array_intersect)).alias("exempt"))
+    known = masks.select(F.col("source").alias("node"), F.struct(rank.alias("rank"), "method").alias("strongest"), *(bits(p).alias(f"roles{i}") for i, p in enumerate(parts)))
+    stop = known.select("node") if declassified is None else known.select("node").union(declassified.select("node"))
+    combine = {"strongest": F.min, **{f"roles{i}": F.bit_and for i in range(len(parts))}}
+    reached = propagate(edges, known, combine, stop)
+    exempt = F.concat(F.array().cast("array<string>"), *(F.array_compact(F.array(*(F.when(F.getbit(F.col(f"roles{i}"), F.lit(k)) == 1, F.lit(r)) for k, r in enumerate(p)))) for i, p in enumerate(parts)))
+    own = masks.select(F.col("source").alias("node")).distinct()
+    return reached.join(own, "node", "left_anti").select(F.col("node").alias("derived"), F.col("strongest.method").alias("method"), F.sort_array(exempt).alias("exempt"))
+
+
+def inherited_classes(edges: DataFrame, classified: DataFrame, declassified: DataFrame | None = None) -> DataFrame:
+    """(node, class) of every column that is classified (node, class) or derives from one that is; of several classes the first by name.
+
+    A class of its own goes before what a column would inherit; ``declassified`` columns (node) inherit nothing.
+    """
+    stop = classified.select("node") if declassified is None else classified.select("node").union(declassified.select("node"))
+    return propagate(edges, classified.select("node", "class"), {"class": F.min}, stop)
 
 
 def pii_report(classified: DataFrame, masks: DataFrame) -> DataFrame:

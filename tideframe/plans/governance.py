@@ -99,6 +99,49 @@ def _(spark, d):
     return govern.strongest_mask(edges, rows)
 
 
+# a lineage of columns, one for each customer: each derives from two earlier ones, which meet again further up
+_LINKS = "(SELECT DISTINCT source, c_custkey AS derived FROM (SELECT c_custkey, c_custkey // 2 AS source FROM customer UNION ALL SELECT c_custkey, c_custkey // 3 FROM customer) WHERE source > 0)"
+_MASKED = "(SELECT c_custkey AS node, CASE c_custkey % 3 WHEN 0 THEN 'email' WHEN 1 THEN 'hash' ELSE 'noise' END AS method, CASE WHEN c_custkey % 2 = 0 THEN ['admin', 'steward'] ELSE ['admin', 'auditor'] END AS exempt FROM customer WHERE c_custkey % 7 = 3)"
+_OPEN = "(SELECT c_custkey AS node FROM customer WHERE c_custkey % 11 = 5 AND c_custkey % 7 <> 3)"
+
+
+def _lineage(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = table(spark, d, "customer").select("c_custkey")
+    links = c.select(F.expr("c_custkey div 2").alias("source"), F.col("c_custkey").alias("derived")).union(c.selectExpr("c_custkey div 3", "c_custkey")).filter("source > 0")
+    method = F.element_at(F.array(F.lit("email"), F.lit("hash"), F.lit("noise")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    exempt = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("admin"), F.lit("steward"))).otherwise(F.array(F.lit("admin"), F.lit("auditor")))
+    masks = c.filter("c_custkey % 7 = 3").select(F.col("c_custkey").alias("source"), method.alias("method"), exempt.alias("exempt"))
+    return links, masks, c.filter("c_custkey % 11 = 5 and c_custkey % 7 <> 3").withColumnRenamed("c_custkey", "node")
+
+
+_REACHED = f"""WITH RECURSIVE e AS {_LINKS}, m AS {_MASKED}, o AS {_OPEN},
+r(node, origin) AS (SELECT node, node FROM m UNION SELECT e.derived, r.origin FROM r JOIN e ON e.source = r.node WHERE e.derived NOT IN (SELECT node FROM m) AND e.derived NOT IN (SELECT node FROM o)),
+j AS (SELECT r.node, m.* EXCLUDE (node) FROM r JOIN m ON m.node = r.origin WHERE r.node NOT IN (SELECT node FROM m)),
+n AS (SELECT node, count(*) AS n FROM j GROUP BY node),
+x AS (SELECT node, role, count(*) AS k FROM (SELECT node, unnest(exempt) AS role FROM j) GROUP BY ALL)
+SELECT n.node AS derived, min_by(method, CASE method WHEN 'hash' THEN 1 WHEN 'email' THEN 2 ELSE 3 END) AS method, (SELECT list(role ORDER BY role) FROM x WHERE x.node = n.node AND k = n.n) AS exempt FROM n JOIN j USING (node) GROUP BY n.node, n.n"""
+
+
+@query("mask_closure", _REACHED)
+def _(spark, d):
+    """Masks inherited over any number of steps, through diamonds, up to columns that have their own or are declassified."""
+    return govern.strongest_mask(*_lineage(spark, d))
+
+
+@query(
+    "pii_closure",
+    f"""WITH RECURSIVE e AS {_LINKS}, o AS {_OPEN}, p AS (SELECT c_custkey AS node, c_mktsegment AS class FROM customer WHERE c_custkey % 13 = 2),
+    r(node, class) AS (SELECT * FROM p UNION SELECT e.derived, r.class FROM r JOIN e ON e.source = r.node WHERE e.derived NOT IN (SELECT node FROM p) AND e.derived NOT IN (SELECT node FROM o))
+    SELECT 'customer' AS table_name, node::VARCHAR AS column_name, min(class) AS class FROM r WHERE node % 7 <> 3 GROUP BY node""",
+)
+def _(spark, d):
+    """Columns without a mask that are classified or derive from one that is."""
+    links, masks, open_ = _lineage(spark, d)
+    known = table(spark, d, "customer").filter("c_custkey % 13 = 2").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("class"))
+    name = lambda df, c: df.select(F.lit("customer").alias("table_name"), F.col(c).cast("string").alias("column_name"), *(["class"] if "class" in df.columns else []))
+    return govern.pii_report(name(govern.inherited_classes(links, known, open_), "node"), name(masks, "source"))
+
+
 @query("pii_report", "SELECT 'customer' AS table_name, n_name AS column_name, 'name' AS class FROM nation WHERE n_regionkey <> 1")
 def _(spark, d):
     n = table(spark, d, "nation").select(F.lit("customer").alias("table_name"), F.col("n_name").alias("column_name"), F.lit("name").alias("class"), "n_regionkey")

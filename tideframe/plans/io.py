@@ -328,6 +328,21 @@ def _(spark, d):
     return stream.lag(adv, _consumed(adv), NOW)
 
 
+@query(
+    "live_lag_views",
+    """WITH RECURSIVE k AS (SELECT c_custkey FROM customer), e AS (SELECT c_custkey // 2 AS source, c_custkey AS derived FROM k WHERE c_custkey > 1 UNION SELECT c_custkey // 5, c_custkey FROM k WHERE c_custkey >= 5),
+    l AS (SELECT c_custkey AS model, c_custkey * 7919 % 1000 AS lag_seconds FROM k WHERE c_custkey % 6 = 1),
+    r(node, lag) AS (SELECT * FROM l UNION SELECT e.derived, r.lag FROM r JOIN e ON e.source = r.node WHERE e.derived % 6 <> 1)
+    SELECT c_custkey AS model, coalesce(max(lag), 0) AS lag_seconds FROM k LEFT JOIN r ON r.node = c_custkey WHERE c_custkey > 0 GROUP BY 1""",
+)
+def _(spark, d):
+    """Every sixth customer is a live model, the others are views over views; a view lags as the slowest live model that it reads through."""
+    c = table(spark, d, "customer").select("c_custkey")
+    reads = c.filter("c_custkey > 1").selectExpr("c_custkey div 2 AS source", "c_custkey AS derived").union(c.filter("c_custkey >= 5").selectExpr("c_custkey div 5", "c_custkey"))
+    live = c.filter("c_custkey % 6 = 1").selectExpr("c_custkey AS model", "c_custkey * 7919 % 1000 AS lag_seconds")
+    return stream.view_lag(live, reads)
+
+
 @query("events_per_second", f"WITH adv AS {_ADV}, m AS (SELECT max(advanced_at) AS now FROM adv) SELECT source, coalesce(sum(rows) FILTER (WHERE advanced_at > now - INTERVAL 864000 SECOND), 0) / 864000 AS per_second FROM adv, m GROUP BY 1")
 def _(spark, d):
     adv = _advances(spark, d)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -25,6 +25,21 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the work folder and read again: what follows does not redo them, nor depend on executors that may go."""
+    path = work_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables made by ``settled`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._settled_path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _file_system(spark, path)
     return fs.exists(p)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tideframe.operators import cdc
+from tideframe.operators.closure import propagate
 from tideframe.operators.keys import require_unique
 from tideframe.operators.publish import ConflictError, append, publish, read, read_log
 from tideframe.operators.quality import Check, require
@@ -206,6 +207,18 @@ def lag(advances: DataFrame, consumed: DataFrame, now: datetime) -> DataFrame:
     return j.groupBy("c.model").agg(F.coalesce(age, F.lit(0)).alias("lag_seconds"))
 
 
+def view_lag(lags: DataFrame, reads: DataFrame) -> DataFrame:
+    """(model, lag_seconds) of live models, as ``lag`` has them, and of the views that read them (source, derived), however many views lie between.
+
+    A view shows its inputs as they are, so it lags as far as the slowest live
+    model it reads through; 0 if there is none.
+    """
+    live = lags.select(F.col("model").alias("node"), "lag_seconds")
+    reached = propagate(reads, live, {"lag_seconds": F.max}, stop=live.select("node")).withColumnRenamed("node", "model")
+    every = lags.select("model").union(reads.select("derived")).distinct()
+    return every.join(reached, "model", "left").select("model", F.coalesce("lag_seconds", F.lit(0)).alias("lag_seconds"))
+
+
 def events_per_second(advances: DataFrame, now: datetime, seconds: int = 60) -> DataFrame:
     """(source, per_second) over the last so many seconds (source, rows, advanced_at)."""
     since = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(seconds))
