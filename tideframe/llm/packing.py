@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from tideframe.llm.graph import keep
 
 LIMIT, END = 4096, 1
 #: Bytes of text that a task tokenises at a time (one document at least), and words whose ids it remembers.
-SLICE_BYTES, KNOWN_WORDS = 4 << 20, 400_000
+SLICE_BYTES, KNOWN_WORDS = 10 << 20, 1_000_000
 #: Pieces of a length that one task ranks in a large table.
 TASK_ROWS = 200_000
 _RANK_BITS = 46
@@ -41,57 +42,106 @@ class Words:
 
     Each distinct run of other characters is tokenised once and looked up after
     that: all new ones are normalised and cut as one text, and each distinct cut
-    goes to the model. What is remembered is bounded; when it is full it starts
-    anew.
+    goes to the model. What is remembered, as flat arrays, is bounded; when it is
+    full it starts anew.
     """
 
     def __init__(self, definition: str, most: int = KNOWN_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.parts = Tokenizer.from_str(definition), most, {"": []}, {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def _learn(self, new: list[str]) -> None:
-        """Remember the ids of words; those that hold special tokens or other white space go through the whole tokenizer."""
-        odd = [w for w in new if any(s in w for s in self.special) or not w.isascii() and len(w.split()) != 1]
-        if odd:
-            self.known.update(zip(odd, (e.ids for e in self.tokenizer.encode_batch(odd, add_special_tokens=False)), strict=True))
-            new = [w for w in new if w not in self.known]
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(new))
-        words = iter(new)
-        ids: list[int] = []
-        until = -1
+        self.tokenizer, self.most = Tokenizer.from_str(definition), most
+        # special tokens, and white space that is not ASCII
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", *map(re.escape, special)])
+        cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.cuts = all(len(cut(f"{a}{b}{b}")) == 2 for a in "aé1" for b in ".,;:!?")
+        self.lowers = self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.size, self.pool, self.parts = pa.array([""], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32), {}
+
+    def _tokenised(self, new: pa.Array) -> list[list[int]]:
+        """The ids of each word; those that hold special tokens or other white space go through the whole tokenizer."""
+        odd = pc.match_substring_regex(new, self.odd)
+        # a letter stands for each of them meanwhile, as white space is put together
+        words: list[str] = pc.if_else(odd, "x", new).to_pylist()
+        out: list[list[int]] = [[] for _ in words]
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(words))
+        model, parts = self.tokenizer.model, self.parts
+        # where the space behind each word stands
+        until = iter([m.start() for m in re.finditer(" ", normal)] + [len(normal)])
+        ids, end, lists = [], -1, iter(out)
         for part, (begin, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-            while begin > until:  # the next word begins behind the next space
-                ids = self.known[next(words)] = []
-                until = normal.find(" ", until + 1)
-                until = until if until >= 0 else len(normal)
-            own = self.parts.get(part)
+            while begin > end:
+                end, ids = next(until), next(lists)
+            own = parts.get(part)
             if own is None:
-                own = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(part)]
+                own = parts[part] = [t.id for t in model.tokenize(part)]
             ids += own
-        self.known.update((w, []) for w in words)
+        if pc.any(odd).as_py():
+            at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            for i, e in zip(at, self.tokenizer.encode_batch(new.take(pa.array(at)).to_pylist(), add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        if len(parts) > self.most // 8:
+            parts.clear()
+        return out
+
+    def _add(self, new: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, new])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember words, and where: those that end in a few common marks behind a letter or digit as two, and plain ones in lower case if the tokenizer lowers them."""
+        if self.cuts:
+            halves = pc.extract_regex(new, r"^(?P<core>.*[\p{L}\p{N}])(?P<tail>[.,;:!?]+)$")
+            core = pc.if_else(halves.is_valid(), pc.struct_field(halves, "core"), new)
+            core = pc.if_else(pc.match_substring_regex(core, "^[A-Za-z]+$"), pc.ascii_lower(core), core) if self.lowers else core
+            tail = pc.fill_null(pc.struct_field(halves, "tail"), "")
+        else:
+            core, tail = new, pa.array([""] * len(new), pa.string())
+        coded = pa.concat_arrays([core, tail]).dictionary_encode()
+        places = pc.index_in(coded.dictionary, self.known)
+        fresh = places.is_null()
+        at = pc.fill_null(places, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if places.null_count:
+            at[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(places.null_count)
+            plain = coded.dictionary.filter(fresh)
+            lists = self._tokenised(plain)
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._add(plain, size, np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(size.sum())))
+        both = at[coded.indices.to_numpy()].reshape(2, -1).T
+        out = both[:, 0].copy()
+        other = pc.not_equal(core, new)
+        if pc.any(other).as_py():
+            rows = other.to_numpy(zero_copy_only=False)
+            out[rows] = len(self.known) + np.arange(int(rows.sum()))
+            pairs = both[rows]
+            self._add(new.filter(other), self.size[pairs].sum(axis=1), self._ids_of(pairs.ravel())[0])
+        return out
+
+    def _ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of known words one after the other, where each begins and, last, the end)."""
+        each = self.size[codes]
+        after = np.concatenate(([0], np.cumsum(each)))
+        shift = (np.cumsum(self.size) - self.size)[codes] - after[:-1]
+        return self.pool[np.repeat(shift, each) + np.arange(after[-1])], after
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, where each text's begin and, last, the end)."""
         split = pc.ascii_split_whitespace(texts)
         ends = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
-            self.known, self.parts = {"": []}, {}
-        new = [w for w in names if w not in self.known]
-        if new:
-            self._learn(new)
-        lists = [self.known[w] for w in names]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(size.sum()))
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        each = size[codes]
-        after = np.concatenate(([0], np.cumsum(each)))
-        begin = (np.cumsum(size) - size)[codes]
-        ids = pool[np.repeat(begin - after[:-1], each) + np.arange(after[-1])]
+            self._forget()
+        places = pc.index_in(coded.dictionary, self.known)
+        at = pc.fill_null(places, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if places.null_count:
+            fresh = places.is_null()
+            at[fresh.to_numpy(zero_copy_only=False)] = self._learn(coded.dictionary.filter(fresh))
+        ids, after = self._ids_of(at[coded.indices.to_numpy()])
         return ids, after[ends - ends[0]]
 
 
@@ -115,8 +165,7 @@ def _pieces_of(ids: np.ndarray, first: np.ndarray, limit: int, end: int) -> tupl
     """(ids with ``end`` after each document, document, start and length of each piece)."""
     n = len(first) - 1
     own = np.diff(first)
-    out = np.full(len(ids) + n, end, np.int64)
-    out[np.arange(len(ids)) + np.repeat(np.arange(n), own)] = ids
+    out = np.insert(ids.astype("<u4"), first[1:], end)
     total = own + 1
     count = -(-total // limit)
     doc = np.repeat(np.arange(n), count)
@@ -142,8 +191,8 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END,
             for lo, hi in _slices(whole):
                 ids, first = words.ids(whole.slice(lo, hi - lo))
                 out, doc, start, length = _pieces_of(ids, first, limit, end)
-                raw, at = out.astype("<u4"), np.concatenate(([0], np.cumsum(length)))
-                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                at = np.concatenate(([0], np.cumsum(length)))
+                crc = [zlib.crc32(out[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 columns = [names.slice(lo, hi - lo).take(pa.array(doc)), pa.array(start // limit, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(out, pa.int32())))
