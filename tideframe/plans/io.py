@@ -14,7 +14,7 @@ from tideframe.operators.govern import Mask
 from tideframe.operators.quality import Check
 from tideframe.plans.registry import query, table
 from tideframe.sources import readers, writers
-from tideframe.sources.files import delete, work_folder
+from tideframe.sources.files import delete, names, rename, set_modified, settled, work_folder
 from tideframe.streaming import stream
 
 NOW = datetime(2030, 1, 1)
@@ -73,6 +73,36 @@ def _(spark, d):
     return fresh.groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+def _by_status(spark: SparkSession, o: DataFrame, path: str, at: int) -> None:
+    """One file for each status, all of one modification time."""
+    for status in ("F", "O", "P"):
+        folder = work_folder(spark, "part")
+        o.filter(F.col("o_orderstatus") == status).coalesce(1).write.parquet(folder)
+        part = next(n for n in names(spark, folder) if n.endswith(".parquet"))
+        rename(spark, f"{folder}/{part}", f"{path}/{status}.parquet")
+        set_modified(spark, f"{path}/{status}.parquet", at)
+
+
+@query(
+    "sync_file_states",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, (SELECT count(DISTINCT o_orderstatus) FROM orders) AS states FROM orders WHERE o_orderstatus <> 'F'",
+)
+def _(spark, d):
+    """Files of one instant: one is replaced, one deleted, one stays; then one that was deleted comes back and goes again."""
+    path, o, noon = work_folder(spark, "files"), _orders(spark, d), 1_700_000_000_000
+    _by_status(spark, o, path, noon)
+    fresh, changes, state = readers.file_changes(spark, path, None, "parquet", o.schema, NOW)
+    target, states = settled(readers.apply_file_changes(None, fresh, changes)), state.count()
+    delete(spark, f"{path}/F.parquet")
+    delete(spark, f"{path}/O.parquet")
+    other = work_folder(spark, "files")
+    _by_status(spark, o.withColumn("o_totalprice", F.col("o_totalprice") + 1), other, noon + 5000)
+    rename(spark, f"{other}/O.parquet", f"{path}/O.parquet")
+    fresh, changes, state = readers.file_changes(spark, path, state, "parquet", o.schema, NOW)
+    assert {r["change"] for r in changes.collect()} == {"replaced", "deleted"}
+    return readers.apply_file_changes(target, fresh, changes).drop("_file").withColumn("states", F.lit(states))
+
+
 @query("load_seed", "SELECT p_partkey, p_name FROM part")
 def _(spark, d):
     path = work_folder(spark, "seed")

@@ -55,6 +55,21 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Move a file; folders above its new place are made."""
+    fs, p = _file_system(spark, old)
+    target = spark._jvm.org.apache.hadoop.fs.Path(new)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(p, target):
+        raise OSError(f"{old} could not be moved to {new}")
+
+
+def set_modified(spark: SparkSession, path: str, at: int) -> None:
+    """Give a file a modification time, in milliseconds since 1970."""
+    fs, p = _file_system(spark, path)
+    fs.setTimes(p, at, -1)
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes below a path, of one copy."""
     fs, p = _file_system(spark, path)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tideframe.operators.keys import table_checksum
-from tideframe.sources.files import exists
+from tideframe.operators.keys import checksum_columns, table_checksum
+from tideframe.sources.files import exists, settled
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str | None = None, **options: Any) -> DataFrame:
@@ -77,6 +78,66 @@ def changed_files(spark: SparkSession, path: str, format: str = "parquet", since
     return df.drop("__at"), (since if newest is None else newest)
 
 
+#: What is known of a folder's files: where, how large, when changed, the checksum of the rows, and when it was looked at.
+FILE_STATE = "path string, bytes long, modified_at timestamp, rows long, hash_sum decimal(38,0), hash_xor long, checked_at timestamp"
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, modified_at of every file of a folder and those below; nothing is read. Files of no bytes count as not there."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return found.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified_at"))
+
+
+def file_changes(spark: SparkSession, path: str, state: DataFrame | None, format: str, schema: StructType | str, now: datetime, verify: bool = False, grain_seconds: int = 2, **options: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of added and replaced files with ``_file``, changes, new state) since ``state`` (FILE_STATE, None at first).
+
+    changes: path, change (added, replaced, touched, deleted). Files are held
+    against the state one by one, so those of one instant, replaced ones and
+    deleted ones are all told. A file of another size or time is read, and counts
+    as replaced if the checksum of its rows differs, as touched if not; so is one
+    that was changed within ``grain_seconds`` of the last look, as a later change
+    of it could bear the same time. ``verify`` reads all. Checksums are aggregates
+    of rows by file, so a file of any size is split among tasks. Frames are tables
+    of the work folder.
+    """
+    known = state if state is not None else spark.createDataFrame([], FILE_STATE)
+    there = settled(listed(spark, path))
+    old = known.select("path", F.struct(*(c for c in known.columns if c != "path")).alias("old"))
+    both = there.join(old, "path", "left")
+    unclear = F.unix_timestamp("old.modified_at") >= F.unix_timestamp("old.checked_at") - grain_seconds
+    same = (F.col("bytes") == F.col("old.bytes")) & (F.col("modified_at") == F.col("old.modified_at")) & ~unclear & ~F.lit(verify)
+    suspect = settled(both.filter(~F.coalesce(same, F.lit(False))))
+    names = [r["path"] for r in suspect.select("path").collect()]  # Spark plans the read of these files on the driver
+    if names:
+        rows = spark.read.format(format).schema(schema).options(**options).load(names)
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    else:
+        rows = spark.createDataFrame([], spark.createDataFrame([], schema).schema.add("_file", "string"))
+    sums = rows.groupBy(F.col("_file").alias("path")).agg(*checksum_columns(rows.drop("_file")))
+    empty = {"rows": F.lit(0).cast("long"), "hash_sum": F.lit(None).cast("decimal(38,0)"), "hash_xor": F.lit(None).cast("long")}
+    read = suspect.join(sums, "path", "left").select("path", "bytes", "modified_at", F.coalesce("rows", empty["rows"]).alias("rows"), F.coalesce("hash_sum", empty["hash_sum"]).alias("hash_sum"), F.coalesce("hash_xor", empty["hash_xor"]).alias("hash_xor"), "old")
+    equal = (F.col("rows") == F.col("old.rows")) & F.col("hash_sum").eqNullSafe(F.col("old.hash_sum")) & F.col("hash_xor").eqNullSafe(F.col("old.hash_xor"))
+    moved = (F.col("bytes") != F.col("old.bytes")) | (F.col("modified_at") != F.col("old.modified_at"))
+    kind = F.when(F.col("old").isNull(), "added").when(~equal, "replaced").when(moved, "touched")
+    judged = settled(read.withColumn("change", kind))
+    gone = known.join(there, "path", "left_anti").select("path", F.lit("deleted").alias("change"))
+    changes = judged.filter("change is not null").select("path", "change").unionByName(gone)
+    fresh = rows.join(judged.filter("change in ('added', 'replaced')").select(F.col("path").alias("_file")), "_file", "left_semi").select(*rows.columns)
+    at = F.lit(now).cast("timestamp").alias("checked_at")
+    names_ = [c.split()[0] for c in FILE_STATE.split(", ")]
+    checked = judged.select("path", "bytes", "modified_at", "rows", "hash_sum", "hash_xor", at)
+    kept = known.join(there.select("path"), "path", "left_semi").join(judged.select("path"), "path", "left_anti").select(*names_)
+    return fresh, changes, kept.unionByName(checked)
+
+
+def apply_file_changes(target: DataFrame | None, fresh: DataFrame, changes: DataFrame) -> DataFrame:
+    """The target (rows with ``_file``) without those of deleted and replaced files, and with the fresh ones."""
+    if target is None:
+        return fresh
+    gone = changes.filter("change in ('deleted', 'replaced', 'added')").select(F.col("path").alias("_file"))
+    return target.join(gone, "_file", "left_anti").select(*target.columns).unionByName(fresh)
+
+
 def content_hash(spark: SparkSession, path: str) -> str:
     """Checksum of the lines of all files of a path, whatever their order and size; the driver sees one value."""
     return "/".join(str(x) for x in table_checksum(spark.read.text(path)).first())
