@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,28 +177,33 @@ def upserted(spark: SparkSession, root: str, keys: list[str]) -> DataFrame | Non
 
 
 def cdc_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, keys: list[str], values: list[str], seq: str, op: str, most: int = 16) -> None:
-    """Apply a stream of changes: the last change of each key of a batch is appended, ``_deleted`` for deletes; ``cdc_rows`` reads the last of all.
+    """Apply a stream of changes: the last change of each key of a batch is appended, ``_deleted`` for deletes; ``cdc_rows`` reads what they come to.
 
-    Changes are ordered by their sequence alone, so late and repeated ones
-    change nothing. Changes without a sequence count as the oldest.
+    As in ``cdc.apply_changes``, a change counts if its sequence is greater than
+    that of the row held, so late and repeated ones change nothing; one without a
+    sequence always does, and what comes after it does too.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         last = cdc.dedupe(batch, keys, seq, op)
-        rows = last.select(*keys, *values, F.col(seq).alias(cdc.SEQ), cdc.is_delete(F.col(op)).alias(cdc.DELETED))
+        rows = last.select(*keys, *values, F.col(seq).alias(cdc.SEQ), cdc.is_delete(F.col(op)).alias(cdc.DELETED), F.lit(batch_id).cast("long").alias(BATCH))
         append(rows, root, now, tag=f"cdc-{batch_id}", fold=lambda whole: _changes(whole, keys), most=most)
 
     run_available(stream, checkpoint, each)
 
 
 def _changes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return _last(rows, keys, F.struct(F.col(cdc.SEQ).isNotNull(), F.col(cdc.SEQ), F.col(cdc.DELETED)))
+    """For each key the greatest sequence (of equal ones the first) since its last change without one, or that change."""
+    unordered = rows.filter(F.col(cdc.SEQ).isNull()).groupBy(*keys).agg(F.max(BATCH).alias("__since"))
+    since = rows.join(unordered.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__since"), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))), "left")
+    counting = since.filter("__since is null or _batch >= __since").select(*rows.columns)
+    return _last(counting, keys, F.struct(F.col(cdc.SEQ).isNotNull(), F.col(cdc.SEQ), -F.col(BATCH)))
 
 
 def cdc_rows(spark: SparkSession, root: str, keys: list[str]) -> DataFrame | None:
     """The live rows of a table kept by ``cdc_refresh``, with ``_seq``."""
     held = read(spark, root)
-    return None if held is None else _changes(held, keys).filter(f"not {cdc.DELETED}").drop(cdc.DELETED)
+    return None if held is None else _changes(held, keys).filter(f"not {cdc.DELETED}").drop(cdc.DELETED, BATCH)
 
 
 def lag(advances: DataFrame, consumed: DataFrame, now: datetime) -> DataFrame:
