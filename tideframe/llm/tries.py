@@ -192,10 +192,10 @@ def trie(turns: DataFrame, convs: DataFrame, block: int = BLOCK) -> DataFrame:
     groups = blocks.groupBy("k", "p1", "p2").agg(
         F.count("*").alias("n"), F.min("conv_id").alias("owner"), (F.min(F.size("a")) == block).alias("all_full"), F.min(end).alias("lo"), F.max(end).alias("hi")
     )
-    groups = groups.select("k", "p1", "p2", "n", "owner", (F.col("all_full") & F.col("lo").eqNullSafe(F.col("hi"))).alias("chain"))
-    # nothing else reads what a key is dealt to, so the one group of all beginnings can be split
+    groups = keep(groups.select("k", "p1", "p2", "n", "owner", (F.col("all_full") & F.col("lo").eqNullSafe(F.col("hi"))).alias("chain")))
+    # both are tables, and nothing else reads what a key is dealt to, so the one group of all beginnings can be split
     grouped = keep(blocks.join(groups, ["k", "p1", "p2"]))
-    forget(blocks)
+    forget(blocks, groups)
     alike = _turns_of(grouped.filter("chain and conv_id = owner"), block, "n", "owner", "k", "p1", "p2")
     node = [*NODE, "above_a", "above_b", "size"]
     none = [F.lit(None).cast("long").alias(c) for c in ("k", "p1", "p2")]
