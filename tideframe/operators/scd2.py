@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideframe.operators.keys import require_unique, row_hash
@@ -12,12 +13,6 @@ from tideframe.operators.keys import require_unique, row_hash
 META = ["valid_from", "valid_to", "is_current", "row_hash"]
 
 
-def _differs(strategy: str, updated_at: str | None) -> Column:
-    if strategy == "timestamp":
-        return F.col(f"s.{updated_at}").cast("timestamp_ntz") > F.col("h.valid_from")
-    return ~F.col("s.row_hash").eqNullSafe(F.col("h.row_hash"))
-
-
 def apply(
     history: DataFrame | None,
     staging: DataFrame,
@@ -65,23 +60,26 @@ def apply(
             history = history.withColumn(f.name, F.lit(None).cast(f.dataType))
     history = history.select(*fresh.columns)
     closed, current = history.filter("not is_current"), history.filter("is_current")
-    dead = F.col("h.is_deleted") if "is_deleted" in fresh.columns else F.lit(False)
-    both = (
-        current.withColumn("__h", F.lit(True)).alias("h").join(fresh.withColumn("__s", F.lit(True)).alias("s"), [F.col(f"h.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys], "full")
+    tracks_deletes = "is_deleted" in fresh.columns
+    # each side joins what decides about it: a version there is becomes one row, whatever happens to it
+    seen = fresh.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), F.col("valid_from").alias("__from"), F.col("row_hash").alias("__hash"), F.lit(True).alias("__in"))
+    matches = lambda left: reduce(lambda x, y: x & y, (left[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    held = current.join(seen, matches(current), "left")
+    dead = F.col("is_deleted") if tracks_deletes else F.lit(False)
+    differs = F.col("__from") > F.col("valid_from") if strategy == "timestamp" else ~F.col("__hash").eqNullSafe(F.col("row_hash"))
+    changed = F.col("__in").isNotNull() & (differs | dead)
+    vanished = F.col("__in").isNull() & ~dead & F.lit(hard_deletes != "ignore")
+    ends = {"valid_to": F.when(changed, F.col("__from")).when(vanished, clock).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & ~(changed | vanished)}
+    out = closed.unionByName(held.select(*(ends[c].alias(c) if c in ends else F.col(f"`{c}`") for c in fresh.columns)))
+    known = current.select(
+        *(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), F.col("valid_from").alias("__from"), F.col("row_hash").alias("__hash"), (F.col("is_deleted") if tracks_deletes else F.lit(False)).alias("__dead"), F.lit(True).alias("__in")
     )
-    in_h, in_s = F.col("h.__h").isNotNull(), F.col("s.__s").isNotNull()
-    changed = in_h & in_s & (_differs(strategy, updated_at) | dead)
-    vanished = in_h & ~in_s & ~dead & F.lit(hard_deletes != "ignore")
-    h, s = (lambda **new: F.struct(*((new[c] if c in new else F.col(f"h.`{c}`")).alias(c) for c in fresh.columns))), F.struct(*(F.col(f"s.`{c}`").alias(c) for c in fresh.columns))
-    shut = lambda at: h(valid_to=at, is_current=F.lit(False))
-    tomb = h(valid_from=clock, is_deleted=F.lit(True)) if tombs else None
-    rows = (
-        F.when(changed, F.array(shut(F.col("s.valid_from")), s))
-        .when(in_s & ~in_h, F.array(s))
-        .when(vanished, F.array(shut(clock), tomb) if tombs else F.array(shut(clock)))
-        .otherwise(F.array(h()))
-    )
-    return closed.unionByName(both.select(F.explode(rows).alias("r")).select("r.*"))
+    newer = F.col("valid_from") > F.col("__from") if strategy == "timestamp" else ~F.col("row_hash").eqNullSafe(F.col("__hash"))
+    out = out.unionByName(fresh.join(known, matches(fresh), "left").filter(F.col("__in").isNull() | newer | F.col("__dead")).select(*fresh.columns))
+    if tombs:
+        gone = held.filter(vanished).select(*(clock.alias(c) if c == "valid_from" else F.lit(True).alias(c) if c == "is_deleted" else F.col(f"`{c}`") for c in fresh.columns))
+        out = out.unionByName(gone)
+    return out
 
 
 def as_of(history: DataFrame, moment: datetime | str) -> DataFrame:

@@ -124,7 +124,8 @@ def drift(history: DataFrame) -> DataFrame:
     ``history``: table_name, version (int), column_name, type, position, nullable.
     Returns table_name, version, column_name, change, severity, old_value,
     new_value. Removed columns pair with added ones of one family within two
-    places as renames, the nearest (and then of equal type) first.
+    places as renames: in order of their places each takes the best that is left,
+    the nearest, and by far one of equal type.
     """
     family = F.create_map(*(F.lit(x) for kv in FAMILY.items() for x in kv))
     width = F.create_map(*(F.lit(x) for kv in WIDTH.items() for x in kv))
@@ -139,9 +140,12 @@ def drift(history: DataFrame) -> DataFrame:
     near = gone.join(came, ["table_name", "version"]).filter("old.family = new.family and abs(old.position - new.position) <= 2")
     score = (10 - F.abs(F.col("old.position") - F.col("new.position")) + F.when(F.col("old.type") == F.col("new.type"), 5).otherwise(0)).alias("score")
     near = near.withColumn("score", score)
-    per = near.groupBy("table_name", "version", F.col("old.column_name").alias("o")).agg(F.max_by("new", F.struct("score", F.col("new.column_name"))).alias("new"))
-    # a new column can be the rename of one old column only
-    renamed = per.groupBy("table_name", "version", F.col("new.column_name").alias("n")).agg(F.min("o").alias("o"))
+    # old columns in order take the best of the new ones that are left; a table has few of them
+    order = F.sort_array(F.collect_list(F.struct(F.col("old.position").alias("at"), F.col("old.column_name").alias("o"), (-F.col("score")).alias("rank"), F.col("new.column_name").alias("n"))))
+    taken = F.aggregate(
+        "pairs", F.array().cast("array<struct<o:string,n:string>>"), lambda held, x: F.when(F.exists(held, lambda p: (p["o"] == x["o"]) | (p["n"] == x["n"])), held).otherwise(F.concat(held, F.array(F.struct(x["o"].alias("o"), x["n"].alias("n")))))
+    )
+    renamed = near.groupBy("table_name", "version").agg(order.alias("pairs")).select("table_name", "version", F.explode(taken).alias("p")).select("table_name", "version", "p.*")
     change = lambda df, kind, severity, name, old, new: df.select("table_name", "version", name.alias("column_name"), F.lit(kind).alias("change"), F.lit(severity).alias("severity"), old.cast("string").alias("old_value"), new.cast("string").alias("new_value"))
     none, c = F.lit(None), F.col
     gone = gone.join(renamed.select("table_name", "version", c("o").alias("__o")), (c("__o") == c("old.column_name")) & (gone["table_name"] == renamed["table_name"]) & (gone["version"] == renamed["version"]), "left_anti")

@@ -173,6 +173,20 @@ def _(spark, d):
     return schema.drift(history_)
 
 
+@query(
+    "schema_drift_clash",
+    """SELECT * FROM (VALUES ('part', 2, 'p_name', 'column_renamed', 'breaking', 'p_name', 'x'), ('part', 2, 'p_brand', 'column_renamed', 'breaking', 'p_brand', 'y'),
+       ('part', 2, 'p_retailprice', 'column_removed', 'breaking', 'double', NULL), ('part', 2, 'n', 'column_added', 'info', NULL, 'int'), ('part', 2, 'p_partkey', 'order_changed', 'info', '2', '0')) t(table_name, version, column_name, change, severity, old_value, new_value)""",
+)
+def _(spark, d):
+    """Two old columns match one new column best; the second takes the next one."""
+    p = table(spark, d, "part")
+    before = p.select("p_name", "p_brand", "p_partkey", "p_retailprice")
+    after = p.select("p_partkey", F.col("p_name").alias("x"), F.col("p_size").cast("int").alias("n"), F.col("p_brand").alias("y"))
+    rows = [("part", n, f.name, f.dataType.simpleString(), i, True) for n, df in ((1, before), (2, after)) for i, f in enumerate(df.schema)]
+    return schema.drift(spark.createDataFrame(rows, "table_name string, version int, column_name string, type string, position int, nullable boolean"))
+
+
 _EXPECTED = f"(SELECT o_orderkey, s FROM {_N} WHERE o_orderkey % 5 <> 0)"
 _ACTUAL = f"(SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE s END AS s FROM {_N} WHERE o_orderkey % 7 <> 0)"
 

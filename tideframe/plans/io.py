@@ -159,6 +159,18 @@ def _(spark, d):
     return readers.parquet(spark, target).agg(F.count("*").alias("rows")).withColumn("fewer", F.lit(files < writers.file_count(spark, source)))
 
 
+@query("compact_partitions", "SELECT o_orderkey, o_totalprice, o_orderstatus, true AS packed FROM orders")
+def _(spark, d):
+    """Many small files of each status and a large one of all; the large one stays as it is, the others become few."""
+    o, path = _orders(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus"), work_folder(spark, "partitions")
+    o.filter("o_orderkey % 5 > 0").coalesce(1).write.partitionBy("o_orderstatus").parquet(path)
+    large = {r["path"]: r["bytes"] for r in readers.listed(spark, path).collect()}
+    o.filter("o_orderkey % 5 = 0").repartition(6).write.mode("append").partitionBy("o_orderstatus").parquet(path)
+    taken, made = writers.compact_small(spark, path, target=2 * min(large.values()))
+    left = {r["path"] for r in readers.listed(spark, path).collect()}
+    return spark.read.parquet(path).withColumn("packed", F.lit(set(large) <= left and made < taken and len(left) == len(large) + made))
+
+
 # ---- versions
 
 
