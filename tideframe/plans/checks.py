@@ -7,9 +7,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideframe.operators import diff, history, keys, quality, schema
+from tideframe.operators import diff, difftree, history, keys, quality, schema, sketches
 from tideframe.operators.quality import Check
 from tideframe.plans.registry import query, table
+from tideframe.sources.files import work_folder
 
 NOW = datetime(2030, 1, 1)
 
@@ -106,6 +107,25 @@ def _(spark, d):
     return quality.profile_table(table(spark, d, "customer").drop("c_acctbal"), approximate=False)
 
 
+@query(
+    "profile_merged",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, round((count(*) - count({c})) * 100.0 / count(*), 1)::DOUBLE AS null_percent, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest, {m} AS mean, true AS close FROM events"
+        for c, m in (("event_id", "round(avg(event_id), 4)"), ("user_id", "round(avg(user_id), 4)"), ("event_type", "NULL::DOUBLE"))
+    ),
+)
+def _(spark, d):
+    """Profiles of the parts of a table put together: the first parts, then the others, of which alone rows are read."""
+    e, root = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("event_type").alias("part")), work_folder(spark, "profiles")
+    sketches.refresh(e.filter("part < 'm'"), root, "part", NOW)
+    sketches.refresh(e, root, "part", NOW)
+    whole = sketches.report(sketches.stored(spark, root))
+    exact = quality.profile_basic(e.drop("part"), approximate=False).select("column_name", "distinct_count")
+    half = e.agg(F.avg((F.col("event_id") <= whole.filter("column_name = 'event_id'").first()["quantiles"][1]).cast("int"))).first()[0]
+    near = F.abs(F.col("w.distinct_count") - F.col("x.distinct_count")) <= 0.05 * F.col("x.distinct_count")
+    return whole.alias("w").join(exact.alias("x"), "column_name").select("column_name", "row_count", "null_percent", "least", "greatest", F.round("mean", 4).alias("mean"), (near & F.lit(abs(half - 0.5) < 0.02)).alias("close"))
+
+
 @query("high_null_alert", f"SELECT * FROM ({_profile_sql(_N, ['o_orderkey', 's'])}) WHERE null_percent > 20")
 def _(spark, d):
     return quality.high_nulls(quality.profile_basic(_nulled(spark, d).select("o_orderkey", "s"), approximate=False), 20.0)
@@ -227,6 +247,30 @@ def _(spark, d):
     return diff.rows(*_states(spark, d))
 
 
+_LATER = "(SELECT l_orderkey, l_linenumber, l_quantity + (l_orderkey BETWEEN 40 AND 60)::INT AS l_quantity FROM lineitem WHERE l_orderkey <> 1001 UNION ALL SELECT max(l_orderkey) + 1, 1, 5 FROM lineitem)"
+_EARLIER = "(SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem)"
+
+
+@query("diff_tree", f"SELECT *, true AS few_ranges FROM (SELECT *, 'added' AS side FROM {_LATER} ANTI JOIN {_EARLIER} USING (l_orderkey, l_linenumber, l_quantity) UNION ALL SELECT *, 'removed' FROM {_EARLIER} ANTI JOIN {_LATER} USING (l_orderkey, l_linenumber, l_quantity))")
+def _(spark, d):
+    """A few orders change, one goes, one comes: only their ranges of keys are read to tell which."""
+    before = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    last = before.agg((F.max("l_orderkey") + 1).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.lit(5.0).alias("l_quantity"))
+    after = before.filter("l_orderkey <> 1001").withColumn("l_quantity", F.col("l_quantity") + F.when(F.col("l_orderkey").between(40, 60), 1).otherwise(0)).unionByName(last)
+    changed, ranges = difftree.rows(before, after, "l_orderkey")
+    return changed.withColumn("few_ranges", F.lit(1 <= len(ranges) <= 25))
+
+
+@query("tree_equal", "SELECT true AS same, false AS other FROM region WHERE r_regionkey = 0")
+def _(spark, d):
+    """Whole tables compared by their roots: another order of rows is the same table, one copy more is not."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    at = difftree.bounds(o, o, "o_orderkey")
+    own, shuffled = difftree.tree(o, "o_orderkey", *at), difftree.tree(o.repartition(5), "o_orderkey", *at)
+    more = difftree.tree(o.unionByName(o.orderBy("o_orderkey").limit(1)), "o_orderkey", *at)
+    return spark.createDataFrame([(difftree.equal(own, shuffled), difftree.equal(own, more))], "same boolean, other boolean")
+
+
 @query("diff_modified", f"SELECT a.c_custkey FROM {_A} a JOIN {_B} b ON a.c_custkey = b.c_custkey WHERE a.c_nationkey IS DISTINCT FROM b.c_nationkey")
 def _(spark, d):
     return diff.modified(*_states(spark, d), ["c_custkey"])
