@@ -14,7 +14,7 @@ from tideframe.operators import cdc, filetable, incremental, publish
 from tideframe.operators.govern import Mask
 from tideframe.operators.quality import Check
 from tideframe.plans.registry import query, table
-from tideframe.sources import readers, writers
+from tideframe.sources import paged, readers, writers
 from tideframe.sources.files import delete, names, rename, set_modified, settled, work_folder
 from tideframe.streaming import deltas, stream
 
@@ -122,6 +122,35 @@ def _(spark, d):
     return readers.paged_json(pages, schema, "$.data.items", lift="properties")
 
 
+def _paged(spark: SparkSession, d: str) -> str:
+    """Raw pages of 500 events each, as a client lands them."""
+    path, item = work_folder(spark, "pages"), F.struct("event_id", F.col("event_type").alias("kind"), "value")
+    pages = table(spark, d, "events").groupBy(F.expr("event_id div 500").alias("page")).agg(F.to_json(F.struct(F.struct(F.collect_list(item).alias("items")).alias("data"))).alias("text"))
+    pages.write.partitionBy("page").text(path)
+    paged.register(spark)
+    return path
+
+
+_PAGE_ITEM = "event_id long, kind string, value double"
+
+
+@query("scan_pages", "SELECT event_id // 500 AS page, event_id, event_type AS kind, value FROM events WHERE event_id // 500 BETWEEN 1 AND 12 AND value > 10")
+def _(spark, d):
+    """A range of pages: the others are not read."""
+    rows = paged.pages(spark, _paged(spark, d), 1, 12, rows="$.data.items")
+    return rows.select("page", F.from_json("value", _PAGE_ITEM).alias("r")).select("page", "r.*").filter("value > 10")
+
+
+@query("stream_pages", "SELECT event_type AS kind, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def _(spark, d):
+    """The same pages as a stream, which goes on behind the last page read."""
+    path, root = _paged(spark, d), work_folder(spark, "paged")
+    for _ in range(2):  # the second run finds nothing new
+        source = spark.readStream.format(paged.NAME).option("rows", "$.data.items").load(path)
+        stream.run_available(source.select(F.from_json("value", _PAGE_ITEM).alias("r")).select("r.*"), f"{root}-checkpoint", stream.appender(spark, root, NOW))
+    return publish.read(spark, root).groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("poll_watermark", "SELECT max(event_id::VARCHAR) AS mark FROM events")
 def _(spark, d):
     return spark.createDataFrame([(readers.poll_watermark(table(spark, d, "events"), "event_id", "0"),)], "mark string")
