@@ -12,9 +12,10 @@ def _text(c: Column) -> Column:
     return c.cast("string")
 
 
-def _seed(c: Column, key: str, modulus: int) -> Column:
-    """A number below ``modulus`` from the value and a key: the first eight hexadecimal digits of their SHA-256."""
-    return F.conv(F.left(F.sha2(F.concat(_text(c), F.lit(key)), 256), F.lit(8)), 16, 10).cast("long") % F.lit(modulus)
+def _share(c: Column, key: str) -> Column:
+    """A number from 0 to below 1 that the value and a key decide: 52 bits of a SHA-256."""
+    digits = F.left(F.sha2(F.concat(_text(c), F.lit(key)), 256), F.lit(13))
+    return F.conv(digits, 16, 10).cast("double") / F.lit(2.0**52)
 
 
 def _stars(length: Column) -> Column:
@@ -74,14 +75,15 @@ def range_(c: Column, bucket_size: int = 10000) -> Column:
 
 
 def noise(c: Column, percentage: float = 10.0, seed_key: str = "") -> Column:
-    """The value moved by up to ``percentage`` either way, the same for the same value and key."""
-    width = int(percentage * 2 * 1_000_000 / 100)
-    return c.cast("double") if width == 0 else c.cast("double") * (1 + (_seed(c, seed_key, width) - width // 2).cast("double") / 1_000_000.0)
+    """The value moved by up to ``percentage`` either way, evenly, the same for the same value and key."""
+    reach = percentage / 100.0
+    return c.cast("double") * (1.0 - reach + 2.0 * reach * _share(c, seed_key))
 
 
 def date_shift(c: Column, max_days: int = 30, seed_key: str = "") -> Column:
-    """The date moved by up to ``max_days`` either way, the same for the same value and key."""
-    return F.date_add(c.cast("date"), (_seed(c.cast("date"), seed_key, max_days * 2 + 1) - max_days).cast("int"))
+    """The date moved by up to ``max_days`` either way, each number of days as likely, the same for the same value and key."""
+    day = c.cast("date")
+    return F.date_add(F.date_sub(day, max_days), F.floor(_share(day, seed_key) * (2 * max_days + 1)).cast("int"))
 
 
 def truncate(c: Column, length: int = 3) -> Column:

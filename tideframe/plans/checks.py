@@ -78,11 +78,18 @@ def _(spark, d):
 _RUNS = "(SELECT event_type AS model, max(ts) AS last_run, count(*) AS rows, 1000 + length(event_type) * 300 AS min_rows FROM events GROUP BY 1)"
 
 
-@query("freshness_models", f"SELECT model, round(date_diff('second', date_trunc('second', last_run), TIMESTAMP '{NOW}') / 3600.0, 6) AS hours, true AS stale FROM {_RUNS}")
+@query(
+    "freshness_models",
+    f"""SELECT model, round(date_diff('second', date_trunc('second', last_run), now) / 3600.0, 6) AS hours, date_diff('second', date_trunc('second', last_run), now) > 3600 * 2 OR model = 'view' OR rows < min_rows AS stale
+        FROM {_RUNS}, (SELECT date_trunc('second', max(ts)) + INTERVAL 1 HOUR AS now FROM events)""",
+)
 def _(spark, d):
-    runs = table(spark, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.max("ts").alias("last_run"), F.count("*").alias("rows"), (F.lit(1000) + F.max(F.length("event_type")) * 300).alias("min_rows"))
-    sources = runs.select("model", F.lit(False).alias("stale"))
-    return quality.freshness_models(runs, sources, 24, NOW).withColumn("hours", F.round("hours", 6))
+    """Late runs, a stale source and too few rows each make a model stale; the others are fresh."""
+    e = table(spark, d, "events")
+    runs = e.groupBy(F.col("event_type").alias("model")).agg(F.max("ts").alias("last_run"), F.count("*").alias("rows"), (F.lit(1000) + F.max(F.length("event_type")) * 300).alias("min_rows"))
+    now = e.agg(F.date_trunc("second", F.max("ts")) + F.expr("interval 1 hour")).first()[0]
+    sources = runs.select("model", (F.col("model") == "view").alias("stale"))
+    return quality.freshness_models(runs, sources, 2, now).withColumn("hours", F.round("hours", 6))
 
 
 def _profile_sql(table_: str, columns: list[str]) -> str:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideframe.operators import joins
+from tideframe.operators import joins, running
 from tideframe.plans.registry import query, table
 
 DAY = "1998-09-02"
@@ -394,6 +394,17 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("running"))
 
 
+@query("window_lag_split", "SELECT event_id, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS previous FROM events")
+def _(spark, d):
+    """Keys of very many rows, which no task has as a whole."""
+    return running.previous(table(spark, d, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], ["ts", "event_id"], "value").select("event_id", "previous")
+
+
+@query("running_sum_split", "SELECT event_id, sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM events")
+def _(spark, d):
+    return running.running_sum(table(spark, d, "events").select("event_id", "event_type", "ts", "user_id"), ["event_type"], ["ts", "event_id"], "user_id").select("event_id", "running")
+
+
 # ---- sorts and sets
 
 

@@ -26,8 +26,9 @@ _CON = """(SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, CASE WHEN c_c
  '4242-4242-' || lpad(c_custkey::VARCHAR, 8, '0') AS card, '10.20.' || (c_custkey % 256) || '.' || (c_custkey % 7) AS ip, DATE '2000-01-01' + (c_custkey % 5000)::INT AS born, c_name FROM customer)"""
 
 
-def _seed(value: str, key: str) -> str:
-    return f"('0x' || left(sha256({value} || '{key}'), 8))::BIGINT"
+def _share(value: str, key: str) -> str:
+    return f"(('0x' || left(sha256({value} || '{key}'), 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
 
 
 _MASKS = {
@@ -41,8 +42,8 @@ _MASKS = {
     "mask_first_initial": ("c_name", "first_initial", {}, "left(c_name, 1) || '.'"),
     "mask_ip_address": ("ip", "ip_address", {"keep_octets": 2}, "split_part(ip, '.', 1) || '.' || split_part(ip, '.', 2) || '.x.x'"),
     "mask_range": ("c_acctbal", "range", {"bucket_size": 1000}, "(floor(c_acctbal / 1000) * 1000)::BIGINT || '-' || ((floor(c_acctbal / 1000) * 1000)::BIGINT + 1000)"),
-    "mask_noise": ("c_custkey", "noise", {"percentage": 10.0, "seed_key": "k"}, f"c_custkey * (1 + ({_seed('c_custkey::VARCHAR', 'k')} % 200000 - 100000) / 1000000.0::DOUBLE)"),
-    "mask_date_shift": ("born", "date_shift", {"max_days": 30, "seed_key": "k"}, f"born + ({_seed('born::VARCHAR', 'k')} % 61 - 30)::INT"),
+    "mask_noise": ("c_custkey", "noise", {"percentage": 10.0, "seed_key": "k"}, f"c_custkey * (0.9::DOUBLE + 0.2::DOUBLE * {_share('c_custkey::VARCHAR', 'k')})"),
+    "mask_date_shift": ("born", "date_shift", {"max_days": 30, "seed_key": "k"}, f"born - 30 + floor({_share('born::VARCHAR', 'k')} * 61)::INT"),
     "mask_truncate": ("c_mktsegment", "truncate", {"length": 3}, "CASE WHEN length(c_mktsegment) <= 3 THEN c_mktsegment ELSE left(c_mktsegment, 3) || '...' END"),
     "mask_consistent_hash": ("email", "consistent_hash", {"prefix": "u_", "length": 10}, "'u_' || left(sha256(email), 10)"),
 }

@@ -499,3 +499,16 @@ def _(spark, d):
     rows.write.mode("overwrite").jdbc(url, name, properties=driver)
     back = readers.jdbc(spark, url, name, '"c_custkey"', rows.agg(F.min("c_custkey"), F.max("c_custkey")).first(), 4, **driver)
     return back.filter("c_custkey >= 5").select("c_custkey", "c_name")
+
+
+@query("scan_jdbc_skewed", "SELECT o_orderkey, o_custkey, true AS even FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 50 = 1 THEN o_orderkey * 1000000 ELSE o_orderkey END AS o_orderkey, o_custkey FROM orders)")
+def _(spark, d):
+    """A key with a few values far away and some nulls: no part holds much more than its share."""
+    url, name = "jdbc:derby:memory:tideframe;create=true", "skewed"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    key = F.when(F.col("o_orderkey") % 50 == 0, None).when(F.col("o_orderkey") % 50 == 1, F.col("o_orderkey") * 1_000_000).otherwise(F.col("o_orderkey"))
+    rows = table(spark, d, "orders").select(key.alias("o_orderkey"), "o_custkey")
+    rows.write.mode("overwrite").jdbc(url, name, properties=driver)
+    back = readers.jdbc_by_quantiles(spark, url, name, "o_orderkey", 8, **driver)
+    parts = [r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()]
+    return back.withColumn("even", F.lit(max(parts) <= 2 * sum(parts) / 8 and len(parts) >= 8))

@@ -56,10 +56,14 @@ def run_interval(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int]
 
 
 def inbox_flush(stream: DataFrame, checkpoint: str, folder: str) -> None:
-    """Inbox rows (source, id, received_at, payload) to ``folder``, one partition a source, oldest first; a replayed batch overwrites its own files."""
+    """Inbox rows (source, id, received_at, payload) to ``folder``, one folder a source, oldest first; a replayed batch overwrites its own files.
+
+    Rows are dealt by ranges of source, time and id, so a source that sends very
+    many rows, even within an hour, is many tasks and files.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        ordered = batch.withColumn("batch", F.lit(batch_id)).repartition("source", F.date_trunc("hour", "received_at")).sortWithinPartitions("source", "received_at", "id")
+        ordered = batch.withColumn("batch", F.lit(batch_id)).repartitionByRange("source", "received_at", "id").sortWithinPartitions("source", "received_at", "id")
         ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "source").parquet(folder)
 
     run_available(stream, checkpoint, each)
