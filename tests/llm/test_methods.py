@@ -186,6 +186,17 @@ class TestLicenses:
         assert r == {(1, 2, 1): 3, (None, 0, 0): 2, (1, 0, 0): 1}
 
 
+class TestVersions:
+    def test_versions_are_told_apart(self, spark):
+        texts = ["under the gnu general public license version", "licensed under the gnu general public license version 2", "licensed under the gnu general public license version 3", "licensed under the new gnu general public license version 3 or 2"]
+        found = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        assert found == {0: "gpl", 1: "gpl,gpl-2.0", 2: "gpl,gpl-3.0", 3: "gpl,gpl-3.0"}
+
+    def test_telling_places(self):
+        tells = licenses.telling_places([("a b", "base")], [("x a b c d e 1", "one"), ("x a b c d e 2", "two"), ("a b c d", "part"), ("q r s t", "other")])
+        assert tells == [[], [[5]], [[5]], [], []]
+
+
 class TestDecontaminate:
     def test_long_items_are_cut_without_loss(self, spark):
         rng = random.Random(8)

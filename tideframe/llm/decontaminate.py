@@ -249,7 +249,11 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = 10, k: int =
 
 
 def without_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, k: int = 5, block_words: int = BLOCK_WORDS, piece_words: int = PIECE_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, in whose text no window of an item occurs."""
+    """The rows of ``docs``, all columns, in whose text no window of an item occurs.
+
+    Null and empty texts hold none and stay, as does everything if there are no
+    items; repeated rows go or stay together; items with null ids or texts count as none.
+    """
     sc = docs.sparkSession.sparkContext
     pieces = keep(_pieces(bench, window, piece_words))
     blocks = _blocks(pieces, window, k, block_words)
@@ -260,7 +264,9 @@ def without_benchmark(docs: DataFrame, bench: DataFrame, window: int = 10, k: in
         for batch in batches:
             yield batch.filter(pa.array([not runs for _, runs, _ in _found(shared.value, batch.column(text))], pa.bool_()))
 
-    out = docs.mapInArrow(clean, docs.schema)
+    # by place, as names may have dots
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    out = plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
     if n > 1:
         rows = docs.select(*_keys(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         gone = _later(rows, blocks).select("k1", "k2").distinct()

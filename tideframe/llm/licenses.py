@@ -105,14 +105,34 @@ def template_rows(base: list[tuple[str, str]], templates: list[tuple[str, str]])
     return out
 
 
+def telling_places(base: list[tuple[str, str]], templates: list[tuple[str, str]], share: float = SHARE) -> list[list[list[int]]]:
+    """For each template, and each of another label that would hold its label too, the places of the pairs that the other lacks.
+
+    Two versions of a license differ by a word or two, so a span of one has most
+    pairs of the other; what it must have is one of those that tell them apart. A
+    template without any, which stands whole within another, needs none.
+    """
+    pairs = [list(zip(w, w[1:])) for w in (phrase.split() for phrase, _ in [*base, *templates])]
+    labels = [label for _, label in [*base, *templates]]
+    out: list[list[list[int]]] = []
+    for t, own in enumerate(pairs):
+        tells = []
+        for other, theirs in enumerate(pairs):
+            apart = [q for q, x in enumerate(own) if x not in set(theirs)]
+            if min(t, other) >= len(base) and labels[t] != labels[other] and apart and len(own) - len(apart) >= share * len(own):
+                tells.append(apart)
+        out.append(tells)
+    return out
+
+
 def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tuple[str, str]] = TEMPLATES, drift: int = DRIFT, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of ``docs``.
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII
     characters. Base phrases count wherever their words stand consecutively;
     first_word and last_word are the smallest and largest such start. ``labels``
-    adds those of templates with a span of at least ``share`` of their pairs;
-    score is the largest share held by any template. Null and empty texts have
+    adds those of templates with a span of at least ``share`` of their pairs, one
+    at least of those that tell it from each like template among them; score is the largest share held by any template. Null and empty texts have
     no words, empty labels and score 0. Rows equal in doc_id and text get equal
     results; other columns are ignored; an empty table gives an empty result.
     """
@@ -133,9 +153,12 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
     )
     near = Window.partitionBy("doc_id", "key", "t").orderBy("diagonal").rangeBetween(0, drift)
     whole = F.col("is_base") & (F.size("held") == F.col("pairs"))
-    merged = F.size(F.array_distinct(F.flatten(F.collect_list("held").over(near))))
+    merged = F.array_distinct(F.flatten(F.collect_list("held").over(near)))
+    tells = F.array(*(F.array(*(F.array(*(F.lit(q) for q in places)) for places in own)) if own else F.array().cast("array<array<int>>") for own in telling_places(base, templates, share)))
+    told = F.forall(F.get(tells, F.col("t")), lambda places: F.arrays_overlap(places, "seen"))
     # a base phrase holds its label by verified places alone
-    spans = votes.withColumn("share", F.when(F.col("is_base"), F.when(whole, 1.0).otherwise(0.0)).otherwise(merged / F.col("pairs"))).withColumn("whole", whole)
+    spans = votes.withColumn("seen", merged).withColumn("share", F.when(F.col("is_base"), F.when(whole, 1.0).otherwise(0.0)).otherwise(F.size("seen") / F.col("pairs"))).withColumn("whole", whole)
+    spans = spans.withColumn("holds", F.when(F.col("is_base"), F.col("whole")).otherwise((F.col("share") >= share) & told))
     named = lambda cond: F.concat_ws(",", F.array_sort(F.collect_set(F.when(cond, F.col("label")))))
     found = spans.groupBy("doc_id", "key").agg(
         F.max(F.when(F.col("t").isNull(), F.col("rows"))).alias("rows"),
@@ -144,7 +167,7 @@ def scan(docs: DataFrame, base: list[tuple[str, str]] = BASE, templates: list[tu
         F.min(F.when(F.col("whole"), F.col("diagonal"))).cast("long").alias("first_word"),
         F.max(F.when(F.col("whole"), F.col("diagonal"))).cast("long").alias("last_word"),
         named(F.col("whole")).alias("base_labels"),
-        named(F.col("share") >= F.when(F.col("is_base"), 1.0).otherwise(share)).alias("labels"),
+        named(F.col("holds")).alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
     return found.select(

@@ -199,7 +199,11 @@ def mix(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics
 
 
 def draw(docs: DataFrame, targets: Targets = Targets(), rate: float = 0.5, topics: int = 8, max_levels: int | None = None, seed: int = 1) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``mix`` samples."""
+    """The rows of ``docs``, all columns, that ``mix`` samples.
+
+    Rows equal in doc_id and text are drawn together; null ids, texts, sources
+    and languages count as in ``mix``; an empty table stays empty.
+    """
     light = keep(profile(docs.select("doc_id", "source", "lang", "text", _crc()), ["doc_id", "source", "lang", "__crc"], topics))
     columns, table = _plan(light, targets, rate, max_levels)
     # columns of the documents travel in a struct, so that none clashes with a name in use here

@@ -81,18 +81,21 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+_TELLS = [(t, own) for t, own in enumerate(licenses.telling_places(licenses.BASE, licenses.TEMPLATES)) if own]
+
 OP8_SQL = f"""
-WITH tpl(t, pairs, is_base, label, q, a, b) AS (VALUES {_values(licenses.template_rows(licenses.BASE, licenses.TEMPLATES))}),
+WITH tells(t, places) AS (VALUES {", ".join(str(x) for x in _TELLS)}),
+tpl(t, pairs, is_base, label, q, a, b) AS (VALUES {_values(licenses.template_rows(licenses.BASE, licenses.TEMPLATES))}),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 x AS (SELECT r, w, unnest(range(1, len(w))) AS p FROM d),
 v AS (SELECT r, t, pairs, is_base, label, p - 1 - q AS diagonal, list(DISTINCT q) AS held FROM x JOIN tpl ON w[p] = a AND w[p + 1] = b GROUP BY ALL),
 s AS (SELECT r, t, is_base, label, (is_base AND len(held) = pairs)::INT AS n_base, CASE WHEN is_base AND len(held) = pairs THEN diagonal END AS place,
-        CASE WHEN is_base THEN (len(held) = pairs)::INT
-          ELSE len(list_distinct(flatten(list(held) OVER (PARTITION BY r, t ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {licenses.DRIFT} FOLLOWING)))) / pairs END AS share
-      FROM v),
+        CASE WHEN is_base THEN (len(held) = pairs)::INT ELSE len(seen) / pairs END AS share,
+        CASE WHEN is_base THEN len(held) = pairs ELSE len(seen) / pairs >= {licenses.SHARE} AND len(list_filter(coalesce(places, []), lambda x: NOT list_has_any(x, seen))) = 0 END AS holds
+      FROM (SELECT *, list_distinct(flatten(list(held) OVER (PARTITION BY r, t ORDER BY diagonal RANGE BETWEEN CURRENT ROW AND {licenses.DRIFT} FOLLOWING))) AS seen FROM v) LEFT JOIN tells USING (t)),
 f AS (SELECT r, sum(n_base)::BIGINT AS n_base, min(place)::BIGINT AS first_word, max(place)::BIGINT AS last_word,
         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0) AS base_labels,
-        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= CASE WHEN is_base THEN 1.0 ELSE {licenses.SHARE} END) AS labels, max(share)::DOUBLE AS score
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (holds) AS labels, max(share)::DOUBLE AS score
       FROM s GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score

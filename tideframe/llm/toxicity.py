@@ -374,11 +374,17 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of ``docs``, all columns, whose score is below the threshold.
+
+    Null and empty texts score as texts without words; a score of the threshold
+    is above it; repeated rows go or stay together; an empty table stays empty.
+    """
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([score < threshold for score, _ in _apply(shared.value, batch.column("text"))], pa.bool_()))
+            yield batch.filter(pa.array([score < threshold for score, _ in _apply(shared.value, batch.column(text))], pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    # by place, as names may have dots
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
