@@ -82,7 +82,8 @@ def test_no_variance(spark):
     assert {(r["component"], r["whitened"] is None) for r in rows} == {(1, False), (2, True), (3, True)}
 
 
-def test_too_large_is_refused(spark):
-    df = spark.createDataFrame([(1, [1e300], None, None, None, None)], SCHEMA)
+@pytest.mark.parametrize("value", [1e17, 1e300, 1e308])
+def test_too_large_is_refused(spark, value):
+    df = spark.createDataFrame([(1, [value], None, None, None, None)], SCHEMA)
     with pytest.raises(Exception, match="64 bits"):
         whitening.whiten(df).collect()

@@ -51,8 +51,10 @@ def _whole(column: pa.Array, scale: int) -> list[np.ndarray | None]:
     """floor(scale * c) of each vector as int64, None for null vectors and those with null or non-finite entries."""
     values = pc.cast(column.flatten(), pa.float64())
     holes = values.is_null().to_numpy(zero_copy_only=False)
-    entries = np.floor(scale * values.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float))
-    good = ~holes & np.isfinite(entries)
+    given = values.fill_null(0.0).to_numpy(zero_copy_only=False).astype(float)
+    good = ~holes & np.isfinite(given)
+    with np.errstate(over="ignore", invalid="ignore"):
+        entries = np.floor(scale * given)
     if (np.abs(entries[good]) >= 2.0**63).any():
         raise ValueError("an entry times the scale is beyond 64 bits")
     whole = np.where(good, entries, 0).astype(np.int64)
