@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import time
+import zipfile
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,7 @@ from tideframe.operators.govern import Mask
 from tideframe.operators.quality import Check
 from tideframe.plans.registry import query, table
 from tideframe.sources import paged, readers, writers
-from tideframe.sources.files import delete, names, rename, set_modified, settled, work_folder
+from tideframe.sources.files import _file_system, delete, names, rename, set_modified, settled, work_folder
 from tideframe.streaming import deltas, stream
 
 NOW = datetime(2030, 1, 1)
@@ -490,25 +494,60 @@ def _(spark, d):
     return readers.table_or_base(spark, mine, f"{d}/part.parquet").select("p_partkey", "p_name")
 
 
+def _database(rows: DataFrame, name: str) -> str:
+    """URL of a database with the rows as its one table, readable from every executor; on a cluster it would be a server's.
+
+    The database that comes with Spark serves one process alone, unless it is
+    packed and so read-only. The driver's process makes it of files that Spark
+    writes, and packs it into the work folder, which must be mounted.
+    """
+    spark = rows.sparkSession
+    kinds = {"bigint": "BIGINT", "string": "CLOB"}  # fixed values: the types of the two tables below
+    landed, packed = work_folder(spark, "rows"), work_folder(spark, "database") + ".jar"
+    rows.write.option("escape", '"').csv(landed)
+    fs, folder = _file_system(spark, landed)
+    with tempfile.TemporaryDirectory() as home:
+        connect = lambda url: spark._jvm.org.apache.derby.jdbc.EmbeddedDriver().connect(url, spark._jvm.java.util.Properties())
+        connection = connect(f"jdbc:derby:{home}/db;create=true")
+        statement = connection.createStatement()
+        statement.execute(f"CREATE TABLE {name} ({', '.join(f'\"{c}\" {kinds[kind]}' for c, kind in rows.dtypes)})")
+        for part in names(spark, landed):
+            if part.endswith(".csv"):
+                fs.copyToLocalFile(False, spark._jvm.org.apache.hadoop.fs.Path(folder, part), spark._jvm.org.apache.hadoop.fs.Path(f"file://{home}/{part}"), True)
+                statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{name.upper()}', '{home}/{part}', NULL, NULL, 'UTF-8', 0)")
+                os.remove(f"{home}/{part}")
+        connection.close()
+        try:
+            connect(f"jdbc:derby:{home}/db;shutdown=true")
+        except Py4JJavaError as error:  # so it tells that it has ended
+            if error.java_exception.getSQLState() != "08006":
+                raise
+        with zipfile.ZipFile(f"{home}/db.jar", "w", zipfile.ZIP_STORED) as jar:  # stored, so that pages are found by their place
+            for at, _, files in os.walk(f"{home}/db"):
+                for f in files:
+                    jar.write(f"{at}/{f}", os.path.relpath(f"{at}/{f}", home))
+        fs.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{home}/db.jar"), spark._jvm.org.apache.hadoop.fs.Path(packed))
+    where = fs.resolvePath(spark._jvm.org.apache.hadoop.fs.Path(packed)).toUri()
+    if where.getScheme() != "file":
+        raise RuntimeError("the work folder must be mounted where the database is read")
+    return f"jdbc:derby:jar:({where.getPath()})db"
+
+
+_DERBY = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+
+
 @query("scan_jdbc", "SELECT c_custkey, c_name FROM customer WHERE c_custkey >= 5")
 def _(spark, d):
-    """Over the small database that comes with Spark, kept in this JVM's memory; on a cluster the URL is a server's."""
-    url, name = "jdbc:derby:memory:tideframe;create=true", "customer"
-    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     rows = table(spark, d, "customer").select("c_custkey", "c_name")
-    rows.write.mode("overwrite").jdbc(url, name, properties=driver)
-    back = readers.jdbc(spark, url, name, '"c_custkey"', rows.agg(F.min("c_custkey"), F.max("c_custkey")).first(), 4, **driver)
+    back = readers.jdbc(spark, _database(rows, "customer"), "customer", '"c_custkey"', rows.agg(F.min("c_custkey"), F.max("c_custkey")).first(), 4, **_DERBY)
     return back.filter("c_custkey >= 5").select("c_custkey", "c_name")
 
 
 @query("scan_jdbc_skewed", "SELECT o_orderkey, o_custkey, true AS even FROM (SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL WHEN o_orderkey % 50 = 1 THEN o_orderkey * 1000000 ELSE o_orderkey END AS o_orderkey, o_custkey FROM orders)")
 def _(spark, d):
     """A key with a few values far away and some nulls: no part holds much more than its share."""
-    url, name = "jdbc:derby:memory:tideframe;create=true", "skewed"
-    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     key = F.when(F.col("o_orderkey") % 50 == 0, None).when(F.col("o_orderkey") % 50 == 1, F.col("o_orderkey") * 1_000_000).otherwise(F.col("o_orderkey"))
     rows = table(spark, d, "orders").select(key.alias("o_orderkey"), "o_custkey")
-    rows.write.mode("overwrite").jdbc(url, name, properties=driver)
-    back = readers.jdbc_by_quantiles(spark, url, name, "o_orderkey", 8, **driver)
+    back = readers.jdbc_by_quantiles(spark, _database(rows, "skewed"), "skewed", "o_orderkey", 8, **_DERBY)
     parts = [r["count"] for r in back.groupBy(F.spark_partition_id()).count().collect()]
     return back.withColumn("even", F.lit(max(parts) <= 2 * sum(parts) / 8 and len(parts) >= 8))
