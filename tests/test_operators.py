@@ -141,6 +141,23 @@ class TestCdc:
         assert rows(cdc.dedupe(c, ["id"], "lsn", "op")) == [(1, "d", 3), (2, "U", 1), (None, "I", 1)]
 
 
+    def test_ties_of_two_batches_are_those_of_one(self, spark):
+        log = "id int, v string, op string, lsn long"
+        changes = [(1, "a", "U", 3), (1, "b", "D", 3), (2, "c", "U", 4), (2, "d", "U", 4), (3, "e", "D", 5), (3, "f", "U", 5)]
+        held = spark.createDataFrame([], "id int, v string, _seq long, _deleted boolean")
+        want = rows(cdc.apply_changes(held, spark.createDataFrame(changes, log), ["id"], "lsn", "op"))
+        assert want == [(1, None, 3, True), (2, "d", 4, False), (3, None, 5, True)]
+        for dealt in (changes[::2], changes[1::2]), (changes[1::2], changes[::2]):
+            both, soft, tombs = held, held, held.select("id", "_seq")
+            target = held.drop("_deleted")
+            for batch in dealt:
+                batch = spark.createDataFrame(batch, log)
+                both, soft = cdc.apply_changes(both, batch, ["id"], "lsn", "op"), cdc.apply_soft(soft, batch, ["id"], "lsn", "op", "ignore")
+                target, tombs = cdc.apply_hard(target, tombs, batch, ["id"], "lsn", "op")
+            assert rows(both) == want and rows(target) == [(2, "d", 4)] and rows(tombs) == [(1, 3), (3, 5)]
+            assert rows(soft) == [(1, "b", 3, True), (2, "d", 4, False), (3, "e", 5, True)]
+
+
 class TestMicrobatch:
     def test_windows_are_half_open(self, spark):
         w = microbatch.windows(spark, datetime(2024, 1, 30, 5), datetime(2024, 3, 1), "month")

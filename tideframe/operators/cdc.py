@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SEQ, DELETED = "_seq", "_deleted"
 
@@ -28,17 +29,31 @@ def normalize(changes: DataFrame) -> DataFrame:
     return known.select("op", lsn_number(F.col("lsn")).alias("lsn"), F.when(F.col("op") == "D", F.col("before")).otherwise(F.col("after")).alias("payload"))
 
 
-def dedupe(changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
-    """The last change of each key: highest sequence, null sequences last, a delete on ties.
+def comparable(schema: StructType, columns: list[str]) -> list[str]:
+    """The columns that have an order, which those with maps have not."""
+    return [c for c in columns if not any(kind in schema[c].dataType.simpleString() for kind in ("map<", "variant"))]
+
+
+def dedupe(changes: DataFrame, keys: list[str], seq: str, op: str, values: list[str] | None = None) -> DataFrame:
+    """The last change of each key: highest sequence, null sequences last, a delete on ties, of those left the one of the greatest ``values`` (all columns).
 
     ``max_by`` combines on the map side, so a key with very many changes is no
     hot partition.
     """
     rows = F.struct(*changes.columns)
-    best = F.max_by(rows, F.struct(F.col(seq).isNotNull(), F.col(seq), is_delete(F.col(op)).cast("int")))
+    ties = comparable(changes.schema, changes.columns if values is None else [c for c in values if c in changes.columns])
+    best = F.max_by(rows, F.struct(F.col(seq).isNotNull(), F.col(seq), is_delete(F.col(op)).cast("int"), *(F.col(f"`{c}`") for c in ties)))
     return changes.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(best.alias("r")).select("r.*")
 
 
+def _newer(held: DataFrame) -> Column:
+    """Whether the change ``c`` replaces the row ``t`` of ``held``: the rule of ``dedupe``, so that how changes are dealt to batches does not matter; an equal one does not."""
+    ties = [DELETED, *(c for c in comparable(held.schema, held.columns) if c not in (SEQ, DELETED))]
+    place = lambda side: F.struct(*(F.col(f"{side}.`{c}`").try_cast(held.schema[c].dataType).alias(c) for c in ties))
+    tied = (F.col(f"c.{SEQ}") == F.col(f"t.{SEQ}")) & (place("c") > place("t"))
+    return F.col("c.__in") & (F.col(f"t.{SEQ}").isNull() | F.col(f"c.{SEQ}").isNull() | (F.col(f"c.{SEQ}") > F.col(f"t.{SEQ}")) | tied)
+
+
 def evolved(target: DataFrame, changes: DataFrame, ignore: list[str], schema: str) -> DataFrame:
     """The target with what ``schema`` makes of columns of the changes that it lacks: append (as null), ignore, or fail."""
     known = {c.lower() for c in [*target.columns, *ignore]}
@@ -53,13 +68,14 @@ def evolved(target: DataFrame, changes: DataFrame, ignore: list[str], schema: st
 def apply_changes(held: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
     """Target and tombstones in one: rows with ``_seq`` and ``_deleted``, after one aggregate of the changes and one full join.
 
-    A change newer than the row held of its key replaces it; a delete leaves the
-    keys, ``_seq`` and ``_deleted`` alone.
+    A change newer than the row held of its key replaces it, as does one of the
+    same sequence that ``dedupe`` would take; a delete leaves the keys, ``_seq``
+    and ``_deleted`` alone.
     """
-    last = dedupe(changes, keys, seq, op).withColumn(SEQ, F.col(seq)).withColumn(DELETED, is_delete(F.col(op)))
+    last = dedupe(changes, keys, seq, op, held.columns).withColumn(SEQ, F.col(seq)).withColumn(DELETED, is_delete(F.col(op)))
     own = [F.col(f"`{c}`") if c in [*keys, SEQ, DELETED] else F.when(~F.col(DELETED), F.col(f"`{c}`")).alias(c) if c in last.columns else F.lit(None).cast(held.schema[c].dataType).alias(c) for c in held.columns]
     joined = held.alias("t").join(last.select(*own, F.lit(True).alias("__in")).alias("c"), [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "full")
-    newer = F.col("c.__in") & (F.col(f"t.{SEQ}").isNull() | F.col(f"c.{SEQ}").isNull() | (F.col(f"c.{SEQ}") > F.col(f"t.{SEQ}")))
+    newer = _newer(held)
     return joined.select(*(F.when(newer, F.col(f"c.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) for c in held.columns))
 
 
@@ -67,7 +83,7 @@ def apply_hard(target: DataFrame, tombstones: DataFrame, changes: DataFrame, key
     """(new target, new tombstones). The target holds the columns of ``changes`` without the operation, its sequence as ``_seq``.
 
     Changes not newer than what the target or a tombstone has of the key are
-    dropped, so replays and late events change nothing. A delete removes the row
+    dropped (of equal sequences a delete is the newer one), so replays and late events change nothing. A delete removes the row
     and leaves (keys, _seq); a newer insert takes that away again. ``schema``
     says what becomes of columns that the target lacks, see ``evolved``.
     """
@@ -81,7 +97,7 @@ def apply_hard(target: DataFrame, tombstones: DataFrame, changes: DataFrame, key
 def apply_soft(target: DataFrame, changes: DataFrame, keys: list[str], seq: str, op: str, schema: str = "append") -> DataFrame:
     """The new target: a newer change replaces its key's row; a delete stays as its last image with ``_deleted`` true."""
     target = evolved(target, changes, [seq, op], schema)
-    last = dedupe(changes, keys, seq, op).withColumn(SEQ, F.col(seq)).withColumn(DELETED, is_delete(F.col(op)))
+    last = dedupe(changes, keys, seq, op, target.columns).withColumn(SEQ, F.col(seq)).withColumn(DELETED, is_delete(F.col(op)))
     joined = target.alias("t").join(last.select(*target.columns).withColumn("__in", F.lit(True)).alias("c"), [F.col(f"t.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "full")
-    newer = F.col("c.__in") & (F.col(f"t.{SEQ}").isNull() | F.col(f"c.{SEQ}").isNull() | (F.col(f"c.{SEQ}") > F.col(f"t.{SEQ}")))
+    newer = _newer(target)
     return joined.select(*(F.when(newer, F.col(f"c.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) for c in target.columns))

@@ -184,12 +184,12 @@ def cdc_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, ke
     """Apply a stream of changes: the last change of each key of a batch is appended, ``_deleted`` for deletes; ``cdc_rows`` reads what they come to.
 
     As in ``cdc.apply_changes``, a change counts if its sequence is greater than
-    that of the row held, so late and repeated ones change nothing; one without a
+    that of the row held, or the same and its row goes before, so late and repeated ones change nothing; one without a
     sequence always does, and what comes after it does too.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        last = cdc.dedupe(batch, keys, seq, op)
+        last = cdc.dedupe(batch, keys, seq, op, [*keys, *values])
         rows = last.select(*keys, *values, F.col(seq).alias(cdc.SEQ), cdc.is_delete(F.col(op)).alias(cdc.DELETED), F.lit(batch_id).cast("long").alias(BATCH))
         append(rows, root, now, tag=f"cdc-{batch_id}", fold=lambda whole: _changes(whole, keys), most=most)
 
@@ -197,11 +197,12 @@ def cdc_refresh(stream: DataFrame, checkpoint: str, root: str, now: datetime, ke
 
 
 def _changes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key the greatest sequence (of equal ones the first) since its last change without one, or that change."""
+    """For each key the greatest sequence (of equal ones a delete, then the greatest values) since its last change without one, or that change."""
     unordered = rows.filter(F.col(cdc.SEQ).isNull()).groupBy(*keys).agg(F.max(BATCH).alias("__since"))
     since = rows.join(unordered.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__since"), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))), "left")
     counting = since.filter("__since is null or _batch >= __since").select(*rows.columns)
-    return _last(counting, keys, F.struct(F.col(cdc.SEQ).isNotNull(), F.col(cdc.SEQ), -F.col(BATCH)))
+    ties = cdc.comparable(rows.schema, [c for c in rows.columns if c not in (cdc.SEQ, cdc.DELETED, BATCH)])
+    return _last(counting, keys, F.struct(F.col(cdc.SEQ).isNotNull(), F.col(cdc.SEQ), F.col(cdc.DELETED), *(F.col(f"`{c}`") for c in ties), -F.col(BATCH)))
 
 
 def cdc_rows(spark: SparkSession, root: str, keys: list[str]) -> DataFrame | None:
