@@ -168,6 +168,13 @@ class TestFileTable:
         done = filetable.merge(spark, root, self.batch(spark, [101, 501, 1501, 2501]), ["id"], NOW)
         assert done.replaced <= 1 and filetable.read(spark, root).count() == 2004
 
+    def test_filters_that_say_yes_to_all_are_confirmed(self, spark, tmp_path, monkeypatch):
+        monkeypatch.setattr(filetable, "MOST_BITS", 8)
+        root = str(tmp_path / "full")
+        filetable.create(self.batch(spark, range(0, 1000, 2)), root, ["id"], NOW, file_rows=50)
+        done = filetable.merge(spark, root, self.batch(spark, [4, *range(1, 1000, 50)]).withColumn("v", F.lit(5).cast("long")), ["id"], NOW)
+        assert done.replaced == 1 and filetable.read(spark, root).count() == 520
+
     def test_several_keys_and_text(self, spark, tmp_path):
         root = str(tmp_path / "k")
         rows = spark.createDataFrame([(chr(97 + i % 20), i, "old") for i in range(400)] + [(None, 1, "old"), ("é", None, "old")], "a string, b int, v string")

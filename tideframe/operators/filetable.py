@@ -94,17 +94,14 @@ def index(spark: SparkSession, root: str, folder: int, keys: list[str]) -> DataF
 def may_hold(spark: SparkSession, root: str, files: DataFrame, batch: DataFrame, keys: list[str], schema: StructType) -> list[tuple[int, str]]:
     """(folder, name) of the files of an index that may hold a key of the batch; none that does is left out.
 
-    Keys are taken as the table's types; one that is none of these counts as null. Up to MOST_KEYS keys go to every task; more are joined with the key columns
-    of the files, which tells exactly. The list is the driver's, which plans the
+    Keys are taken as the table's types; one that is none of these counts as null. Up to MOST_KEYS keys go to every task, which holds them against the filters;
+    the files that these leave, or all where there are more keys, are told by a join with their key columns. The list is the driver's, which plans the
     read of these files by it.
     """
     typed = batch.select(*(F.col(f"`{k}`").try_cast(schema[k].dataType).alias(k) for k in keys))
     wanted = typed.select(F.col(f"`{keys[0]}`").alias("k"), _key_hash(keys).alias("h")).distinct()
     if wanted.limit(MOST_KEYS + 1).count() > MOST_KEYS:
-        paths = [f"{root}/version={r['folder']}/{r['name']}" for r in files.select("folder", "name").collect()]
-        folder = F.regexp_extract("_metadata.file_path", r"/version=(\d+)/[^/]+$", 1).cast("long")
-        held = spark.read.option("mergeSchema", True).parquet(*paths).select(folder.alias("folder"), F.col("_metadata.file_name").alias("name"), _key_hash(keys).alias("h"))
-        return sorted(map(tuple, held.join(wanted.select("h").distinct(), "h", "left_semi").select("folder", "name").distinct().collect()))
+        return _holding(spark, root, [tuple(r) for r in files.select("folder", "name").collect()], wanted.select("h"), keys)
     table = wanted.orderBy(F.col("k").asc_nulls_first()).toArrow()
     values, hashes = table.column("k").to_pylist(), table.column("h").to_numpy()
     nulls = sum(v is None for v in values)
@@ -123,7 +120,18 @@ def may_hold(spark: SparkSession, root: str, files: DataFrame, batch: DataFrame,
                     keep.append(i)
             yield part.select(["folder", "name"]).take(pa.array(keep, pa.int64()))
 
-    return sorted(map(tuple, files.select("folder", "name", "lo", "hi", "nulls", "bits").mapInArrow(test, "folder long, name string").collect()))
+    found = files.select("folder", "name", "lo", "hi", "nulls", "bits").mapInArrow(test, "folder long, name string").collect()
+    # a large file is asked for so many keys that some filter says yes to one it does not hold
+    return _holding(spark, root, [tuple(r) for r in found], wanted.select("h"), keys)
+
+
+def _holding(spark: SparkSession, root: str, files: list[tuple[int, str]], hashes: DataFrame, keys: list[str]) -> list[tuple[int, str]]:
+    """Those of the files whose key columns, which are read, have one of the hashes (h)."""
+    if not files:
+        return []
+    folder = F.regexp_extract("_metadata.file_path", r"/version=(\d+)/[^/]+$", 1).cast("long")
+    held = spark.read.option("mergeSchema", True).parquet(*_paths(root, files)).select(folder.alias("folder"), F.col("_metadata.file_name").alias("name"), _key_hash(keys).alias("h"))
+    return sorted(map(tuple, held.join(hashes.distinct(), "h", "left_semi").select("folder", "name").distinct().collect()))
 
 
 def _index_of(spark: SparkSession, root: str, entry: dict) -> DataFrame:
