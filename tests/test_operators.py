@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideframe.functions import masks
-from tideframe.operators import cdc, diff, govern, history, incremental, joins, metrics, microbatch, publish, quality, schema, scd2
+from tideframe.operators import cdc, diff, govern, history, incremental, joins, keys, metrics, microbatch, publish, quality, schema, scd2
 from tideframe.operators.keys import DuplicateKeyError, row_hash, table_checksum
 from tideframe.sources import readers
 from tideframe.sources.files import claim
@@ -158,6 +158,17 @@ class TestCdc:
             assert rows(soft) == [(1, "b", 3, True), (2, "d", 4, False), (3, "e", 5, True)]
 
 
+class TestTasks:
+    def test_profile_and_table_function_deal_rows(self, spark, monkeypatch):
+        df = spark.range(1000).select("id", (F.col("id") % 7).cast("string").alias("v"), F.create_map(F.lit(1), "id").alias("m")).coalesce(1)
+        monkeypatch.setattr(quality, "ROWS_A_TASK", 300)
+        assert quality._dealt(df, True) is df and quality._dealt(df, False).rdd.getNumPartitions() == 10
+        found = quality.profile_basic(df.drop("m"), approximate=False)
+        assert rows(found.select("column_name", "row_count", "distinct_count")) == [("id", 1000, 1000), ("v", 1000, 7)]
+        dealt = keys.spread(df, ["id", "m"], 100)
+        assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 1000 and keys.spread(df, ["id"], 1000) is df
+
+
 class TestMicrobatch:
     def test_windows_are_half_open(self, spark):
         w = microbatch.windows(spark, datetime(2024, 1, 30, 5), datetime(2024, 3, 1), "month")

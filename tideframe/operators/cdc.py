@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from tideframe.operators.keys import comparable
 
 SEQ, DELETED = "_seq", "_deleted"
 
@@ -29,11 +30,6 @@ def normalize(changes: DataFrame) -> DataFrame:
     return known.select("op", lsn_number(F.col("lsn")).alias("lsn"), F.when(F.col("op") == "D", F.col("before")).otherwise(F.col("after")).alias("payload"))
 
 
-def comparable(schema: StructType, columns: list[str]) -> list[str]:
-    """The columns that have an order, which those with maps have not."""
-    return [c for c in columns if not any(kind in schema[c].dataType.simpleString() for kind in ("map<", "variant"))]
-
-
 def dedupe(changes: DataFrame, keys: list[str], seq: str, op: str, values: list[str] | None = None) -> DataFrame:
     """The last change of each key: highest sequence, null sequences last, a delete on ties, of those left the one of the greatest ``values`` (all columns).
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from tideframe.operators import cdc
 from tideframe.operators.closure import propagate
-from tideframe.operators.keys import require_unique
+from tideframe.operators.keys import comparable, require_unique
 from tideframe.operators.publish import ConflictError, append, publish, read, read_log
 from tideframe.operators.quality import Check, require
 
@@ -201,7 +201,7 @@ def _changes(rows: DataFrame, keys: list[str]) -> DataFrame:
     unordered = rows.filter(F.col(cdc.SEQ).isNull()).groupBy(*keys).agg(F.max(BATCH).alias("__since"))
     since = rows.join(unordered.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__since"), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys))), "left")
     counting = since.filter("__since is null or _batch >= __since").select(*rows.columns)
-    ties = cdc.comparable(rows.schema, [c for c in rows.columns if c not in (cdc.SEQ, cdc.DELETED, BATCH)])
+    ties = comparable(rows.schema, [c for c in rows.columns if c not in (cdc.SEQ, cdc.DELETED, BATCH)])
     return _last(counting, keys, F.struct(F.col(cdc.SEQ).isNotNull(), F.col(cdc.SEQ), F.col(cdc.DELETED), *(F.col(f"`{c}`") for c in ties), -F.col(BATCH)))
 
 
@@ -227,7 +227,7 @@ def view_lag(lags: DataFrame, reads: DataFrame) -> DataFrame:
     live = lags.select(F.col("model").alias("node"), "lag_seconds")
     reached = propagate(reads, live, {"lag_seconds": F.max}, stop=live.select("node")).withColumnRenamed("node", "model")
     every = lags.select("model").union(reads.select("derived")).distinct()
-    return every.join(reached, "model", "left").select("model", F.coalesce("lag_seconds", F.lit(0)).alias("lag_seconds"))
+    return every.join(reached.hint("merge"), "model", "left").select("model", F.coalesce("lag_seconds", F.lit(0)).alias("lag_seconds"))
 
 
 def events_per_second(advances: DataFrame, now: datetime, seconds: int = 60) -> DataFrame:
