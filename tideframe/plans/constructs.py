@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideframe.operators import joins, running
+from tideframe.operators.keys import spread
 from tideframe.plans.registry import query, table
 
 DAY = "1998-09-02"
@@ -544,5 +545,6 @@ class Letters:
 @query("udtf_python", "SELECT p_partkey, p::BIGINT AS part, substring(p_brand, p, 1) AS letter FROM (SELECT p_partkey, p_brand, unnest(range(1, length(p_brand) + 1)) AS p FROM part)")
 def _(spark, d):
     spark.udtf.register("python_letters", Letters)
-    table(spark, d, "part").createOrReplaceTempView("part")
+    # Python takes its time for each row, so tasks are small
+    spread(table(spark, d, "part").select("p_partkey", "p_brand"), ["p_partkey"], 20_000).createOrReplaceTempView("part")
     return spark.sql("SELECT p_partkey, l.part, l.letter FROM part, LATERAL python_letters(p_brand) l")
