@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import time
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tideframe.operators import cdc, filetable, incremental, publish
 from tideframe.operators.govern import Mask
+from tideframe.operators.keys import ROWS_A_TASK
 from tideframe.operators.quality import Check
 from tideframe.plans.registry import query, table
 from tideframe.sources import paged, readers, writers
@@ -194,11 +196,12 @@ def _(spark, d):
 
 @query("compact_partitions", "SELECT o_orderkey, o_totalprice, o_orderstatus, true AS packed FROM orders")
 def _(spark, d):
-    """Many small files of each status and a large one of all; the large one stays as it is, the others become few."""
+    """Many small files of each status and large ones of all; the large ones stay as they are, the others become few."""
     o, path = _orders(spark, d).select("o_orderkey", "o_totalprice", "o_orderstatus"), work_folder(spark, "partitions")
-    o.filter("o_orderkey % 5 > 0").coalesce(1).write.partitionBy("o_orderstatus").parquet(path)
+    parts = math.ceil(o.count() / ROWS_A_TASK)
+    o.filter("o_orderkey % 5 > 0").repartition(parts, "o_orderkey").write.partitionBy("o_orderstatus").parquet(path)
     large = {r["path"]: r["bytes"] for r in readers.listed(spark, path).collect()}
-    o.filter("o_orderkey % 5 = 0").repartition(6).write.mode("append").partitionBy("o_orderstatus").parquet(path)
+    o.filter("o_orderkey % 5 = 0").repartition(6 * parts, "o_orderkey").write.mode("append").partitionBy("o_orderstatus").parquet(path)
     taken, made = writers.compact_small(spark, path, target=2 * min(large.values()))
     left = {r["path"] for r in readers.listed(spark, path).collect()}
     return spark.read.parquet(path).withColumn("packed", F.lit(set(large) <= left and made < taken and len(left) == len(large) + made))
@@ -380,8 +383,8 @@ def _changing(spark: SparkSession, d: str) -> tuple[str, str]:
     o = _orders(spark, d).select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(20,2)").alias("price"), F.lit("I").alias("op"))
     third = o.filter("o_orderkey % 3 = 0").withColumn("status", F.lit("X")).withColumn("price", (F.col("price") + 10).cast("decimal(20,2)"))
     for rows in (o, third, o.filter("o_orderkey % 7 = 1").withColumn("op", F.lit("D"))):
-        rows.coalesce(1).write.mode("append").parquet(landing)
-        stream_ = stream.file_stream(spark, landing, o.schema, files=1)
+        rows.write.mode("append").parquet(landing)
+        stream_ = stream.file_stream(spark, landing, o.schema, files=1_000_000)  # all that has landed is a batch
         deltas.retract_refresh(stream_, f"{gold}-checkpoint", silver, gold, NOW, ["o_orderkey"], ["status"], ["price"], op="op", where="price > 100000", most=2)
     return silver, gold
 

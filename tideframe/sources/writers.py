@@ -71,7 +71,8 @@ def compact_small(spark: SparkSession, path: str, target: int = 256 << 20) -> tu
     moves = []
     for i, paths in enumerate(bins):
         folder = f"{path}/{work}/__bin={i}"
-        moves += [(f"{folder}/{n}", f"{paths[0].rpartition('/')[0]}/{n}") for n in names(spark, folder) if n.endswith(".parquet")]
+        # a task that has several bins gives their files one name
+        moves += [(f"{folder}/{n}", f"{paths[0].rpartition('/')[0]}/bin-{i}-{n}") for n in names(spark, folder) if n.endswith(".parquet")]
     put_if_absent(spark, f"{path}/_compact.json", json.dumps({"moves": moves, "gone": [p for paths in bins for p in paths], "work": work}))
     _finish(spark, path)
     return sum(map(len, bins)), len(moves)
