@@ -62,3 +62,13 @@ def test_views_over_views(spark):
     lags = spark.createDataFrame([("fast", 1), ("slow", 90)], "model string, lag_seconds long")
     reads = edges(spark, ("fast", "v1"), ("v1", "v2"), ("slow", "v3"), ("v3", "v4"), ("v2", "v4"), ("v4", "fast"), ("nowhere", "v5"))
     assert found(stream.view_lag(lags, reads)) == {"fast": (1,), "slow": (90,), "v1": (1,), "v2": (1,), "v3": (90,), "v4": (90,), "v5": (0,)}
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    from tideframe.operators import closure
+
+    plans, real = [], closure.settled
+    monkeypatch.setattr(closure, "settled", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "source int, derived int")
+    out = closure.propagate(edges, spark.createDataFrame([(1, 5)], "node int, v int"), {"v": F.max}, stop=spark.createDataFrame([(4,)], "node int"))
+    assert sorted(map(tuple, out.collect())) == [(1, 5), (2, 5), (3, 5)] and not any("Broadcast" in p for p in plans)

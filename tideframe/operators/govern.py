@@ -143,7 +143,7 @@ def strongest_mask(edges: DataFrame, masks: DataFrame, declassified: DataFrame |
     reached = propagate(edges, known, combine, stop)
     exempt = F.concat(F.array().cast("array<string>"), *(F.array_compact(F.array(*(F.when(F.getbit(F.col(f"roles{i}"), F.lit(k)) == 1, F.lit(r)) for k, r in enumerate(p)))) for i, p in enumerate(parts)))
     own = masks.select(F.col("source").alias("node")).distinct()
-    return reached.join(own, "node", "left_anti").select(F.col("node").alias("derived"), F.col("strongest.method").alias("method"), F.sort_array(exempt).alias("exempt"))
+    return reached.join(own.hint("merge"), "node", "left_anti").select(F.col("node").alias("derived"), F.col("strongest.method").alias("method"), F.sort_array(exempt).alias("exempt"))
 
 
 def inherited_classes(edges: DataFrame, classified: DataFrame, declassified: DataFrame | None = None) -> DataFrame:
