@@ -97,3 +97,15 @@ def test_stream_of_changes_is_as_its_batches(spark, tmp_path, most):
         stream.cdc_refresh(stream.file_stream(spark, f"{tmp_path}/in", schema, files=1), f"{tmp_path}/check", f"{tmp_path}/t", NOW, ["id"], ["v"], "lsn", "op", most=most)
         live = sorted(map(tuple, stream.cdc_rows(spark, f"{tmp_path}/t", ["id"]).select("id", "v", "_seq").collect()), key=str)
         assert live == sorted(map(tuple, held.filter("not _deleted").select("id", "v", "_seq").collect()), key=str)
+
+
+def test_a_batch_of_one_file_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    from tideframe.operators import keys
+    from tideframe.streaming import deltas, stream
+
+    seen, real, at = [], deltas.require_unique, str(tmp_path)
+    monkeypatch.setattr(keys, "ROWS_A_TASK", 10, raising=False)
+    monkeypatch.setattr(deltas, "require_unique", lambda batch, k: (seen.append(batch.rdd.getNumPartitions()), real(batch, k)))
+    spark.range(95).selectExpr("id", "id % 3 AS g", "id AS n").coalesce(1).write.parquet(f"{at}/landing")
+    deltas.retract_refresh(stream.file_stream(spark, f"{at}/landing", "id long, g long, n long"), f"{at}/checkpoint", f"{at}/silver", f"{at}/gold", NOW, ["id"], ["g"], ["n"])
+    assert seen == [10] and {r["g"]: r["n_rows"] for r in deltas.retracted(spark, f"{at}/gold", ["g"], ["n"]).collect()} == {0: 32, 1: 32, 2: 31}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from tideframe.operators import cdc, filetable
-from tideframe.operators.keys import require_unique, same_key
+from tideframe.operators.keys import require_unique, same_key, spread
 from tideframe.operators.publish import append, read, read_log
 from tideframe.sources.files import delete, exists
 from tideframe.streaming.stream import run_available
@@ -57,7 +57,7 @@ def retract_refresh(stream: DataFrame, checkpoint: str, silver: str, gold: str,
     def each(batch: DataFrame, batch_id: int) -> None:
         tag, parts = f"delta-{batch_id}", f"{gold}/_parts/batch={batch_id}"
         if tag not in read_log(spark, gold).tags:
-            batch = batch.persist()
+            batch = spread(batch, keys).persist()
             require_unique(batch, keys)
             live = batch.filter(~cdc.is_delete(F.col(op))).drop(op) if op else batch
             passing = lambda rows: rows.filter(where) if where else rows
