@@ -328,7 +328,7 @@ def _(spark, d):
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = _changes(spark, d).filter("lsn is not null")
-    return c.filter("event_id % 2 = 0"), c.filter("event_id % 2 = 1")
+    return c.filter("event_id % 2 = 0"), c.filter("event_id % 2 <> 0")
 
 
 def _empty(df: DataFrame, columns: list[str], name: str) -> DataFrame:
